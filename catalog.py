@@ -72,7 +72,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def money(c) -> F.Column:
+def money(c):
     return F.format_string("%.2f", c)
 
 
@@ -88,13 +88,14 @@ def _micros(c):
     return F.unix_micros(F.col(c).cast("timestamp"))
 
 
-def _meta(pid, rid, rev, latest=F.lit(1), published=F.lit(None).cast("int")):
+def _meta(pid, rid, rev):
+    """Keys and flags of current rows that nobody has published."""
     return [
         pid.alias("pid"),
         rid.cast("bigint").alias("rid"),
         rev.cast("bigint").alias("rev"),
-        latest.alias("latest"),
-        published.alias("published"),
+        F.lit(1).alias("latest"),
+        F.lit(None).cast("int").alias("published"),
     ]
 
 
@@ -103,8 +104,8 @@ def _columns(*values):
 
 
 def orders(spark, sf_dir) -> DataFrame:
-    """Page rows; the single cell of ``flags`` repeats the order's first flag at read time only where
-    it is sorted on, so it is left empty here."""
+    """Page rows. The flags of an order come from another table; the single cell that would repeat the
+    first of them for sorting stays empty (``parts`` shows that case)."""
     t = table(spark, sf_dir, "orders")
     return t.select(
         *_meta(F.concat(F.lit("order:"), _text("o_orderkey")), F.lit(0), F.col("o_orderkey") + 1),

@@ -178,11 +178,11 @@ def update_titles(titles: DataFrame, changes: DataFrame) -> DataFrame:
     """Page metadata after a batch of page changes.
 
     ``changes`` has ``pid``, ``title``, ``date``, ``user``, ``ip`` and ``summary``; of several changes
-    of a page the last by ``date`` counts. A page whose stored revision equals the date is left alone.
+    of a page the last by ``date`` counts (ties are settled by the other columns). A page whose stored revision equals the date is left alone.
     """
     keyed = changes.withColumn("_at", F.coalesce(F.col("date").cast("bigint"), F.lit(0).cast("bigint")))
     rest = F.struct("_at", *[c for c in changes.columns if c != "pid"])
-    last = keyed.groupBy("pid").agg(F.max_by(rest, "_at").alias("c")).select("pid", "c.*")
+    last = keyed.groupBy("pid").agg(F.max(rest).alias("c")).select("pid", "c.*")
     known = titles.select(F.col("pid").alias("k_pid"), F.col("lastrev").alias("k_rev"))
     same = F.col("date").isNotNull() & F.coalesce(F.col("k_rev") == F.col("_at"), F.lit(False))
     fresh = last.join(known, F.col("pid") == F.col("k_pid"), "left").filter(~same)

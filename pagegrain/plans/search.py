@@ -51,12 +51,13 @@ def page_values(store: Store, wanted: PageValue) -> Column:
         cell = Cell(F.col(column.physical), column.physical, "")
     value = column.type.forms(relation, cell).compare
     values = relation.df.select(value.alias("value")).filter(~is_blank(F.col("value")))
-    listed = values.agg(F.collect_set("value").alias("found")).scalar()
-    affixed = F.transform(
-        F.when(F.size(listed) > 0, listed).otherwise(F.array(F.lit(""))),
-        lambda v: F.concat(F.lit(wanted.before), v, F.lit(wanted.after)),
+    listed = values.agg(F.collect_set("value").alias("found")).select(
+        F.transform(
+            F.when(F.size("found") > 0, F.col("found")).otherwise(F.array(F.lit(""))),
+            lambda v: F.concat(F.lit(wanted.before), v, F.lit(wanted.after)),
+        )
     )
-    return affixed
+    return listed.scalar()
 
 
 class Search:
@@ -186,11 +187,12 @@ class Search:
     def _predicate(self, relation: Relation, cell: Cell, column: SchemaColumn, item: Filter):
         if not isinstance(item.value, PageValue):
             return column.type.matches(relation, cell, item.comparator, item.value)
-        operands = page_values(self.store, item.value)
-        # joins a type needs are made here; inside the lambda they are already known
+        name = f"operands{len(relation.df.columns)}"
+        relation.df = relation.df.withColumn(name, page_values(self.store, item.value))
+        # joins the type needs are made here; inside the lambda they are already known
         column.type.predicate(relation, cell, item.comparator, "")
         return F.exists(
-            operands, lambda v: column.type.predicate(relation, cell, item.comparator, v)
+            F.col(name), lambda v: column.type.predicate(relation, cell, item.comparator, v)
         )
 
     @staticmethod
