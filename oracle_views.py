@@ -54,4 +54,4 @@ def sql(views: str, body: str, **extra: str) -> str:
     parts = {name: VIEWS[name] for name in views.split()}
     parts.update(extra)
     heads = ",\n".join(f"{name} AS ({text})" for name, text in parts.items())
-    return f"WITH {heads}\n{body}"
+    return f"WITH {heads}\n{body}" if parts else body

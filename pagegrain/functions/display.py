@@ -64,8 +64,10 @@ def engineering(c: Column, prefix: str = "", postfix: str = "") -> Column:
     unit = F.when(step < 0, F.element_at(F.array(*map(F.lit, SMALL_UNITS)), -step + 1)).otherwise(
         F.element_at(F.array(*map(F.lit, LARGE_UNITS)), step + 1)
     )
-    # 12 significant digits hide the binary noise of the division
-    digits = F.round(value / F.pow(F.lit(1000.0), step), 12)
+    scaled = value / F.pow(F.lit(1000.0), step)
+    # 14 significant digits hide the binary noise of the division
+    digits = F.when(scaled >= 100, F.round(scaled, 11)).when(scaled >= 10, F.round(scaled, 12))
+    digits = digits.otherwise(F.round(scaled, 13))
     scaled = F.concat(plain_double(digits), F.lit(NARROW_SPACE), unit)
     shown = F.when(value > 0, scaled).otherwise(c)
     return F.concat(F.lit(prefix), shown, F.lit(postfix))
