@@ -43,32 +43,23 @@ def value_forms(store: Store, rows: DataFrame, columns: list[tuple[int, SchemaCo
         per_slot.append((slot, column.colref, forms))
 
     def choose(form: str) -> Column:
-        plain = all(f.raw is getattr(f, form) for _, _, f in per_slot)
-        if plain:
-            return F.col("value") if all(f.raw is cell.value for _, _, f in per_slot) else None
-        return reduce(
-            lambda acc, item: acc.when(F.col("slot") == item[0], getattr(item[2], form)),
-            per_slot[1:],
-            F.when(F.col("slot") == per_slot[0][0], getattr(per_slot[0][2], form)),
-        )
-
-    refs = [ref for _, ref, _ in per_slot]
-    if len(set(refs)) == len(refs):
-        slots = reduce(
-            lambda acc, item: acc.when(F.col("colref") == item[1], F.lit(item[0])),
-            per_slot[1:],
-            F.when(F.col("colref") == per_slot[0][1], F.lit(per_slot[0][0])),
-        )
+        if all(getattr(forms, form) is cell.value for _, _, forms in per_slot):
+            return cell.value
+        chosen = F.lit("")
+        for slot, _, forms in per_slot:
+            chosen = F.when(F.col("slot") == slot, getattr(forms, form)).otherwise(chosen)
+        # what a reference to a missing row shows is empty
+        return F.coalesce(chosen, F.lit(""))
+
+    if len({ref for _, ref, _ in per_slot}) == len(per_slot):
+        slots = F.lit(None).cast("int")
+        for slot, ref, _ in per_slot:
+            slots = F.when(F.col("colref") == ref, F.lit(slot)).otherwise(slots)
     else:
-        by_ref = [
-            F.when(F.col("colref") == ref, F.lit(slot)) for slot, ref, _ in per_slot
-        ]
+        by_ref = [F.when(F.col("colref") == ref, F.lit(slot)) for slot, ref, _ in per_slot]
         slots = F.explode(F.array_compact(F.array(*by_ref)))
     df = relation.df.withColumn("slot", slots)
-    shown = []
-    for form in FORMS:
-        chosen = choose(form)
-        shown.append((chosen if chosen is not None else F.col("value")).alias(form))
+    shown = [choose(form).alias(form) for form in FORMS]
     keep = [c for c in rows.columns if c not in ("colref", "value")]
     out = df.select(*keep, "slot", *shown)
     return out.filter(~is_blank(F.col("raw")))

@@ -869,7 +869,7 @@ def shown_table(spark, sf_dir):
     sql(
         "d_order",
         """SELECT pid,
-             'EUR '||replace(format('{:,}', round(total::DECIMAL(12,2), 1)::DECIMAL(12,1)::BIGINT), ',', ' ') AS none,
+             'EUR '||replace(format('{:,}', round(total::DECIMAL(12,2), 0)::BIGINT), ',', ' ') AS none,
              printf('%.3f', total::DOUBLE / 1000) AS thousands, k AS engineering FROM (
              SELECT *, CASE WHEN total::DOUBLE >= 1000 THEN
                regexp_replace(round(total::DOUBLE / 1000, 12)::VARCHAR, '\\.0$', '') || '\u202f' || 'k'
