@@ -6,6 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..errors import StructureError
 from ..functions.ids import clean_id
@@ -25,12 +26,23 @@ KINDS = ("page", "global", "serial")
 def read_rows(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """Raw rows of CSV files, all text, with ``line``: a unique number in reading order.
 
+    Empty cells are empty texts; a cell is NULL only where a row is too short to have it.
     ``multiline`` allows line breaks inside quotes; without them switch it off, and large files are
     read in splits.
     """
     read = spark.read.option("header", True).option("quote", '"').option("escape", '"')
-    rows = read.option("multiLine", multiline).csv(path)
-    return rows.withColumn("line", F.monotonically_increasing_id())
+    read = read.option("multiLine", multiline)
+    names = read.csv(path).columns
+    # a row with another number of cells than the header is handed over as it stands as well
+    whole = "_whole_row"
+    schema = StructType([StructField(name, StringType()) for name in (*names, whole)])
+    rows = read.schema(schema).option("columnNameOfCorruptRecord", whole).csv(path)
+    short = F.col(whole).isNotNull() & F.col(f"`{names[-1]}`").isNull()
+    cells = []
+    for name in names:
+        cell = F.col(f"`{name}`")
+        cells.append(F.when(short | cell.isNotNull(), cell).otherwise(F.lit("")).alias(name))
+    return rows.select(*cells, F.monotonically_increasing_id().alias("line"))
 
 
 def multi_cell(cell: Column) -> Column:
@@ -144,7 +156,7 @@ def schema_rows(store: Store, schema_name: str, kind: str) -> DataFrame:
 
 
 def write_rows(rows: DataFrame, path: str) -> None:
-    """Write as CSV files with header, quotes around every cell and CRLF line ends."""
+    """Write as CSV files with header, quotes around every cell and CRLF line ends (also inside cells)."""
     writer = rows.write.option("header", True).option("quoteAll", True)
     writer = writer.option("quote", '"').option("escape", '"').option("lineSep", "\r\n")
     writer.option("emptyValue", "").option("nullValue", "").csv(path)
