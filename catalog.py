@@ -7,9 +7,9 @@ or joined to derive it. Row ids and value positions are made from the row's own
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pagegrain import Schema, Store, column, tune
+from pagegrain.operators.revisions import with_latest
 
 ORDER = Schema(
     "order",
@@ -72,219 +72,206 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def money(c):
-    return F.format_string("%.2f", c)
+# Flags of current rows that nobody has published.
+CURRENT = ["1 AS latest", "CAST(NULL AS INT) AS published"]
 
 
-def _text(c):
-    return F.col(c).cast("string")
+def money(name: str) -> str:
+    return f"CAST(CAST({name} AS DECIMAL(18, 2)) AS STRING)"
 
 
-def _ref(c):
-    return F.concat(F.lit('["",'), (F.col(c) + 1).cast("string"), F.lit("]"))
+def _page(kind: str, key: str) -> str:
+    return f"CONCAT('{kind}:', {key})"
 
 
-def _micros(c):
-    return F.unix_micros(F.col(c).cast("timestamp"))
-
-
-def _meta(pid, rid, rev):
-    """Keys and flags of current rows that nobody has published."""
-    return [
-        pid.alias("pid"),
-        rid.cast("bigint").alias("rid"),
-        rev.cast("bigint").alias("rev"),
-        F.lit(1).alias("latest"),
-        F.lit(None).cast("int").alias("published"),
-    ]
-
-
-def _columns(*values):
-    return [value.alias(f"col{n}") for n, value in enumerate(values, 1)]
+def _ref(key: str) -> str:
+    return f"""CONCAT('["",', {key} + 1, ']')"""
 
 
 def orders(spark, sf_dir) -> DataFrame:
     """Page rows. The flags of an order come from another table; the single cell that would repeat the
     first of them for sorting stays empty (``parts`` shows that case)."""
-    t = table(spark, sf_dir, "orders")
-    return t.select(
-        *_meta(F.concat(F.lit("order:"), _text("o_orderkey")), F.lit(0), F.col("o_orderkey") + 1),
-        *_columns(
-            F.col("o_orderstatus"),
-            F.col("o_orderpriority"),
-            money("o_totalprice"),
-            F.date_format("o_orderdate", "yyyy-MM-dd"),
-            F.concat(F.lit("customer:"), _text("o_custkey")),
-            F.lit(""),
-        ),
+    return table(spark, sf_dir, "orders").selectExpr(
+        f"{_page('order', 'o_orderkey')} AS pid",
+        "0L AS rid",
+        "o_orderkey + 1 AS rev",
+        *CURRENT,
+        "o_orderstatus AS col1",
+        "o_orderpriority AS col2",
+        f"{money('o_totalprice')} AS col3",
+        "DATE_FORMAT(o_orderdate, 'yyyy-MM-dd') AS col4",
+        f"{_page('customer', 'o_custkey')} AS col5",
+        "'' AS col6",
     )
 
 
 def order_values(spark, sf_dir) -> DataFrame:
-    t = table(spark, sf_dir, "lineitem")
-    return t.select(
-        F.lit(6).alias("colref"),
-        *_meta(F.concat(F.lit("order:"), _text("l_orderkey")), F.lit(0), F.col("l_orderkey") + 1),
-        F.col("l_linenumber").cast("bigint").alias("row"),
-        F.concat("l_returnflag", "l_linestatus").alias("value"),
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "6 AS colref",
+        f"{_page('order', 'l_orderkey')} AS pid",
+        "0L AS rid",
+        "l_orderkey + 1 AS rev",
+        *CURRENT,
+        "CAST(l_linenumber AS BIGINT) AS row",
+        "CONCAT(l_returnflag, l_linestatus) AS value",
     )
 
 
 def items(spark, sf_dir) -> DataFrame:
     """Serial rows; part, supplier and line number make the row id."""
-    t = table(spark, sf_dir, "lineitem")
-    rid = F.col("l_partkey") * (1 << 34) + F.col("l_suppkey") * 8 + F.col("l_linenumber")
-    return t.select(
-        *_meta(F.concat(F.lit("order:"), _text("l_orderkey")), rid, F.lit(0)),
-        *_columns(
-            money("l_quantity"), money("l_extendedprice"), _ref("l_partkey"), _ref("l_suppkey")
-        ),
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        f"{_page('order', 'l_orderkey')} AS pid",
+        "l_partkey * 17179869184 + l_suppkey * 8 + l_linenumber AS rid",
+        "0L AS rev",
+        *CURRENT,
+        f"{money('l_quantity')} AS col1",
+        f"{money('l_extendedprice')} AS col2",
+        f"{_ref('l_partkey')} AS col3",
+        f"{_ref('l_suppkey')} AS col4",
     )
 
 
 def parts(spark, sf_dir) -> DataFrame:
-    t = table(spark, sf_dir, "part")
-    return t.select(
-        *_meta(F.lit(""), F.col("p_partkey") + 1, F.lit(0)),
-        *_columns(
-            F.col("p_name"),
-            F.col("p_brand"),
-            F.col("p_type"),
-            _text("p_size"),
-            F.split("p_name", " ")[0],
-        ),
+    return table(spark, sf_dir, "part").selectExpr(
+        "'' AS pid",
+        "p_partkey + 1 AS rid",
+        "0L AS rev",
+        *CURRENT,
+        "p_name AS col1",
+        "p_brand AS col2",
+        "p_type AS col3",
+        "CAST(p_size AS STRING) AS col4",
+        "SPLIT_PART(p_name, ' ', 1) AS col5",
     )
 
 
 def part_values(spark, sf_dir) -> DataFrame:
-    t = table(spark, sf_dir, "part")
-    return t.select(
-        F.lit(5).alias("colref"),
-        *_meta(F.lit(""), F.col("p_partkey") + 1, F.lit(0)),
-        F.posexplode(F.split("p_name", " ")).alias("row", "value"),
-    ).withColumn("row", (F.col("row") + 1).cast("bigint"))
+    words = table(spark, sf_dir, "part").selectExpr(
+        "p_partkey + 1 AS rid", "POSEXPLODE(SPLIT(p_name, ' ')) AS (at, value)"
+    )
+    return words.selectExpr(
+        "5 AS colref", "'' AS pid", "rid", "0L AS rev", *CURRENT, "at + 1L AS row", "value"
+    )
 
 
 def suppliers(spark, sf_dir) -> DataFrame:
-    t = table(spark, sf_dir, "supplier")
-    return t.select(
-        *_meta(F.lit(""), F.col("s_suppkey") + 1, F.lit(0)),
-        *_columns(F.col("s_name"), _ref("s_nationkey")),
+    return table(spark, sf_dir, "supplier").selectExpr(
+        "'' AS pid",
+        "s_suppkey + 1 AS rid",
+        "0L AS rev",
+        *CURRENT,
+        "s_name AS col1",
+        f"{_ref('s_nationkey')} AS col2",
     )
 
 
 def nations(spark, sf_dir) -> DataFrame:
-    t = table(spark, sf_dir, "nation")
-    return t.select(
-        *_meta(F.lit(""), F.col("n_nationkey") + 1, F.lit(0)),
-        *_columns(F.col("n_name"), _ref("n_regionkey")),
+    return table(spark, sf_dir, "nation").selectExpr(
+        "'' AS pid",
+        "n_nationkey + 1L AS rid",
+        "0L AS rev",
+        *CURRENT,
+        "n_name AS col1",
+        f"{_ref('n_regionkey')} AS col2",
     )
 
 
 def regions(spark, sf_dir) -> DataFrame:
-    t = table(spark, sf_dir, "region")
-    return t.select(*_meta(F.lit(""), F.col("r_regionkey") + 1, F.lit(0)), *_columns(F.col("r_name")))
+    return table(spark, sf_dir, "region").selectExpr(
+        "'' AS pid", "r_regionkey + 1L AS rid", "0L AS rev", *CURRENT, "r_name AS col1"
+    )
 
 
 def user_revisions(spark, sf_dir) -> DataFrame:
-    """Every event is a revision of its user's page, without flags."""
-    t = table(spark, sf_dir, "events")
-    return t.select(
-        F.concat(F.lit("user:"), _text("user_id")).alias("pid"),
-        F.lit(0).cast("bigint").alias("rid"),
-        _micros("ts").alias("rev"),
-        F.when(F.col("event_id") % 3 == 0, 1).alias("published"),
-        *_columns(F.col("event_type"), money("value")),
+    """Every event is a revision of its user's page, without the latest flag."""
+    return table(spark, sf_dir, "events").selectExpr(
+        f"{_page('user', 'user_id')} AS pid",
+        "0L AS rid",
+        "UNIX_MICROS(CAST(ts AS TIMESTAMP)) AS rev",
+        "CASE WHEN event_id % 3 = 0 THEN 1 END AS published",
+        "event_type AS col1",
+        f"{money('value')} AS col2",
     )
 
 
 def users(spark, sf_dir) -> DataFrame:
-    """User pages with the latest flag; the join key holds the revision, so no user is a hot key."""
-    revisions = user_revisions(spark, sf_dir)
-    newest = revisions.groupBy("pid").agg(F.max("rev").alias("rev"))
-    newest = newest.select(F.col("pid").alias("n_pid"), F.col("rev").alias("n_rev"))
-    same = (F.col("pid") == F.col("n_pid")) & (F.col("rev") == F.col("n_rev"))
-    flagged = revisions.join(newest, same, "left")
-    return flagged.select(
-        "pid",
-        "rid",
-        "rev",
-        F.col("n_pid").isNotNull().cast("int").alias("latest"),
-        "published",
-        "col1",
-        "col2",
+    """User pages with the latest flag."""
+    unflagged = user_revisions(spark, sf_dir).selectExpr(
+        "pid", "rid", "rev", "0 AS latest", "published", "col1", "col2"
     )
+    return with_latest(unflagged)
 
 
 def docs(spark, sf_dir) -> DataFrame:
-    t = table(spark, sf_dir, "documents")
-    return t.select(
-        *_meta(doc_pid(), F.lit(0), F.col("doc_id") + 1),
-        *_columns(F.col("lang"), F.col("source"), _text("n_chars"), F.col("text")),
+    return table(spark, sf_dir, "documents").selectExpr(
+        "CONCAT(lang, ':', source, ':doc', doc_id) AS pid",
+        "0L AS rid",
+        "doc_id + 1 AS rev",
+        *CURRENT,
+        "lang AS col1",
+        "source AS col2",
+        "CAST(n_chars AS STRING) AS col3",
+        "text AS col4",
     )
 
 
-def doc_pid():
-    return F.concat_ws(":", "lang", "source", F.concat(F.lit("doc"), _text("doc_id")))
+def _metadata(key: str) -> list[str]:
+    return [
+        f"CONCAT('editor', {key} % 7) AS lasteditor",
+        f"1600000000 + {key} * 86399 AS lastrev",
+        f"CONCAT('Summary ', {key} % 13) AS lastsummary",
+    ]
 
 
 def titles(spark, sf_dir) -> DataFrame:
     """Metadata of customer pages; every 11th has no title."""
-    t = table(spark, sf_dir, "customer")
-    key = F.col("c_custkey")
-    return t.select(
-        F.concat(F.lit("customer:"), key.cast("string")).alias("pid"),
-        F.when(key % 11 == 0, F.lit("")).otherwise(F.col("c_name")).alias("title"),
-        F.concat(F.lit("editor"), (key % 7).cast("string")).alias("lasteditor"),
-        (F.lit(1600000000) + key * 86399).alias("lastrev"),
-        F.concat(F.lit("Summary "), (key % 13).cast("string")).alias("lastsummary"),
+    return table(spark, sf_dir, "customer").selectExpr(
+        f"{_page('customer', 'c_custkey')} AS pid",
+        "CASE WHEN c_custkey % 11 = 0 THEN '' ELSE c_name END AS title",
+        *_metadata("c_custkey"),
     )
 
 
 def order_titles(spark, sf_dir) -> DataFrame:
     """Metadata of order pages, for the pseudo columns."""
-    t = table(spark, sf_dir, "orders")
-    key = F.col("o_orderkey")
-    return t.select(
-        F.concat(F.lit("order:"), key.cast("string")).alias("pid"),
-        F.concat(F.lit("Order "), key.cast("string")).alias("title"),
-        F.concat(F.lit("editor"), (key % 7).cast("string")).alias("lasteditor"),
-        (F.lit(1600000000) + key * 86399).alias("lastrev"),
-        F.concat(F.lit("Summary "), (key % 13).cast("string")).alias("lastsummary"),
+    return table(spark, sf_dir, "orders").selectExpr(
+        f"{_page('order', 'o_orderkey')} AS pid",
+        "CONCAT('Order ', o_orderkey) AS title",
+        *_metadata("o_orderkey"),
     )
 
 
 def order_pages(spark, sf_dir) -> DataFrame:
-    t = table(spark, sf_dir, "orders")
-    key = F.col("o_orderkey")
-    return t.select(
-        F.concat(F.lit("order:"), key.cast("string")).alias("pid"),
-        F.when(key % 17 == 0, 0).otherwise(1).alias("exists"),
-        F.when(key % 10 == 0, 0).otherwise(1).alias("access_level"),
+    return table(spark, sf_dir, "orders").selectExpr(
+        f"{_page('order', 'o_orderkey')} AS pid",
+        "IF(o_orderkey % 17 = 0, 0, 1) AS exists",
+        "IF(o_orderkey % 10 = 0, 0, 1) AS access_level",
     )
 
 
 def order_assignments(spark, sf_dir) -> DataFrame:
     """Every 7th order is withdrawn, every 5th has no entry."""
-    t = table(spark, sf_dir, "orders")
-    key = F.col("o_orderkey")
-    return t.filter(key % 5 != 0).select(
-        F.concat(F.lit("order:"), key.cast("string")).alias("pid"),
-        F.lit("order").alias("tbl"),
-        F.when(key % 7 == 0, 0).otherwise(1).alias("assigned"),
+    return table(spark, sf_dir, "orders").filter("o_orderkey % 5 <> 0").selectExpr(
+        f"{_page('order', 'o_orderkey')} AS pid",
+        "'order' AS tbl",
+        "IF(o_orderkey % 7 = 0, 0, 1) AS assigned",
     )
 
 
 def open_store(spark: SparkSession, sf_dir: str) -> Store:
-    """Everything readable; page metadata of the customers."""
+    """Everything readable; page metadata of the customers. Tables are opened when needed."""
     tune(spark)
     store = Store(spark, titles=titles(spark, sf_dir))
-    store.add(ORDER, orders(spark, sf_dir), order_values(spark, sf_dir))
-    store.add(ITEM, items(spark, sf_dir))
-    store.add(PART, parts(spark, sf_dir), part_values(spark, sf_dir))
-    store.add(SUPPLIER, suppliers(spark, sf_dir))
-    store.add(NATION, nations(spark, sf_dir))
-    store.add(REGION, regions(spark, sf_dir))
-    store.add(USER, users(spark, sf_dir))
-    store.add(DOC, docs(spark, sf_dir))
+
+    def later(view):
+        return lambda: view(spark, sf_dir)
+
+    store.add(ORDER, later(orders), later(order_values))
+    store.add(ITEM, later(items))
+    store.add(PART, later(parts), later(part_values))
+    store.add(SUPPLIER, later(suppliers))
+    store.add(NATION, later(nations))
+    store.add(REGION, later(regions))
+    store.add(USER, later(users))
+    store.add(DOC, later(docs))
     return store

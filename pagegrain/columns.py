@@ -102,6 +102,10 @@ class ColumnType:
     def name(self) -> str:
         return type(self).__name__
 
+    def raw(self, relation: Relation, cell: Cell) -> Column:
+        """The raw form alone, which most types give without a join."""
+        return cell.value
+
     def forms(self, relation: Relation, cell: Cell) -> Forms:
         return same_forms(cell.value)
 
@@ -126,9 +130,13 @@ class ColumnType:
     def split(self, c: Column) -> Column:
         return split_list(c)
 
-    def validated(self, c: Column) -> tuple[Column, Column]:
+    def parsed(self, c: Column) -> Column:
+        """What checking needs of an incoming value; computed once per value."""
+        return trimmed(c)
+
+    def checked(self, parsed: Column) -> tuple[Column, Column]:
         """Cleaned value and error text (NULL when there is none)."""
-        return trimmed(c), F.lit(None).cast("string")
+        return parsed, F.lit(None).cast("string")
 
     def shown(self, c: Column) -> Column:
         """Rendered text of a display value."""
@@ -159,9 +167,8 @@ class Text(_Affixed):
 
 
 class LongText(_Affixed):
-    def validated(self, c):
-        clean = F.regexp_replace(right_trimmed(c), r"\r\n?", "\n")
-        return clean, F.lit(None).cast("string")
+    def parsed(self, c):
+        return F.regexp_replace(right_trimmed(c), r"\r\n?", "\n")
 
 
 class Wiki(LongText):
@@ -181,10 +188,13 @@ class Url(_Affixed):
     def address(self, c: Column) -> Column:
         return show.url_of(c, self.config["prefix"], self.config["postfix"], self.config["autoscheme"])
 
-    def validated(self, c):
-        url = self.address(c)
+    def parsed(self, c):
+        return F.struct(trimmed(c).alias("text"), self.address(c).alias("url"))
+
+    def checked(self, parsed):
+        url = parsed["url"]
         valid = url.rlike(r"^(?i)(" + "|".join(self.config["schemes"]) + r")://.+")
-        return trimmed(c), F.when(~valid, F.concat(F.lit("not a valid address: "), url))
+        return parsed["text"], F.when(~valid, F.concat(F.lit("not a valid address: "), url))
 
     def shown(self, c):
         if self.config["fixedtitle"]:
@@ -194,10 +204,10 @@ class Url(_Affixed):
 
 
 class Mail(_Affixed):
-    def validated(self, c):
-        mail = self.affixed(trimmed(c))
+    def checked(self, parsed):
+        mail = self.affixed(parsed)
         bad = ~mail.rlike(MAIL_ADDRESS)
-        return trimmed(c), F.when(bad, F.concat(F.lit("not a valid mail address: "), mail))
+        return parsed, F.when(bad, F.concat(F.lit("not a valid mail address: "), mail))
 
 
 class Decimal(ColumnType):
@@ -224,17 +234,19 @@ class Decimal(ColumnType):
     def sort_keys(self, relation, cell):
         return [number(cell.value)]
 
-    def validated(self, c):
-        clean = F.replace(trimmed(c), F.lit(","), F.lit("."))
-        value = number(clean)
-        error = F.when(~is_number(clean), F.lit("a decimal number is needed"))
+    def parsed(self, c):
+        return F.replace(trimmed(c), F.lit(","), F.lit("."))
+
+    def checked(self, parsed):
+        value = number(parsed)
+        error = F.when(~is_number(parsed), F.lit("a decimal number is needed"))
         if self.config["min"] != "":
             low = float(self.config["min"])
             error = error.when(value < low, F.lit(f"must not be below {low:g}"))
         if self.config["max"] != "":
             high = float(self.config["max"])
             error = error.when(value > high, F.lit(f"must not be above {high:g}"))
-        return clean, error
+        return parsed, error
 
     def shown(self, c):
         affixes = {"prefix": self.config["prefix"], "postfix": self.config["postfix"]}
@@ -251,20 +263,20 @@ class Decimal(ColumnType):
         )
 
 
-def _whole(c: Column) -> Column:
-    return F.coalesce(F.regexp_extract(c, r"^\s*([+-]?\d+)", 1).try_cast("int"), F.lit(0))
+# A day is year, month and day between hyphens; what follows a number is ignored.
+DAY = r"(?s)^\s*\+?(\d+)[^-]*-\s*\+?(\d+)[^-]*-\s*\+?(\d+).*$"
 
 
 class Date(ColumnType):
     defaults = {"format": "yyyy/MM/dd", "pastonly": False, "futureonly": False, "now": None}
 
-    def _day(self, c: Column):
-        parts = F.split(c, "-", 3)
-        year, month, day = (_whole(F.coalesce(F.get(parts, F.lit(i)), F.lit(""))) for i in range(3))
-        midnight = F.lit(0)
-        stamp = F.try_make_timestamp(year, month, day, midnight, midnight, midnight)
-        real = stamp.isNotNull() & year.between(1, 32767)
-        return F.format_string("%d-%02d-%02d", year, month, day), stamp, real
+    def _day(self, c: Column) -> Column:
+        """The day a text names, NULL when there is no such day."""
+        return F.try_to_date(F.regexp_replace(c, DAY, "$1-$2-$3"), "y-M-d")
+
+    @staticmethod
+    def _exists(day: Column) -> Column:
+        return F.coalesce(F.year(day).between(1, 32767), F.lit(False))
 
     def _limits(self, error: Column, stamp: Column) -> Column:
         now = F.lit(self.config["now"]).cast("timestamp") if self.config["now"] else F.now()
@@ -274,10 +286,12 @@ class Date(ColumnType):
             error = error.when(stamp < now, F.lit("must be in the future"))
         return error
 
-    def validated(self, c):
-        text, stamp, real = self._day(F.split(trimmed(c), " ", 2)[0])
-        error = F.when(~real, F.lit("not a valid date"))
-        return text, self._limits(error, stamp)
+    def parsed(self, c):
+        return self._day(F.substring_index(trimmed(c), " ", 1))
+
+    def checked(self, parsed):
+        error = F.when(~self._exists(parsed), F.lit("not a valid date"))
+        return F.date_format(parsed, "y-MM-dd"), self._limits(error, parsed.cast("timestamp"))
 
     def shown(self, c):
         return show.date_display(c, self.config["format"])
@@ -289,15 +303,23 @@ class DateTime(Date):
     def sort_keys(self, relation, cell):
         return [cell.value]
 
-    def validated(self, c):
-        parts = F.split(trimmed(c), r"[ |T]", 2)
-        text, stamp, real = self._day(trimmed(parts[0]))
-        clock = F.split(trimmed(F.coalesce(F.get(parts, F.lit(1)), F.lit(""))), ":", 3)
-        hour, minute = (_whole(F.coalesce(F.get(clock, F.lit(i)), F.lit(""))) for i in range(2))
-        in_range = hour.between(0, 23) & minute.between(0, 59)
-        error = F.when(~(real & in_range), F.lit("not a valid date and time"))
-        at = F.timestamp_micros(F.unix_micros(stamp) + (hour * 60 + minute).cast("bigint") * 60_000_000)
-        return F.format_string("%s %02d:%02d", text, hour, minute), self._limits(error, at)
+    def parsed(self, c):
+        text = trimmed(c)
+        hour = F.regexp_extract(text, r"(?s)^[^ |T]*[ |T]\s*([+-]?\d+)", 1)
+        minute = F.regexp_extract(text, r"(?s)^[^ |T]*[ |T][^:]*:\s*([+-]?\d+)", 1)
+        return F.struct(
+            self._day(F.regexp_extract(text, r"^([^ |T]*)", 1)).alias("day"),
+            F.coalesce(hour.try_cast("bigint"), F.lit(0)).alias("hour"),
+            F.coalesce(minute.try_cast("bigint"), F.lit(0)).alias("minute"),
+        )
+
+    def checked(self, parsed):
+        day, hour, minute = parsed["day"], parsed["hour"], parsed["minute"]
+        real = self._exists(day) & hour.between(0, 23) & minute.between(0, 59)
+        error = F.when(~real, F.lit("not a valid date and time"))
+        clock = F.format_string("%s %02d:%02d", F.date_format(day, "y-MM-dd"), hour, minute)
+        seconds = F.unix_timestamp(day.cast("timestamp")) + hour * 3600 + minute * 60
+        return clock, self._limits(error, F.timestamp_seconds(seconds))
 
 
 class Page(ColumnType):
@@ -321,12 +343,11 @@ class Page(ColumnType):
             return super().sort_keys(relation, cell)
         return [nocase(relation.title(cell, "title")), cell.value]
 
-    def validated(self, c):
-        parts = F.split(c, "#", 2)
-        fragment = clean_id(F.coalesce(F.get(parts, F.lit(1)), F.lit("")))
-        page = clean_id(parts[0])
-        clean = F.when(fragment != "", F.concat(page, F.lit("#"), fragment)).otherwise(page)
-        return clean, F.lit(None).cast("string")
+    def parsed(self, c):
+        page = clean_id(F.substring_index(c, "#", 1))
+        fragment = clean_id(F.regexp_extract(c, r"(?s)#(.*)$", 1))
+        clean = F.rtrim(F.concat(page, F.lit("#"), fragment), F.lit("#"))
+        return F.when(F.contains(c, F.lit("#")), clean).otherwise(page)
 
 
 class User(ColumnType):
@@ -349,10 +370,13 @@ class Checkbox(ColumnType):
 class Color(ColumnType):
     defaults = {"default": "#ffffff"}
 
-    def validated(self, c):
-        clean = trimmed(F.lower(c))
-        error = F.when(~clean.rlike(r"^#[a-f0-9]{6}$"), F.lit("not a valid colour"))
-        return F.when(clean == self.config["default"].lower(), F.lit("")).otherwise(clean), error
+    def parsed(self, c):
+        return trimmed(F.lower(c))
+
+    def checked(self, parsed):
+        error = F.when(~parsed.rlike(r"^#[a-f0-9]{6}$"), F.lit("not a valid colour"))
+        plain = parsed == self.config["default"].lower()
+        return F.when(plain, F.lit("")).otherwise(parsed), error
 
     def cloud_key(self, display):
         return show.hue(display)
@@ -361,16 +385,15 @@ class Color(ColumnType):
 class Media(ColumnType):
     defaults = {"mime": "image/"}
 
-    def validated(self, c):
-        clean = trimmed(c)
+    def checked(self, parsed):
         allowed = [item.strip() for item in self.config["mime"].split(",") if item.strip()]
         if not allowed:
-            return clean, F.lit(None).cast("string")
-        extension = F.lower(F.regexp_extract(clean, r"\.([A-Za-z0-9]+)$", 1))
+            return parsed, F.lit(None).cast("string")
+        extension = F.lower(F.regexp_extract(parsed, r"\.([A-Za-z0-9]+)$", 1))
         known = F.create_map(*[F.lit(part) for item in MEDIA_TYPES.items() for part in item])
         mime = F.coalesce(F.try_element_at(known, extension), F.lit(""))
         fits = any_of([F.startswith(mime, F.lit(item)) for item in allowed])
-        return clean, F.when(~fits, F.concat(F.lit("media type not allowed: "), mime))
+        return parsed, F.when(~fits, F.concat(F.lit("media type not allowed: "), mime))
 
 
 class Lookup(ColumnType):
@@ -413,6 +436,9 @@ class LastUpdate(DateTime):
         stamp = F.timestamp_seconds(relation.title(cell, "lastrev"))
         return F.date_format(stamp, "yyyy-MM-dd HH:mm:ss")
 
+    def raw(self, relation, cell):
+        return self._text(relation, cell)
+
     def forms(self, relation, cell):
         return same_forms(self._text(relation, cell))
 
@@ -426,6 +452,9 @@ class LastUpdate(DateTime):
 class _PageMetadata(ColumnType):
     field = ""
 
+    def raw(self, relation, cell):
+        return relation.title(cell, self.field)
+
     def forms(self, relation, cell):
         return same_forms(relation.title(cell, self.field))
 

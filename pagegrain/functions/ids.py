@@ -12,13 +12,11 @@ def clean_id(c: Column) -> Column:
     Covers the part of the host's rules that data can rely on: lower case, ``/`` and ``;`` as
     separators, other special characters as ``_``, no doubled or dangling separators.
     """
-    out = F.lower(F.trim(c))
-    out = F.regexp_replace(out, r"[/;]+", ":")
-    out = F.regexp_replace(out, r"[^\p{L}\p{N}:._-]+", "_")
-    out = F.regexp_replace(out, r"_{2,}", "_")
-    out = F.regexp_replace(out, r":{2,}", ":")
+    is_clean = c.rlike(r"^[a-z0-9]+(?:[:_.-][a-z0-9]+)*$")
+    out = F.regexp_replace(F.lower(F.trim(c)), r"[/;:]+", ":")
+    out = F.regexp_replace(out, r"[^\p{L}\p{N}:.-]+", "_")
     out = F.regexp_replace(out, r"(:[._-]+)|([._-]+:)", ":")
-    return F.regexp_replace(out, r"^[:._-]+|[:._-]+$", "")
+    return F.when(is_clean, c).otherwise(F.regexp_replace(out, r"^[:._-]+|[:._-]+$", ""))
 
 
 def namespace(c: Column) -> Column:

@@ -25,12 +25,17 @@ def json_item(c: Column, index: int) -> Column:
     return F.get_json_object(c, f"$[{index}]")
 
 
+# References as they are written here, with nothing to unescape; others go through the JSON parser.
+PLAIN = r'^\["([^"\\]*)",(\d+)\]$'
+
+
 def referenced_page(c: Column) -> Column:
-    return json_item(c, 0)
+    return F.when(c.rlike(PLAIN), F.regexp_extract(c, PLAIN, 1)).otherwise(json_item(c, 0))
 
 
 def referenced_row(c: Column) -> Column:
-    return json_item(c, 1).try_cast("bigint")
+    plain = F.regexp_extract(c, PLAIN, 2).try_cast("bigint")
+    return F.coalesce(plain, json_item(c, 1).try_cast("bigint"))
 
 
 def decoded(c: Column) -> Column:

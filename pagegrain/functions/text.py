@@ -32,8 +32,8 @@ def right_trimmed(c: Column) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    """True for NULL, empty and whitespace-only text."""
-    return F.coalesce(trimmed(c) == "", F.lit(True))
+    """True for NULL, empty and whitespace-only text; looks no further than the first other sign."""
+    return F.coalesce(~c.rlike(r"[^ \t\n\r\x00\x0b]"), F.lit(True))
 
 
 def or_empty(c: Column) -> Column:
@@ -48,8 +48,10 @@ def nocase(c: Column) -> Column:
 
 def number(c: Column) -> Column:
     """Numeric value of the longest numeric prefix, 0 without one, NULL for NULL."""
-    prefix = F.regexp_extract(c, NUMERIC_PREFIX, 1)
-    return F.when(c.isNotNull(), F.coalesce(prefix.try_cast("double"), F.lit(0.0)))
+    # texts of digits, point and sign need no expression search
+    plain = F.when(F.translate(c, "0123456789.+-", "") == "", c.try_cast("double"))
+    prefix = F.regexp_extract(c, NUMERIC_PREFIX, 1).try_cast("double")
+    return F.coalesce(plain, prefix, F.when(c.isNotNull(), F.lit(0.0)))
 
 
 def is_number(c: Column) -> Column:

@@ -36,7 +36,7 @@ def sums(store: Store, spec: SearchSpec) -> DataFrame:
         cell = trimmed(F.col(f"c{i}_raw"))
         total = F.sum(F.when(is_number(cell), cell.try_cast("double")))
         totals.append(F.nullif(total, F.lit(0.0)).alias(name))
-    return found.cells.agg(*totals)
+    return found.raw_cells.agg(*totals)
 
 
 def cloud(store: Store, spec: SearchSpec, minimum: int = 0, limit: int = 0) -> DataFrame:

@@ -62,7 +62,8 @@ def record_cells(store: Store, schema: Schema, rows: DataFrame) -> DataFrame:
     values = store.multi(schema.name).filter(F.col("colref").isin([c.colref for _, c in multi]))
     values = values.select("colref", *DATA_KEYS, "row", "value")
     values = values.join(rows.select(*DATA_KEYS), DATA_KEYS, "left_semi")
-    lists = folded(value_forms(store, values, multi), DATA_KEYS, multi)
+    values, forms = value_forms(store, values, multi)
+    lists = folded(values, DATA_KEYS, multi, forms)
     none = F.array().cast("array<string>")
     names = [f"c{i}_{form}" for i, _ in multi for form in FORMS]
     joined = cells.join(lists, DATA_KEYS, "left")

@@ -12,24 +12,21 @@ from ..store import Store
 from .revisions import given_columns, records
 
 
-def _clean_single(column: SchemaColumn, cell: Column) -> tuple[Column, Column]:
-    given = F.coalesce(cell, F.lit(""))
-    clean, error = column.type.validated(given)
+def _single(column: SchemaColumn, cell: Column) -> tuple[Column, Column]:
+    """Cleaned value and list of errors; blank values and those with an error stay as they came."""
+    given = cell["given"]
+    clean, error = column.type.checked(cell["parsed"])
     blank = is_blank(given)
-    message = F.concat(F.lit(f"{column.label}: "), error)
-    return F.when(blank, given).otherwise(clean), F.when(~blank, message)
+    message = F.when(~blank, F.concat(F.lit(f"{column.label}: "), error))
+    kept = F.when(blank | error.isNotNull(), given).otherwise(clean)
+    return kept, F.array_compact(F.array(message))
 
 
-def _clean_list(column: SchemaColumn, items: Column) -> tuple[Column, Column]:
+def _several(column: SchemaColumn, cells: Column) -> tuple[Column, Column]:
     """Cleaned list and list of errors; an empty list keeps one blank, so that saving clears."""
-    filled = F.filter(items, lambda v: ~is_blank(v))
-    clean = F.transform(filled, lambda v: column.type.validated(v)[0])
-    errors = F.transform(filled, lambda v: column.type.validated(v)[1])
-    clean = F.when(F.size(filled) == 0, F.array(F.lit(""))).otherwise(clean)
-    messages = F.transform(
-        F.array_compact(errors), lambda e: F.concat(F.lit(f"{column.label}: "), e)
-    )
-    return clean, messages
+    clean = F.transform(cells, lambda v: _single(column, v)[0])
+    errors = F.flatten(F.transform(cells, lambda v: _single(column, v)[1]))
+    return F.when(F.size(cells) == 0, F.array(F.lit(""))).otherwise(clean), errors
 
 
 def validated(
@@ -41,23 +38,31 @@ def validated(
     comma-separated text. All columns are checked, so a record reports all its errors.
     """
     columns = given_columns(schema, incoming, keys)
-    out, errors, lookups = [F.col(key) for key in keys], [], []
-    for column in columns:
+    staged = [F.col(key) for key in keys]
+    for i, column in enumerate(columns):
         cell = F.col(f"`{column.label}`")
-        if column.multi:
-            if incoming.schema[column.label].dataType.typeName() != "array":
-                cell = column.type.split(F.coalesce(cell, F.lit("")))
-            clean, messages = _clean_list(column, F.coalesce(cell, F.array().cast("array<string>")))
-            errors.append(messages)
-        else:
-            clean, message = _clean_single(column, cell)
-            errors.append(F.array_compact(F.array(message)))
+
+        def read(given, column=column):
+            return F.struct(given.alias("given"), column.type.parsed(given).alias("parsed"))
+
+        if not column.multi:
+            staged.append(read(F.coalesce(cell, F.lit(""))).alias(f"cell{i}"))
+            continue
+        if incoming.schema[column.label].dataType.typeName() != "array":
+            cell = column.type.split(F.coalesce(cell, F.lit("")))
+        filled = F.filter(F.coalesce(cell, F.array().cast("array<string>")), lambda v: ~is_blank(v))
+        staged.append(F.transform(filled, read).alias(f"cell{i}"))
+    out, errors = [F.col(key) for key in keys], []
+    for i, column in enumerate(columns):
+        clean, messages = (_several if column.multi else _single)(column, F.col(f"cell{i}"))
         out.append(clean.alias(column.label))
-        if users is not None and isinstance(column.type, User) and column.type.config["existingonly"]:
-            lookups.append(column)
-    checked = incoming.select(*out, F.concat(*errors).alias("errors"))
-    for column in lookups:
-        checked = _check_users(checked, column, keys, users)
+        errors.append(messages)
+    checked = incoming.select(*staged).select(*out, F.concat(*errors).alias("errors"))
+    if users is None:
+        return checked
+    for column in columns:
+        if isinstance(column.type, User) and column.type.config["existingonly"]:
+            checked = _check_users(checked, column, keys, users)
     return checked
 
 

@@ -30,62 +30,63 @@ def value_rows(store: Store, table: str, colrefs: list[int], current_only: bool)
     return rows.select("colref", *DATA_KEYS, "row", "value")
 
 
-def value_forms(store: Store, rows: DataFrame, columns: list[tuple[int, SchemaColumn]]) -> DataFrame:
-    """Add ``slot`` (position in the select list), ``raw``, ``display`` and ``compare``; drop blanks.
+def value_forms(
+    store: Store, rows: DataFrame, columns: list[tuple[int, SchemaColumn]]
+) -> tuple[DataFrame, list[str]]:
+    """Add ``slot`` (position in the select list) and the forms of each value; drop blanks.
 
-    One stored column may be selected more than once, hence the slots.
+    Plain values have the same text in all forms and carry ``raw`` only; the forms present are
+    returned as well. One stored column may be selected more than once, hence the slots.
     """
     relation = Relation(store, rows)
     cell = Cell(F.col("value"), "value", "")
-    per_slot = []
-    for slot, column in columns:
-        forms = column.type.forms(relation, cell)
-        per_slot.append((slot, column.colref, forms))
+    per_slot = [(slot, column.type.forms(relation, cell)) for slot, column in columns]
+    plain = all(form.display is cell.value for _, form in per_slot)
+    forms = ["raw"] if plain else list(FORMS)
 
     def choose(form: str) -> Column:
-        if all(getattr(forms, form) is cell.value for _, _, forms in per_slot):
+        if all(getattr(have, form) is cell.value for _, have in per_slot):
             return cell.value
         chosen = F.lit("")
-        for slot, _, forms in per_slot:
-            chosen = F.when(F.col("slot") == slot, getattr(forms, form)).otherwise(chosen)
+        for slot, have in per_slot:
+            chosen = F.when(F.col("slot") == slot, getattr(have, form)).otherwise(chosen)
         # what a reference to a missing row shows is empty
         return F.coalesce(chosen, F.lit(""))
 
-    if len({ref for _, ref, _ in per_slot}) == len(per_slot):
+    if len({column.colref for _, column in columns}) == len(columns):
         slots = F.lit(None).cast("int")
-        for slot, ref, _ in per_slot:
-            slots = F.when(F.col("colref") == ref, F.lit(slot)).otherwise(slots)
+        for slot, column in columns:
+            slots = F.when(F.col("colref") == column.colref, F.lit(slot)).otherwise(slots)
     else:
-        by_ref = [F.when(F.col("colref") == ref, F.lit(slot)) for slot, ref, _ in per_slot]
-        slots = F.explode(F.array_compact(F.array(*by_ref)))
-    df = relation.df.withColumn("slot", slots)
-    shown = [choose(form).alias(form) for form in FORMS]
+        wanted = [F.when(F.col("colref") == c.colref, F.lit(slot)) for slot, c in columns]
+        slots = F.explode(F.array_compact(F.array(*wanted)))
     keep = [c for c in rows.columns if c not in ("colref", "value")]
-    out = df.select(*keep, "slot", *shown)
-    return out.filter(~is_blank(F.col("raw")))
+    df = relation.df.withColumn("slot", slots)
+    out = df.select(*keep, "slot", *[choose(form).alias(form) for form in forms])
+    return out.filter(~is_blank(F.col("raw"))), forms
 
 
-def distinct_values(forms: DataFrame, keys: list[str]) -> DataFrame:
+def distinct_values(values: DataFrame, keys: list[str], forms: list[str]) -> DataFrame:
     """Each value of a cell once, at its first position."""
-    return forms.groupBy(*keys, "slot", *FORMS).agg(F.min("row").alias("row"))
+    return values.groupBy(*keys, "slot", *forms).agg(F.min("row").alias("row"))
 
 
-def folded(forms: DataFrame, keys: list[str], columns: list[tuple[int, SchemaColumn]]) -> DataFrame:
-    """One row per key with the lists ``c<slot>_raw``, ``_display`` and ``_compare``."""
-    item = F.struct("row", *FORMS)
+def folded(
+    values: DataFrame, keys: list[str], columns: list[tuple[int, SchemaColumn]], forms: list[str]
+) -> DataFrame:
+    """One row per key with the lists ``c<slot>_<form>``."""
+    item = F.struct("row", *forms)
     lists = [
         F.array_sort(F.collect_list(F.when(F.col("slot") == slot, item))).alias(f"c{slot}")
         for slot, _ in columns
     ]
-    grouped = distinct_values(forms, keys).groupBy(*keys).agg(*lists)
-    return grouped.select(
-        *keys,
-        *[
-            F.col(f"c{slot}.{form}").alias(f"c{slot}_{form}")
-            for slot, _ in columns
-            for form in FORMS
-        ],
-    )
+    grouped = distinct_values(values, keys, forms).groupBy(*keys).agg(*lists)
+    shown = [
+        F.col(f"c{slot}.{form if form in forms else 'raw'}").alias(f"c{slot}_{form}")
+        for slot, _ in columns
+        for form in FORMS
+    ]
+    return grouped.select(*keys, *shown)
 
 
 def match_flags(store: Store, rows: DataFrame, tests: list) -> DataFrame:
@@ -109,11 +110,10 @@ def match_flags(store: Store, rows: DataFrame, tests: list) -> DataFrame:
 def single_forms(forms) -> list[Column]:
     """The forms of a single cell; blank cells show as empty text."""
     raw = or_empty(forms.raw)
-    blank = is_blank(forms.raw)
     out = [raw]
     for form in (forms.display, forms.compare):
         if form is forms.raw:
             out.append(raw)
         else:
-            out.append(F.when(blank, F.lit("")).otherwise(F.coalesce(form, F.lit(""))))
+            out.append(F.when(is_blank(forms.raw), F.lit("")).otherwise(F.coalesce(form, F.lit(""))))
     return out

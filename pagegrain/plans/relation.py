@@ -14,7 +14,7 @@ TITLE_FIELDS = ["pid", "title", "lasteditor", "lastrev", "lastsummary"]
 
 
 def prefixed(df: DataFrame, prefix: str, columns: list[str]) -> DataFrame:
-    return df.select([F.col(name).alias(prefix + name) for name in columns])
+    return df.select(*columns).toDF(*[prefix + name for name in columns])
 
 
 class Relation:
@@ -29,6 +29,15 @@ class Relation:
         self.df = df
         self._joined: dict[str, str] = {}
 
+    def copy(self) -> Relation:
+        other = Relation(self.store, self.df)
+        other._joined = dict(self._joined)
+        return other
+
+    @property
+    def joins(self) -> int:
+        return len(self._joined)
+
     def _once(self, name: str, attach) -> str:
         if name not in self._joined:
             prefix = f"j{len(self._joined)}__"

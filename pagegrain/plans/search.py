@@ -13,9 +13,9 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..columns import Cell, Lookup
+from ..columns import Cell, Lookup, Page, same_forms
 from ..errors import StructureError
-from ..functions.text import all_of, any_of, is_blank
+from ..functions.text import all_of, any_of, is_blank, or_empty
 from ..schema import SchemaColumn
 from ..store import DATA_KEYS, DATA_META, Store
 from .folding import (
@@ -275,7 +275,7 @@ class Search:
         if check_empty:
             for _, column in self.single_columns:
                 if not column.pseudo:
-                    raw = column.type.forms(relation, self._cell(column)).raw
+                    raw = column.type.raw(relation, self._cell(column))
                     filled.append(~is_blank(raw))
             relation.df = relation.df.filter(any_of(filled))
 
@@ -293,8 +293,12 @@ class Search:
         """Lists are folded for the shown page only, so empty rows must be known before."""
         return bool(self.spec.limit or self.spec.offset)
 
-    def _records(self, check_empty: bool) -> DataFrame:
-        """Filtered records with cells, sort keys and the identity of each joined row."""
+    def _records(self, check_empty: bool, display: bool = True) -> DataFrame:
+        """Filtered records: keys, raw cells, sort keys and the identity of each joined row.
+
+        Display and compare forms are added here where they cost no join, or where all rows are
+        returned; otherwise :meth:`_with_display` adds them to the shown page.
+        """
         relation = self._base()
         self._apply_filters(relation, check_empty)
         first = self._prefix[self.names.schemas[0].name]
@@ -303,16 +307,53 @@ class Search:
             out.append(F.col("assignment__assigned").alias("assigned"))
         else:
             out.append(F.lit(None).cast("int").alias("assigned"))
-        for i, column in self.single_columns:
-            forms = column.type.forms(relation, self._cell(column))
-            out += [f.cast("string").alias(f"c{i}_{n}") for n, f in zip(FORMS, single_forms(forms))]
         for n, (column, _) in enumerate(self.sort_columns):
             keys = column.type.sort_keys(relation, self._cell(column))
             out += [key.alias(f"s{n}_{k}") for k, key in enumerate(keys)]
+        for i, column in self.single_columns:
+            cell = self._cell(column)
+            raw = or_empty(column.type.raw(relation, cell)).cast("string")
+            out.append(raw.alias(f"c{i}_raw"))
+            if not display:
+                continue
+            trial = relation.copy()
+            forms = column.type.forms(trial, cell)
+            if forms.display is forms.raw:
+                continue
+            if trial.joins > relation.joins and self._folds_late:
+                continue
+            relation = trial
+            out += self._display(i, forms)
         owners = {column.table: self._identity(column) for _, column in self.multi_columns}
         out += [F.col(name) for names in owners.values() for name in names]
         return relation.df.select(*out)
 
+    @staticmethod
+    def _display(i: int, forms) -> list[Column]:
+        _, shown, compared = single_forms(forms)
+        return [
+            shown.cast("string").alias(f"c{i}_display"),
+            compared.cast("string").alias(f"c{i}_compare"),
+        ]
+
+    def _with_display(self, rows: DataFrame) -> DataFrame:
+        """Add the display and compare forms that are not there yet."""
+        relation = Relation(self.store, rows)
+        added = {}
+        for i, column in self.single_columns:
+            if f"c{i}_display" in rows.columns:
+                continue
+            raw = F.col(f"c{i}_raw")
+            if column.pseudo and not isinstance(column.type, Page):
+                forms = same_forms(raw)
+            else:
+                forms = column.type.forms(relation, Cell(raw, f"c{i}_raw", ""))
+            if forms.display is forms.raw:
+                added[f"c{i}_display"] = added[f"c{i}_compare"] = raw
+            else:
+                _, added[f"c{i}_display"], added[f"c{i}_compare"] = single_forms(forms)
+        return relation.df.select(*rows.columns, *[c.alias(name) for name, c in added.items()])
+
     def _sort_names(self, df: DataFrame) -> list[Column]:
         order = []
         for n, (_, ascending) in enumerate(self.sort_columns):
@@ -326,22 +367,22 @@ class Search:
             ties += [F.col(f"c{i}_raw") for i, _ in self.single_columns]
         return self._sort_names(df) + ties
 
-    @property
-    def _single_names(self) -> list[str]:
-        return [f"c{i}_{form}" for i, _ in self.single_columns for form in FORMS]
-
     def _group_keys(self) -> list[str]:
-        return ["pid", "rid", *self._single_names] if self.grouped else list(ROW_KEYS)
+        raw = [f"c{i}_raw" for i, _ in self.single_columns]
+        return ["pid", "rid", *raw] if self.grouped else list(ROW_KEYS)
 
     def _merged(self, records: DataFrame) -> DataFrame:
         """Rows that agree in page, row id and all single cells become one."""
         if not self.grouped:
             return records
-        extra = [c for c in records.columns if c.startswith("s") and c[1:2].isdigit()]
+        sorts = [c for c in records.columns if c.startswith("s") and c[1:2].isdigit()]
+        # what a cell shows follows from its raw form
+        shown = [c for c in records.columns if c.endswith(("_display", "_compare"))]
         return records.groupBy(*self._group_keys()).agg(
             F.max("rev").alias("rev"),
             F.max("assigned").alias("assigned"),
-            *[F.max_by(name, "rev").alias(name) for name in extra],
+            *[F.max_by(name, "rev").alias(name) for name in sorts],
+            *[F.max(name).alias(name) for name in shown],
         )
 
     def _paged(self, rows: DataFrame) -> DataFrame:
@@ -368,7 +409,7 @@ class Search:
             rows = owners.join(rows, same).select(*keys, "colref", "row", "value")
         elif shown is not None:
             rows = rows.join(shown.select(*keys), keys, "left_semi")
-        return keys, value_forms(self.store, rows, columns)
+        return keys, *value_forms(self.store, rows, columns)
 
     @staticmethod
     def _attach(rows: DataFrame, keys: list[str], side: DataFrame) -> DataFrame:
@@ -380,7 +421,12 @@ class Search:
     @cached_property
     def cells(self) -> DataFrame:
         """All rows of the result: keys, ``assigned``, ``c<i>_raw/_display/_compare``, sort keys."""
-        return self._cells(exploded=())
+        return self._cells()
+
+    @cached_property
+    def raw_cells(self) -> DataFrame:
+        """Like :attr:`cells`, with raw single cells only, so without joins for display."""
+        return self._cells(display=False)
 
     def exploded(self, *positions: int) -> DataFrame:
         """Like :attr:`cells`, with one row per value of the given multi-valued columns.
@@ -391,27 +437,33 @@ class Search:
 
     def without_lists(self) -> DataFrame:
         """Like :attr:`cells`, with the single-valued columns only."""
-        return self._cells(exploded=(), lists=False)
+        return self._cells(lists=False)
 
-    def _cells(self, exploded: tuple[int, ...], lists: bool = True) -> DataFrame:
+    def _cells(
+        self, exploded: tuple[int, ...] = (), lists: bool = True, display: bool = True
+    ) -> DataFrame:
         drop_empty = self._drop_empty_needed()
         folding = [(i, c) for i, c in self.multi_columns if lists and i not in exploded]
         # folded lists tell by themselves which rows are empty, unless rows are counted off before
         before = drop_empty and (self._folds_late or bool(exploded) or not folding)
-        records = self._records(check_empty=before)
+        records = self._records(before, display)
         rows = self._paged(self._merged(records))
         shown = rows if self._folds_late else None
+        if display:
+            rows = self._with_display(rows)
         for i in exploded:
             column = self.columns[i]
-            keys, values = self._values(column.table, [(i, column)], shown, records)
-            named = {form: f"c{i}_{form}" for form in FORMS}
-            values = distinct_values(values, keys).drop("slot").withColumnsRenamed(named)
-            rows = self._attach(rows, keys, values.withColumnRenamed("row", f"c{i}_row"))
-            rows = rows.fillna("", list(named.values()))
+            keys, values, forms = self._values(column.table, [(i, column)], shown, records)
+            values = distinct_values(values, keys, forms).select(
+                *keys,
+                F.col("row").alias(f"c{i}_row"),
+                *[F.col(f if f in forms else "raw").alias(f"c{i}_{f}") for f in FORMS],
+            )
+            rows = self._attach(rows, keys, values).fillna("", [f"c{i}_{form}" for form in FORMS])
         for table in dict.fromkeys(c.table for _, c in folding):
             columns = [(i, c) for i, c in folding if c.table == table]
-            keys, values = self._values(table, columns, shown, records)
-            rows = self._attach(rows, keys, folded(values, keys, columns))
+            keys, values, forms = self._values(table, columns, shown, records)
+            rows = self._attach(rows, keys, folded(values, keys, columns, forms))
         none = F.array().cast("array<string>")
         names = [f"c{i}_{form}" for i, _ in folding for form in FORMS]
         if names:
@@ -493,7 +545,7 @@ class Search:
 
     def count(self) -> DataFrame:
         """Number of rows regardless of paging, as a one-row DataFrame."""
-        rows = self._merged(self._records(check_empty=self._drop_empty_needed()))
+        rows = self._merged(self._records(self._drop_empty_needed(), display=False))
         return rows.agg(F.count(F.lit(1)).alias("count"))
 
 

@@ -16,6 +16,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # larger generated methods are never compiled to machine code by HotSpot
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

@@ -147,7 +147,7 @@ def import_csv(
 def schema_rows(store: Store, schema_name: str, kind: str) -> DataFrame:
     """Export form of a schema: raw values, lists joined with commas, ``pid`` unless global."""
     found = Search(store, SearchSpec((schema_name,), ("*",)))
-    rows = found.cells
+    rows = found.raw_cells
     out = [] if kind == "global" else [F.col("pid")]
     for i, column in enumerate(found.columns):
         cell = F.col(f"c{i}_raw")

@@ -7,11 +7,13 @@
 ``assignments``    pid, tbl, assigned
 ``users``          login, name
 
-Tables that are not given switch off the check that needs them.
+Tables that are not given switch off the check that needs them. A data or value table may be given as
+a function that opens it; it is called when a query first needs the table.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .errors import StructureError
 from .schema import Schema, SchemaColumn, clean_table_name, pseudo_column
 
+Table = DataFrame | Callable[[], DataFrame]
+
 DATA_KEYS = ["pid", "rid", "rev"]
 DATA_META = ["pid", "rid", "rev", "latest", "published"]
 MULTI_COLUMNS = ["colref", "pid", "rid", "rev", "latest", "published", "row", "value"]
@@ -28,15 +32,15 @@ MULTI_COLUMNS = ["colref", "pid", "rid", "rev", "latest", "published", "row", "v
 class Store:
     spark: SparkSession
     schemas: dict[str, Schema] = field(default_factory=dict)
-    data_tables: dict[str, DataFrame] = field(default_factory=dict)
-    multi_tables: dict[str, DataFrame] = field(default_factory=dict)
+    data_tables: dict[str, Table] = field(default_factory=dict)
+    multi_tables: dict[str, Table] = field(default_factory=dict)
     titles: DataFrame | None = None
     pages: DataFrame | None = None
     assignments: DataFrame | None = None
     users: DataFrame | None = None
     language: str = "en"
 
-    def add(self, schema: Schema, data: DataFrame, multi: DataFrame | None = None) -> Store:
+    def add(self, schema: Schema, data: Table, multi: Table | None = None) -> Store:
         self.schemas[schema.name] = schema
         self.data_tables[schema.name] = data
         if multi is not None:
@@ -49,8 +53,14 @@ class Store:
             raise StructureError(f"schema missing: {name}")
         return self.schemas[key]
 
+    @staticmethod
+    def _opened(tables: dict[str, Table], key: str) -> DataFrame:
+        if not isinstance(tables[key], DataFrame):
+            tables[key] = tables[key]()
+        return tables[key]
+
     def data(self, name: str) -> DataFrame:
-        return self.data_tables[self.schema(name).name]
+        return self._opened(self.data_tables, self.schema(name).name)
 
     def multi(self, name: str) -> DataFrame:
         key = self.schema(name).name
@@ -60,7 +70,7 @@ class Store:
                 "latest int, published int, row bigint, value string"
             )
             self.multi_tables[key] = self.spark.createDataFrame([], empty)
-        return self.multi_tables[key]
+        return self._opened(self.multi_tables, key)
 
     def reference_target(self, schema_name: str, label: str) -> SchemaColumn | None:
         """Column behind a reference; ``$LANG`` in the label picks a language column."""

@@ -743,7 +743,7 @@ def intake_rows(spark, sf_dir):
     when = F.col("o_orderdate")
     return t.select(
         F.col("o_orderkey").alias("line"),
-        F.concat(F.lit(" "), F.replace(catalog.money("o_totalprice"), F.lit("."), F.lit(","))).alias("total"),
+        F.concat(F.lit(" "), F.replace(F.expr(catalog.money("o_totalprice")), F.lit("."), F.lit(","))).alias("total"),
         F.concat(F.date_format(when, "yyyy-M-d"), F.lit("T7:"), F.col("o_custkey").cast("string"), F.lit(":59")).alias("placed"),
         F.concat(F.date_format(when, "yyyy-MM-"), (F.dayofmonth(when) + 3).cast("string"), F.lit(" 10:00")).alias("day"),
         F.col("o_orderpriority").alias("mail"),
@@ -757,9 +757,12 @@ def intake_rows(spark, sf_dir):
     "q26_validate",
     sql(
         "",
-        """SELECT line, replace(total, ',', '.') AS total,
-             strftime(o_orderdate, '%Y-%m-%d')||' 07:'||CASE WHEN o_custkey < 10 THEN '0' ELSE '' END||o_custkey AS placed,
-             strftime(o_orderdate, '%Y-%m-')||lpad(dd::VARCHAR, 2, '0') AS day, o_orderpriority AS mail,
+        """SELECT line, CASE WHEN o_totalprice BETWEEN 1000 AND 450000 THEN total
+               ELSE ' '||replace(total, '.', ',') END AS total,
+             CASE WHEN o_custkey > 59 THEN strftime(o_orderdate, '%Y-%-m-%-d')||'T7:'||o_custkey||':59'
+               ELSE strftime(o_orderdate, '%Y-%m-%d')||' 07:'||lpad(o_custkey::VARCHAR, 2, '0') END AS placed,
+             strftime(o_orderdate, '%Y-%m-')||CASE WHEN dd > day(last_day(o_orderdate::DATE))
+               THEN dd||' 10:00' ELSE lpad(dd::VARCHAR, 2, '0') END AS day, o_orderpriority AS mail,
              'customer:no_'||o_custkey||'#part_a' AS page, '1,'||o_orderstatus AS tags,
              concat_ws('; ',
                CASE WHEN o_totalprice < 1000 THEN 'total: must not be below 1000'
@@ -870,7 +873,9 @@ def shown_table(spark, sf_dir):
         "d_order",
         """SELECT pid,
              'EUR '||replace(format('{:,}', round(total::DECIMAL(12,2), 0)::BIGINT), ',', ' ') AS none,
-             printf('%.3f', total::DOUBLE / 1000) AS thousands, k AS engineering FROM (
+             (round(total::DECIMAL(12,2), 0)::BIGINT // 1000)||'.'||
+               lpad((round(total::DECIMAL(12,2), 0)::BIGINT % 1000)::VARCHAR, 3, '0') AS thousands,
+             k AS engineering FROM (
              SELECT *, CASE WHEN total::DOUBLE >= 1000 THEN
                regexp_replace(round(total::DOUBLE / 1000, 12)::VARCHAR, '\\.0$', '') || '\u202f' || 'k'
                ELSE regexp_replace(total::DOUBLE::VARCHAR, '\\.0$', '') || '\u202f' END AS k FROM d_order)""",

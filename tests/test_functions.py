@@ -111,11 +111,11 @@ def test_references(evaluate):
 
 
 def cleaned(evaluate, kind, *values):
-    return evaluate(lambda c: kind.validated(c)[0], *values)
+    return evaluate(lambda c: kind.checked(kind.parsed(c))[0], *values)
 
 
 def errors(evaluate, kind, *values):
-    return [e is not None for e in evaluate(lambda c: kind.validated(c)[1], *values)]
+    return [e is not None for e in evaluate(lambda c: kind.checked(kind.parsed(c))[1], *values)]
 
 
 def test_decimal_validation(evaluate):
