@@ -72,8 +72,9 @@ def cloud(store: Store, spec: SearchSpec, minimum: int = 0, limit: int = 0) -> D
         counts = counts.filter(F.col("count") >= minimum)
     if limit:
         counts = counts.orderBy(F.desc("count"), "tag", "missing").limit(limit)
-    low = counts.agg(F.min("count")).scalar()
-    high = counts.agg(F.max("count")).scalar()
+    ends = F.struct(F.min("count").alias("low"), F.max("count").alias("high"))
+    span = counts.agg(ends).scalar()
+    low, high = span["low"], span["high"]
     share = F.try_divide(F.col("count") - low, high - low)
     weight = F.when(low == high, F.lit(100)).otherwise(F.round(share * 80 + 70).cast("int"))
     shown = counts.filter(F.col("tag") != "")

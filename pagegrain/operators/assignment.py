@@ -7,6 +7,9 @@ Patterns are configuration written by hand, a list of ``(pattern, schema)``:
 ``ns:*``      pages directly in ``ns``
 ``/regex/``   searched in ``:`` and the page id
 ``ns:page``   exactly this page
+
+Every step gives the new state as a DataFrame over the old one; write it before the next step reads it,
+or the plans of a chain of steps grow with each of them.
 """
 
 from __future__ import annotations

@@ -1,4 +1,4 @@
-"""Row numbers over a whole table without gathering it in one task."""
+"""Row numbers and previous rows over a whole table without gathering a group in one task."""
 
 from __future__ import annotations
 
@@ -32,3 +32,25 @@ def numbered(df: DataFrame, order: list[Column], name: str = "position", start:
     position = F.col("_before") + F.col("_in_part") - F.col("_first") + start
     placed = stored.join(offsets, "_part").withColumn(name, position.cast("bigint"))
     return placed.select(*df.columns, name)
+
+
+def with_previous(df: DataFrame, keys: list[str], by: str, name: str) -> DataFrame:
+    """Add the row before in the order of ``by`` within ``keys``, as a struct; NULL for a first row.
+
+    Rows are range-partitioned by key and order, which together have to be unique, so a key with very
+    many rows spreads over many partitions. Only the last row of each partition is handed on to the
+    next one.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    order, row = [*keys, by], F.struct(*df.columns)
+    ranged = df.repartitionByRange(*order)
+    stored = ranged.select("*", F.spark_partition_id().alias("_part")).checkpoint()
+    tails = stored.groupBy("_part").agg(F.max_by(row, F.struct(*order)).alias("_tail"))
+    carried = tails.select("_part", F.lag("_tail").over(Window.orderBy("_part")).alias("_carried"))
+    inside = Window.partitionBy("_part").orderBy(*order)
+    pairs = stored.withColumn("_inside", F.lag(row).over(inside)).join(carried, "_part", "left")
+    before = pairs.withColumn(name, F.coalesce("_inside", "_carried"))
+    same = F.lit(True)
+    for key in keys:
+        same = same & (F.col(f"{name}.{key}") == F.col(key))
+    return before.withColumn(name, F.when(same, F.col(name))).select(*df.columns, name)

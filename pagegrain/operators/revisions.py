@@ -6,7 +6,7 @@ a new snapshot.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..columns import Cell
@@ -15,6 +15,7 @@ from ..plans.folding import FORMS, folded, single_forms, value_forms
 from ..plans.relation import Relation
 from ..schema import Schema
 from ..store import DATA_KEYS, MULTI_COLUMNS, Store
+from .numbering import with_previous
 
 
 def newest(rows: DataFrame, keys: list[str], by: str) -> DataFrame:
@@ -299,12 +300,10 @@ def revert_pages(store: Store, schema_name: str, targets: DataFrame) -> tuple[Da
 # ---- comparing -------------------------------------------------------------------------------------
 
 
-def revision_changes(store: Store, schema_name: str, bucket_width: int) -> DataFrame:
+def revision_changes(store: Store, schema_name: str) -> DataFrame:
     """What each revision changed: ``pid``, ``rev``, ``previous``, ``label``, ``before``, ``after``.
 
-    Revisions are compared within time buckets of ``bucket_width``; the first of a bucket is compared
-    with the last of the page's bucket before. A page with very many revisions is so spread over as
-    many tasks as it has buckets. First revisions have nothing to differ from.
+    First revisions have nothing to differ from.
     """
     schema = store.schema(schema_name)
     rows = store.data(schema_name).filter((F.col("rev") > 0) & (F.col("rid") == 0))
@@ -313,30 +312,15 @@ def revision_changes(store: Store, schema_name: str, bucket_width: int) -> DataF
     for i, column in enumerate(schema.enabled):
         cell = F.col(f"c{i}_display")
         shown.append((F.array_join(cell, ", ") if column.multi else cell).alias(f"v{i}"))
-    state = cells.select(
-        "pid",
-        F.floor(F.col("rev") / bucket_width).alias("bucket"),
-        "rev",
-        F.struct("rev", *shown).alias("state"),
-    )
-    inside = Window.partitionBy("pid", "bucket").orderBy("rev")
-    tails = state.groupBy("pid", "bucket").agg(F.max_by("state", "rev").alias("tail"))
-    across = Window.partitionBy("pid").orderBy("bucket")
-    carried = tails.select(
-        F.col("pid").alias("t_pid"),
-        F.col("bucket").alias("t_bucket"),
-        F.lag("tail").over(across).alias("carried"),
-    )
-    own_bucket = (F.col("pid") == F.col("t_pid")) & (F.col("bucket") == F.col("t_bucket"))
-    pairs = state.withColumn("inside", F.lag("state").over(inside)).join(carried, own_bucket, "left")
-    pairs = pairs.withColumn("old", F.coalesce("inside", "carried")).filter(F.col("old").isNotNull())
+    pairs = with_previous(cells.select("pid", "rev", *shown), ["pid"], "rev", "old")
     changes = [
         F.struct(
             F.lit(column.label).alias("label"),
             F.col(f"old.v{i}").alias("before"),
-            F.col(f"state.v{i}").alias("after"),
+            F.col(f"v{i}").alias("after"),
         )
         for i, column in enumerate(schema.enabled)
     ]
-    listed = pairs.select("pid", "rev", F.col("old.rev").alias("previous"), F.inline(F.array(*changes)))
+    changed = pairs.filter(F.col("old").isNotNull())
+    listed = changed.select("pid", "rev", F.col("old.rev").alias("previous"), F.inline(F.array(*changes)))
     return listed.filter(~F.col("before").eqNullSafe(F.col("after")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,10 @@ from ..store import Store
 from .revisions import given_columns, records
 
 
+def _read(column: SchemaColumn, given: Column) -> Column:
+    return F.struct(given.alias("given"), column.type.parsed(given).alias("parsed"))
+
+
 def _single(column: SchemaColumn, cell: Column) -> tuple[Column, Column]:
     """Cleaned value and list of errors; blank values and those with an error stay as they came."""
     given = cell["given"]
@@ -42,16 +48,13 @@ def validated(
     for i, column in enumerate(columns):
         cell = F.col(f"`{column.label}`")
 
-        def read(given, column=column):
-            return F.struct(given.alias("given"), column.type.parsed(given).alias("parsed"))
-
         if not column.multi:
-            staged.append(read(F.coalesce(cell, F.lit(""))).alias(f"cell{i}"))
+            staged.append(_read(column, F.coalesce(cell, F.lit(""))).alias(f"cell{i}"))
             continue
         if incoming.schema[column.label].dataType.typeName() != "array":
             cell = column.type.split(F.coalesce(cell, F.lit("")))
         filled = F.filter(F.coalesce(cell, F.array().cast("array<string>")), lambda v: ~is_blank(v))
-        staged.append(F.transform(filled, read).alias(f"cell{i}"))
+        staged.append(F.transform(filled, partial(_read, column)).alias(f"cell{i}"))
     out, errors = [F.col(key) for key in keys], []
     for i, column in enumerate(columns):
         clean, messages = (_several if column.multi else _single)(column, F.col(f"cell{i}"))

@@ -452,7 +452,7 @@ def save_lists(spark, sf_dir):
     ),
 )
 def revision_diff(spark, sf_dir):
-    return revisions.revision_changes(catalog.open_store(spark, sf_dir), "user", DAY)
+    return revisions.revision_changes(catalog.open_store(spark, sf_dir), "user")
 
 
 @register(

@@ -26,6 +26,11 @@ def test_patterns(frame):
     assert matched(frame, "some:ns:page") == set()
 
 
+def settled(df):
+    """A step's result as its caller would read it back after writing it."""
+    return df.sparkSession.createDataFrame([tuple(r) for r in df.collect()], df.schema)
+
+
 def state(df):
     return {(r["pid"], r["tbl"]): r["assigned"] for r in df.collect()}
 
@@ -33,9 +38,12 @@ def state(df):
 def test_life_of_assignments(frame):
     known = frame("pid string, tbl string, assigned int", ("a:b:c", "x", 1), ("a:d", "x", 1), ("e", "y", 0))
     patterns, known = a.add_pattern(known, [], "a:**", "foo")
+    known = settled(known)
     assert state(known) == {("a:b:c", "x"): 1, ("a:d", "x"): 1, ("e", "y"): 0, ("a:b:c", "foo"): 1, ("a:d", "foo"): 1}
     patterns, known = a.add_pattern(known, patterns, "a:b:*", "foo")
+    known = settled(known)
     patterns, known = a.remove_pattern(known, patterns, "a:**", "foo")
+    known = settled(known)
     assert state(known)[("a:b:c", "foo")] == 1 and state(known)[("a:d", "foo")] == 0
     assert [tuple(r) for r in a.page_listing(known, "foo").collect()] == [("a:b:c", "foo", 1), ("a:d", "foo", 0)]
     assert a.page_listing(known, "foo", assigned_only=True).count() == 1
@@ -43,6 +51,7 @@ def test_life_of_assignments(frame):
     only = a.reevaluate(known, patterns, frame("pid string", ("a:b:c",)))
     assert state(only) == {**state(known), ("a:b:c", "x"): 0}
     patterns, known = a.replace_patterns(known, patterns, "foo", ["e"])
+    known = settled(known)
     assert patterns == [("e", "foo")]
     assert {k: v for k, v in state(known).items() if k[1] == "foo"} == {("e", "foo"): 1}
     _, soft = a.clear(known)

@@ -99,12 +99,12 @@ def test_clear_and_revert(pages, make):
     assert (row["rev"], row["testcolumn"], row["testMulitColumn"]) == (900, "value1", ["value2.1", "value2.2"])
 
 
-@pytest.mark.parametrize("width", [1, 7, 100, 10_000])
-def test_changes_do_not_depend_on_buckets(make, width):
+@pytest.mark.parametrize("partitions", [1, 3, 16])
+def test_changes_do_not_depend_on_partitions(make, spark, partitions):
     pick = random.Random(11)
     records = []
-    for page in ("hot", "cold"):
-        revs = sorted(pick.sample(range(1, 400), 60 if page == "hot" else 3))
+    for page in ("hot", "cold", "warm"):
+        revs = sorted(pick.sample(range(1, 400), 90 if page == "hot" else 3))
         records += [(page, 0, rev, 0, None, pick.choice("ab"), [pick.choice("xyz")]) for rev in revs]
     store = make.add(make.schema("s", "a", "l[]"), records)
     expected = set()
@@ -113,7 +113,17 @@ def test_changes_do_not_depend_on_buckets(make, width):
             continue
         pairs = (("a", before[5], after[5]), ("l", before[6][0], after[6][0]))
         expected |= {(after[0], after[2], before[2], *p) for p in pairs if p[1] != p[2]}
-    assert {tuple(r) for r in revisions.revision_changes(store, "s", width).collect()} == expected
+    kept = {name: spark.conf.get(name) for name in (
+        "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled",
+    )}
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = {tuple(r) for r in revisions.revision_changes(store, "s").collect()}
+    finally:
+        for name, value in kept.items():
+            spark.conf.set(name, value)
+    assert found == expected
 
 
 def test_record_text(pages):
