@@ -102,6 +102,11 @@ class ColumnType:
     def name(self) -> str:
         return type(self).__name__
 
+    @property
+    def plain(self) -> bool:
+        """True if all three forms of a value are the same text."""
+        return type(self).forms is ColumnType.forms
+
     def raw(self, relation: Relation, cell: Cell) -> Column:
         """The raw form alone, which most types give without a join."""
         return cell.value
@@ -325,6 +330,10 @@ class DateTime(Date):
 class Page(ColumnType):
     defaults = {"usetitles": False, "filter": ""}
 
+    @property
+    def plain(self):
+        return not self.config["usetitles"]
+
     def forms(self, relation, cell):
         if not self.config["usetitles"]:
             return same_forms(cell.value)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..columns import Cell, Lookup, Page
+from ..functions.names import quoted
 from ..functions.text import is_number, trimmed
 from ..plans.folding import single_forms, value_rows
 from ..plans.relation import Relation
@@ -141,7 +142,7 @@ def with_row_numbers(store: Store, spec: SearchSpec, *forms: str) -> DataFrame:
     else:
         rows = numbered(rows, order, "row_number", start=spec.offset + 1)
     shown = found.shown(rows, forms or ("display",), extra=["row_number"])
-    return shown.select("row_number", *[c for c in shown.columns if c != "row_number"])
+    return shown.select("row_number", *quoted(c for c in shown.columns if c != "row_number"))
 
 
 def text_rows(store: Store, spec: SearchSpec) -> DataFrame:

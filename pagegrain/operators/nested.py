@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import quoted
 from ..plans.search import Search
 from ..plans.spec import SearchSpec
 from ..store import Store
@@ -42,46 +43,38 @@ def nested(
     split = [i for i in range(levels) if found.columns[i].multi]
     rows, order = found.ordered_cells(*split)
     path = [F.col(f"c{i}_display") for i in range(levels)]
-    node = [F.col(f"c{i}_raw") for i in range(levels)]
     if index:
         whole_list = found.columns[0].multi and 0 not in split
         first = _first(F.col("c0_display"), whole_list)
-        letters = F.upper(F.substring(first, 1, index))
-        path, node = [letters, *path], [letters, *node]
-    rest = [
-        F.col(f"c{i}_display").alias(found.output_names[i])
-        for i in range(levels, len(found.columns))
-    ]
-    rest_raw = [F.col(f"c{i}_raw") for i in range(levels, len(found.columns))]
-    texts = F.array(*path) if path else F.array().cast("array<string>")
-    ident = F.array(*node) if node else F.array().cast("array<string>")
+        path = [F.upper(F.substring(first, 1, index)), *path]
+    names = [found.output_names[i] for i in range(levels, len(found.columns))]
+    rest = [F.col(f"c{levels + n}_display").alias(name) for n, name in enumerate(names)]
+    # values that look alike but differ when raw (pages of one title) stay apart
+    raw = [F.col(f"c{i}_raw") for i, c in enumerate(found.columns) if not c.type.plain]
     if keep_order:
-        total = [*order, *[F.col(f"c{i}_row") for i in split]]
-        rows = numbered(rows, total, "_at")
+        rows = numbered(rows, [*order, *[F.col(f"c{i}_row") for i in split]], "_at")
     else:
         rows = rows.withColumn("_at", F.lit(None).cast("bigint"))
     leaves = rows.select(
-        texts.alias("path"),
+        (F.array(*path) if path else F.array().cast("array<string>")).alias("path"),
         F.lit(len(path)).alias("depth"),
         *rest,
-        ident.alias("_node"),
-        F.struct(F.lit(0).alias("none"), *rest_raw).alias("_row"),
+        F.struct(F.lit(0).alias("none"), *raw).alias("_raw"),
         "_at",
     )
-    names = [c for c in leaves.columns if c not in ("_node", "_row", "_at")]
-    unique = leaves.groupBy("_node", "_row").agg(
-        *[F.any_value(name).alias(name) for name in names], F.min("_at").alias("_at")
-    )
+    names = quoted(names)
+    shown = ["path", "depth", *names]
+    unique = leaves.groupBy(*shown, "_raw").agg(F.min("_at").alias("_at"))
     if keep_order:
-        return _first_seen(unique, len(path)).select(*names)
+        return _first_seen(unique, len(path)).select(*shown)
     siblings = [key for depth in range(len(path)) for key in _level(unique, depth)]
-    return unique.orderBy(*siblings, *names[2:]).select(*names)
+    return unique.orderBy(*siblings, *names).select(*shown)
 
 
 def _first_seen(leaves: DataFrame, depth: int) -> DataFrame:
     order = []
     for level in range(1, depth + 1):
-        prefix = F.slice("_node", 1, level)
+        prefix = F.slice("path", 1, level)
         seen = leaves.groupBy(prefix.alias("_prefix")).agg(F.min("_at").alias(f"_seen{level}"))
         leaves = leaves.join(seen, prefix == F.col("_prefix")).drop("_prefix")
         order.append(F.col(f"_seen{level}"))

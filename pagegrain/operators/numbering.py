@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import quoted
 from ..session import ensure_checkpoint_dir
 
 
@@ -31,7 +32,7 @@ def numbered(df: DataFrame, order: list[Column], name: str = "position", start:
     )
     position = F.col("_before") + F.col("_in_part") - F.col("_first") + start
     placed = stored.join(offsets, "_part").withColumn(name, position.cast("bigint"))
-    return placed.select(*df.columns, name)
+    return placed.select(*quoted(df.columns), name)
 
 
 def with_previous(df: DataFrame, keys: list[str], by: str, name: str) -> DataFrame:
@@ -42,7 +43,7 @@ def with_previous(df: DataFrame, keys: list[str], by: str, name: str) -> DataFra
     next one.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    order, row = [*keys, by], F.struct(*df.columns)
+    order, row = [*keys, by], F.struct(*quoted(df.columns))
     ranged = df.repartitionByRange(*order)
     stored = ranged.select("*", F.spark_partition_id().alias("_part")).checkpoint()
     tails = stored.groupBy("_part").agg(F.max_by(row, F.struct(*order)).alias("_tail"))
@@ -53,4 +54,4 @@ def with_previous(df: DataFrame, keys: list[str], by: str, name: str) -> DataFra
     same = F.lit(True)
     for key in keys:
         same = same & (F.col(f"{name}.{key}") == F.col(key))
-    return before.withColumn(name, F.when(same, F.col(name))).select(*df.columns, name)
+    return before.withColumn(name, F.when(same, F.col(name))).select(*quoted(df.columns), name)

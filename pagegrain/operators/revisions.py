@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..columns import Cell
 from ..errors import StructureError
+from ..functions.names import quoted
 from ..plans.folding import FORMS, folded, single_forms, value_forms
 from ..plans.relation import Relation
 from ..schema import Schema
@@ -21,8 +22,8 @@ from .numbering import with_previous
 def newest(rows: DataFrame, keys: list[str], by: str) -> DataFrame:
     """The row with the greatest ``by`` per key. Partial maxima are formed before the shuffle."""
     rest = [c for c in rows.columns if c not in keys]
-    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(by)).alias("_best"))
-    return best.select(*keys, "_best.*").select(*rows.columns)
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*quoted(rest)), F.col(by)).alias("_best"))
+    return best.select(*keys, "_best.*").select(*quoted(rows.columns))
 
 
 def as_of(data: DataFrame, ts) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import quoted
 from ..functions.text import all_of
 from ..store import MULTI_COLUMNS, Store
 from .numbering import numbered
@@ -29,7 +30,7 @@ def with_row_ids(data: DataFrame, incoming: DataFrame) -> DataFrame:
     numbers = numbered(fresh, [F.col("line").asc()], "_number")
     highest = data.agg(F.coalesce(F.max("rid"), F.lit(0)).alias("rid")).scalar()
     fresh = numbers.withColumn("rid", (F.col("_number") + highest).cast("bigint")).drop("_number")
-    return known.unionByName(fresh.select(*known.columns))
+    return known.unionByName(fresh.select(*quoted(known.columns)))
 
 
 def save_rows(store: Store, schema_name: str, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:

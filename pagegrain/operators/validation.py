@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..columns import User
+from ..functions.names import quoted
 from ..functions.text import is_blank
 from ..schema import Schema, SchemaColumn
 from ..store import Store
@@ -80,7 +81,7 @@ def _check_users(checked: DataFrame, column: SchemaColumn, keys: list[str], user
     joined = checked.join(found, keys, "left")
     none = F.array().cast("array<string>")
     errors = F.concat("errors", F.coalesce("_unknown", none))
-    return joined.withColumn("errors", errors).select(*checked.columns)
+    return joined.withColumn("errors", errors).select(*quoted(checked.columns))
 
 
 def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -124,4 +125,4 @@ def changed_only(store: Store, schema: Schema, incoming: DataFrame) -> DataFrame
         else:
             new, old = F.coalesce(new, F.lit("")), F.coalesce(old, F.lit(""))
         same = same & new.eqNullSafe(old)
-    return joined.filter(~same).select(*incoming.columns)
+    return joined.filter(~same).select(*quoted(incoming.columns))

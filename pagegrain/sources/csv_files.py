@@ -10,6 +10,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..errors import StructureError
 from ..functions.ids import clean_id
+from ..functions.names import quoted
 from ..functions.text import split_list
 from ..operators.aggregate import text_rows
 from ..operators.assignment import with_assignments
@@ -93,7 +94,7 @@ def page_row_errors(rows: DataFrame, pages: DataFrame, create: bool = False) ->
     error = F.when(here & (F.col("line") != F.col("f_line")), repeated)
     if not create:
         error = error.when(~here, unknown)
-    return joined.withColumn("error", error).select(*rows.columns, "error")
+    return joined.withColumn("error", error).select(*quoted(rows.columns), "error")
 
 
 def import_csv(

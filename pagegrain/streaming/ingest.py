@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.names import quoted
 from ..operators.revisions import save_revisions
 from ..operators.validation import validated
 from ..schema import Schema
@@ -51,7 +52,7 @@ def read_log(spark: SparkSession, log: str) -> DataFrame:
     """Accepted revisions, each ``(pid, rev)`` once as it came first."""
     rows = spark.read.parquet(f"{log}/accepted")
     rest = [c for c in rows.columns if c not in KEYS]
-    first = rows.groupBy(*KEYS).agg(F.min_by(F.struct(*rest), "batch").alias("_first"))
+    first = rows.groupBy(*KEYS).agg(F.min_by(F.struct(*quoted(rest)), "batch").alias("_first"))
     return first.select(*KEYS, "_first.*").drop("batch")
 
 

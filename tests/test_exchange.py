@@ -245,3 +245,41 @@ def test_bucketed_tables_join_without_a_shuffle(make, spark, schema1):
         assert sorted(tuple(r)[3:] for r in found.collect()) == [("", "b"), ("bob", "a")]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_labels_with_dots_and_signs(make, spark, tmp_path):
+    from pagegrain import Search
+    from pagegrain.operators import aggregate, nested
+    from pagegrain.operators.revisions import revision_changes, save_revisions
+    from pagegrain.operators.rows import save_rows
+
+    schema = make.schema("schema_3", "first_field", "second field[]", "third%field", ("fourth.field?", "User"))
+    store = make.pages(schema, p=("a", ["b", "c"], "d", "e"), q=("a", [], "x", "bob"))
+    everything = SearchSpec(("schema_3",), ("*",), sorts=("schema_3.fourth.field?",))
+    assert [tuple(r)[3:] for r in search(store, everything).collect()] == [
+        ("a", [], "x", "bob"), ("a", ["b", "c"], "d", "e"),
+    ]
+    # without its schema such a label reads as a qualified one
+    assert Search(store, SearchSpec(("schema_3",), ("first_field", "fourth.field?"))).output_names == ["first_field"]
+    tree = nested.nested(store, SearchSpec(("schema_3",), ("first_field", "schema_3.fourth.field?")), levels=1)
+    assert [tuple(r) for r in tree.collect()] == [(["a"], 1, "bob"), (["a"], 1, "e")]
+    numbers = aggregate.with_row_numbers(store, everything).orderBy("row_number").collect()
+    assert [tuple(r)[4:] for r in numbers][0] == ("a", [], "x", "bob")
+    assert aggregate.facets(store, everything).filter("`column` = 'fourth.field?'").count() == 2
+
+    users = make.frame("login string, name string", ("bob", "Bob"))
+    path = write(tmp_path, "pid,fourth.field?,second field\np,bob,\"k,l\"\nq,eve,m\n")
+    store.users = users
+    grown, bad = csv_files.import_csv(store, "schema_3", csv_files.read_rows(spark, path), "page", ts=20)
+    assert [r["errors"] for r in bad.collect()] == [["fourth.field?: unknown user eve"]]
+    found = records(grown, "schema_3").filter("pid = 'p'").first()
+    assert found["fourth.field?"] == "bob" and found["second field"] == ["k", "l"]
+    assert "fourth.field?" in {r["label"] for r in revision_changes(grown, "schema_3").collect()}
+
+    fresh = search(store, everything).drop("rev").withColumn("rid", F.lit(0)).withColumn("line", F.length("pid"))
+    data, _ = save_rows(store, "schema_3", fresh.withColumn("pid", F.lit("")).filter("`fourth.field?` = 'bob'"))
+    assert data.filter("pid = ''").first()["col4"] == "bob"
+    again = search(store, everything).drop("rid").withColumn("rev", F.lit(50))
+    data, _ = save_revisions(store, "schema_3", again)
+    assert data.filter("latest = 1").count() == 2
+    assert Search(store, everything).count().first()[0] == 2
