@@ -153,7 +153,7 @@ def record_text(store: Store, schema_name: str, rows: DataFrame) -> DataFrame:
     for i, column in enumerate(schema.enabled):
         shown = F.col(f"c{i}_display")
         text = F.array_join(shown, ", ") if column.multi else shown
-        lines.append(F.format_string("%-20s : %s\n", F.lit(column.qualified), text))
+        lines += [F.lit(f"{column.qualified:<20} : "), text, F.lit("\n")]
     return cells.select(*DATA_KEYS, F.concat(*lines).alias("text"))
 
 

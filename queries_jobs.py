@@ -1077,3 +1077,50 @@ def update_titles(spark, sf_dir):
         F.col("col3").alias("summary"),
     )
     return upkeep.update_titles(store.titles, changes)
+
+
+@register(
+    "q78_rows_by_id",
+    sql("d_part m_part words", "SELECT rid, name, brand, words FROM d_part JOIN words USING (rid)"),
+)
+def rows_by_id(spark, sf_dir):
+    found = revisions.rows_by_id(catalog.open_store(spark, sf_dir), "part")
+    return listed(found.select("rid", "name", "brand", "words"), "words")
+
+
+@register(
+    "q79_blocked_pages",
+    sql(
+        "d_order m_order flags",
+        f"""SELECT o.pid, total FROM d_order o WHERE {num("total")} BETWEEN 5000 AND 400000
+            AND priority NOT LIKE '% %'""",
+    ),
+)
+def blocked_pages(spark, sf_dir):
+    """An error in one schema blocks the page's records in the other."""
+    stored = catalog.open_store(spark, sf_dir).data("order")
+    money = Schema("money", (column(1, "total", "Decimal", config={"min": "5000", "max": "400000"}),))
+    post = Schema("post", (column(1, "mail", "Mail", config={"postfix": "@example.com"}),))
+    checked = {
+        "money": validation.validated(stored.select("pid", F.col("col3").alias("total")), money, ["pid"]),
+        "post": validation.validated(stored.select("pid", F.col("col2").alias("mail")), post, ["pid"]),
+    }
+    return validation.pages_without_errors(checked)["money"]
+
+
+@register(
+    "q80_page_data_filled",
+    sql(
+        "d_order m_order flags oassign",
+        """SELECT pid, 'order' AS schema, label, "values" FROM (
+             SELECT o.pid, unnest(['status', 'priority', 'total', 'placed', 'customer', 'flags']) AS label,
+             unnest([status, priority, total, placed, customer, flags]) AS "values"
+             FROM d_order o JOIN oassign a USING (pid) LEFT JOIN flags USING (pid) WHERE assigned = 1)
+           WHERE "values" IS NOT NULL""",
+    ),
+)
+def page_data_filled(spark, sf_dir):
+    store = catalog.open_store(spark, sf_dir)
+    store.assignments = catalog.order_assignments(spark, sf_dir)
+    pages = store.data("order").select("pid")
+    return listed(revisions.page_data(store, pages, skip_empty=True), "values")
