@@ -584,20 +584,15 @@ def basket_store(spark, sf_dir):
     store = catalog.open_store(spark, sf_dir)
     data = catalog.orders(spark, sf_dir).drop("col2", "col3", "col4", "col5", "col6")
     data = data.withColumn("col2", F.lit(""))
-    lines = catalog.table(spark, sf_dir, "lineitem")
-    ref = F.concat(F.lit('["",'), (F.col("l_partkey") + 1).cast("string"), F.lit("]"))
-    values = catalog.order_values(spark, sf_dir).drop("colref", "value").columns
-    multi = lines.select(
-        F.lit(2).alias("colref"),
-        F.concat(F.lit("order:"), F.col("l_orderkey").cast("string")).alias("pid"),
-        F.lit(0).cast("bigint").alias("rid"),
-        (F.col("l_orderkey") + 1).alias("rev"),
-        F.lit(1).alias("latest"),
-        F.lit(None).cast("int").alias("published"),
-        F.col("l_linenumber").cast("bigint").alias("row"),
-        ref.alias("value"),
+    multi = catalog.table(spark, sf_dir, "lineitem").selectExpr(
+        "2 AS colref",
+        "CONCAT('order:', l_orderkey) AS pid",
+        "0L AS rid",
+        "l_orderkey + 1 AS rev",
+        *catalog.CURRENT,
+        "CAST(l_linenumber AS BIGINT) AS row",
+        """CONCAT('["",', l_partkey + 1, ']') AS value""",
     )
-    assert set(values) < set(multi.columns)
     return store.add(BASKET, data, multi)
 
 
