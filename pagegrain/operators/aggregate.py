@@ -53,22 +53,25 @@ def cloud(store: Store, spec: SearchSpec, minimum: int = 0, limit: int = 0) -> D
     prefix = found.prefix_of(column)
     if column.multi:
         values = value_rows(store, column.table, [column.colref], found.current_only)
+        # equal values of a long record are counted before they travel to the join
+        values = values.groupBy(*DATA_KEYS, "value").agg(F.count("value").alias("times"))
         values = values.withColumnsRenamed({key: f"v_{key}" for key in DATA_KEYS})
         same = [F.col(prefix + key) == F.col(f"v_{key}") for key in DATA_KEYS]
         rows = rows.join(values, same, "left")
-        cell = Cell(F.col("value"), "value", "")
+        cell, times = Cell(F.col("value"), "value", ""), F.coalesce("times", F.lit(0))
     else:
         name = prefix + column.physical
         cell = Cell(F.col(name), name, prefix)
+        times = cell.value.isNotNull().cast("bigint")
     relation = Relation(store, rows)
     raw, display, _ = single_forms(column.type.forms(relation, cell))
     tagged = relation.df.select(
         cell.value.isNull().alias("missing"),
         raw.cast("string").alias("tag"),
         display.cast("string").alias("display"),
-        cell.value.alias("stored"),
+        times.alias("times"),
     )
-    counts = tagged.groupBy("missing", "tag", "display").agg(F.count("stored").alias("count"))
+    counts = tagged.groupBy("missing", "tag", "display").agg(F.sum("times").alias("count"))
     if minimum:
         counts = counts.filter(F.col("count") >= minimum)
     if limit:
