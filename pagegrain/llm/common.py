@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ BATCH_BYTES = 8 << 20
 BATCH_ROWS = 2000
 
 _own_folders: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -42,8 +45,23 @@ def _settings(spark: SparkSession, **values: str):
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Smaller Arrow batches for this session; they change memory, never results."""
+def _ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once for each application."""
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    package = Path(__file__).resolve().parent.parent
+    target = Path(tempfile.mkdtemp(prefix="pagegrain-")) / "pagegrain_workers.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(target))
+    _shipped.add(application)
+
+
+def python_workers(spark: SparkSession) -> None:
+    """Makes workers ready: the package, and smaller Arrow batches, which change memory, never results."""
+    _ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagegrain.llm.common import bound_batches, save, utf8, whole
+from pagegrain.llm.common import python_workers, save, utf8, whole
 from pagegrain.llm.components import components
 
 DISTANCE = 4
@@ -143,7 +143,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", wor
     Null and wordless texts have fingerprint zero and are linked like others; repeated rows each stay a row of
     their component; a component without any id has a null ``component_id``; an empty table gives no rows.
     """
-    bound_batches(docs.sparkSession)
+    python_workers(docs.sparkSession)
     printed = save(whole(docs).withColumn("fp", fingerprints(F.col(f"doc.`{text}`"), words)), "fingerprints")
     ids = printed.groupBy("fp").agg(F.min(f"doc.`{id}`").alias("least"))
     pairs = save(links(ids.select("fp"), crowded), "links")
