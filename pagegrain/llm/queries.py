@@ -2,19 +2,110 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from pagegrain.llm.common import shared_folder
+from pagegrain.llm.contamination import contamination
+from pagegrain.llm.language import identify
+from pagegrain.llm.licenses import scan
+from pagegrain.llm.neighbours import nearest
+from pagegrain.llm.packing import pack
+from pagegrain.llm.sharding import external_shuffle
 from pagegrain.llm.simhash import near_duplicates
+from pagegrain.llm.substring import remove_repeated_words
+from pagegrain.llm.suffix_array import remove_repeated_strings
+from pagegrain.llm.tokens import read_tokens, write_tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(_table(spark, sf_dir, "documents"))
+    found = near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc.doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {query.__name__: query for query in (op1_simhash_near_dedup,)}
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"))
+    return identify(docs, ~F.col("held_out")).select("doc.doc_id", "doc.held_out", "lang_pred", "score")
+
+
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeated_strings(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc.doc_id", F.col("cut.n").alias("n_bytes"), "cut.n_removed", "cut.n_spans", F.sha2("cut.kept", 256).alias("kept_sha256")
+    )
+
+
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark")
+    found = contamination(docs, items)
+    n_hit = F.expr("aggregate(spans, 0L, (n, s) -> n + s.last - s.first + 1)")
+    return found.select(
+        "doc.doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeated_words(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc.doc_id", F.col("cut.n").alias("n_words"), "cut.n_removed", F.sha2("cut.kept", 256).alias("kept_sha256"))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
+    write_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, tokenizer_path())
+    found = read_tokens(spark, path)
+    return found.select(F.col("id").alias("doc_id"), "start", F.col("n").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = nearest(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op8_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+    return found.select(
+        F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def op9_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = external_shuffle(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc.doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = lambda column: F.array_join(F.array_sort(F.array_distinct(column)), ",")
+    every = F.concat("base", "found")
+    return found.select(
+        "doc.doc_id", "n_words", F.size("base").cast("bigint").alias("n_base"),
+        F.array_min("base.first").alias("first_word"), F.array_max("base.first").alias("last_word"),
+        names(F.col("base.label")).alias("base_labels"), names(every["label"]).alias("labels"),
+        F.coalesce(F.array_max(every["score"]), F.lit(0.0)).alias("score"),
+    )
+
+
+QUERIES = {
+    query.__name__: query
+    for query in (
+        op1_simhash_near_dedup, op2_language_id, op3_suffix_array_dedup, op4_benchmark_decontamination, op5_substring_dedup,
+        op6_token_files, op7_nearest_neighbours, op8_curve_packing, op9_external_shuffle, op10_license_scan,
+    )
+}
 ORACLE: dict[str, str] = {}
