@@ -75,13 +75,16 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
-def op8_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+def op8_pieces(found: DataFrame) -> DataFrame:
     return found.select(
         F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
 
 
+def op8_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_pieces(pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path()))
+
+
 def op9_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = external_shuffle(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(

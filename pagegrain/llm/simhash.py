@@ -138,17 +138,24 @@ def links(prints: DataFrame, crowded: int = CROWDED) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", words: int = 4, crowded: int = CROWDED) -> DataFrame:
-    """``doc`` (the input row), ``fingerprint`` (16 hex digits), ``component_id``: the smallest id reachable over links.
+    """``doc`` (the input row), ``fingerprint`` (16 hex digits), ``component_id``: the smallest id reachable over links,
+    ``is_first``: true for one row of each component, one with that id.
 
     Null and wordless texts have fingerprint zero and are linked like others; repeated rows each stay a row of
     their component; a component without any id has a null ``component_id``; an empty table gives no rows.
     """
     python_workers(docs.sparkSession)
-    printed = save(whole(docs).withColumn("fp", fingerprints(F.col(f"doc.`{text}`"), words)), "fingerprints")
-    ids = printed.groupBy("fp").agg(F.min(f"doc.`{id}`").alias("least"))
-    pairs = save(links(ids.select("fp"), crowded), "links")
-    roots = components(pairs)
-    linked = ids.join(roots, ids["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = linked.join(least, "root").select("fp", "component_id")
-    return printed.join(labels, "fp").select("doc", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rows = whole(docs).withColumn("row", F.monotonically_increasing_id())
+    printed = save(rows.withColumn("fp", fingerprints(F.col(f"doc.`{text}`"), words)), "fingerprints")
+    own = F.struct(F.col(f"doc.`{id}`").isNull().alias("none"), F.col(f"doc.`{id}`").alias("id"), "row")
+    prints = save(printed.groupBy("fp").agg(F.min(own).alias("least")), "prints")
+    roots = components(links(prints.select("fp"), crowded))
+    linked = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = linked.groupBy("root").agg(F.min("least").alias("first"))
+    labels = linked.join(least, "root").select("fp", "first")
+    return printed.join(labels, "fp").select(
+        "doc",
+        F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+        F.col("first.id").alias("component_id"),
+        (F.col("row") == F.col("first.row")).alias("is_first"),
+    )
