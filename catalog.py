@@ -117,11 +117,16 @@ def order_values(spark, sf_dir) -> DataFrame:
     )
 
 
+# Part, supplier and line number in 29 + 31 + 3 bits. Larger keys wrap, so nothing overflows at any scale; ids need
+# to differ within one order only.
+ITEM_ROW = "(l_partkey % 536870912) * 17179869184 + (l_suppkey % 2147483648) * 8 + l_linenumber % 8"
+
+
 def items(spark, sf_dir) -> DataFrame:
     """Serial rows; part, supplier and line number make the row id."""
     return table(spark, sf_dir, "lineitem").selectExpr(
         f"{_page('order', 'l_orderkey')} AS pid",
-        "l_partkey * 17179869184 + l_suppkey * 8 + l_linenumber AS rid",
+        f"{ITEM_ROW} AS rid",
         "0L AS rev",
         *CURRENT,
         f"{money('l_quantity')} AS col1",

@@ -13,7 +13,7 @@ VIEWS = {
     "flags": """SELECT pid, rev, string_agg(value, ',' ORDER BY mr, value) AS flags FROM
         (SELECT pid, rev, value, min(rn) AS mr FROM m_order GROUP BY ALL) GROUP BY pid, rev""",
     "d_item": """SELECT 'order:'||l_orderkey AS pid, l_linenumber AS line,
-        l_partkey*17179869184 + l_suppkey*8 + l_linenumber AS rid,
+        (l_partkey%536870912)*17179869184 + (l_suppkey%2147483648)*8 + l_linenumber%8 AS rid,
         printf('%.2f', l_quantity) AS qty, printf('%.2f', l_extendedprice) AS price,
         '["",'||(l_partkey+1)||']' AS part, '["",'||(l_suppkey+1)||']' AS origin,
         l_partkey+1 AS part_rid, l_suppkey+1 AS supp_rid FROM lineitem""",

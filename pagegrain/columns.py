@@ -20,7 +20,9 @@ from .functions import display as show
 from .functions.ids import clean_id
 from .functions.text import (
     any_of,
+    beyond_double,
     compare,
+    compare_numbers,
     is_blank,
     is_number,
     nocase,
@@ -63,8 +65,6 @@ MEDIA_TYPES = {
 
 MAIL_ADDRESS = r"^[A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}$"
 
-_MAX_REFERENCE_DEPTH = 8
-
 
 @dataclass(frozen=True)
 class Cell:
@@ -73,7 +73,7 @@ class Cell:
     value: Column
     key: str  # names the value, so that joins on it can be shared
     owner: str  # column prefix of the row the value belongs to
-    depth: int = 0  # references followed so far
+    visited: frozenset = frozenset()  # columns that references have led to so far
 
 
 @dataclass(frozen=True)
@@ -230,14 +230,14 @@ class Decimal(ColumnType):
     default_comparator = "="
 
     def predicate(self, relation, cell, comparator, value):
-        left, right = number(cell.value), number(operand(value))
         if comparator in ("~", "!~", "=*"):
             # patterns are compared by number as well, which leaves little of the pattern
-            left, right = show.plain_double(left), show.plain_double(right)
-        return (cell.value != "") & compare(left, comparator, right)
+            left, right = show.plain_double(number(cell.value)), show.plain_double(number(operand(value)))
+            return (cell.value != "") & compare(left, comparator, right)
+        return (cell.value != "") & compare_numbers(cell.value, comparator, value)
 
     def sort_keys(self, relation, cell):
-        return [number(cell.value)]
+        return [number(cell.value), beyond_double(cell.value)]
 
     def parsed(self, c):
         return F.replace(trimmed(c), F.lit(","), F.lit("."))
@@ -411,11 +411,11 @@ class Lookup(ColumnType):
     defaults = {"schema": "", "field": ""}
 
     def _target(self, relation: Relation, cell: Cell):
-        if cell.depth >= _MAX_REFERENCE_DEPTH:
-            raise StructureError(f"references nest too deeply at {cell.key}")
         column = relation.store.reference_target(self.config["schema"], self.config["field"])
         if column is None:
             return None, None
+        if (column.table, column.label) in cell.visited:
+            raise StructureError(f"references lead in a circle at {column.table}.{column.label}")
         return column, relation.referenced(cell, column)
 
     def forms(self, relation, cell):

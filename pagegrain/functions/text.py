@@ -54,6 +54,40 @@ def number(c: Column) -> Column:
     return F.coalesce(plain, prefix, F.when(c.isNotNull(), F.lit(0.0)))
 
 
+# Whole numbers from here on can lie between two doubles.
+EXACT_DOUBLES = 2**53
+
+# A prefix that is whole, without point or exponent.
+WHOLE_PREFIX = r"^\s*([+-]?\d+)(?![\d.eE])"
+
+
+def beyond_double(c: Column) -> Column:
+    """What the double of a number loses: its whole value where doubles are not exact, else 0.
+
+    Two numbers are equal if their doubles and this agree, and ordered by the pair.
+    """
+    value = number(c)
+    whole = F.regexp_extract(c, WHOLE_PREFIX, 1).try_cast("bigint").cast("decimal(38,0)")
+    exact = F.coalesce(whole, value.try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
+    large = F.abs(value) >= F.lit(float(EXACT_DOUBLES))
+    return F.when(large, exact).when(value.isNotNull(), F.lit(0).cast("decimal(38,0)"))
+
+
+def compare_numbers(left: Column, comparator: str, value) -> Column:
+    """One comparison of two texts as numbers, without loss for whole numbers."""
+    right = operand(value)
+    if not isinstance(value, Column):
+        try:
+            small = abs(float(value)) < EXACT_DOUBLES
+        except ValueError:
+            small = False
+        if small:  # no other number has the same double
+            return compare(number(left), comparator, number(right))
+    pairs = [F.struct(number(side).alias("near"), beyond_double(side).alias("rest")) for side in (left, right)]
+    known = left.isNotNull() & right.isNotNull()
+    return F.when(known, compare(pairs[0], comparator, pairs[1]))
+
+
 def is_number(c: Column) -> Column:
     return c.rlike(NUMERIC)
 

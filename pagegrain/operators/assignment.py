@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import clean_id, namespace, namespace_prefixes
+from ..sources.registry import Registry
 from ..store import Store
 
 Patterns = list[tuple[str, str]]
@@ -156,11 +157,21 @@ def page_listing(
     return out.orderBy("pid", "tbl")
 
 
-def historic_schemas(store: Store, ts: int, pages: DataFrame | None = None) -> DataFrame:
-    """Schemas that existed at a time and for which a page had data by then: ``pid``, ``tbl``."""
+def historic_schemas(
+    store: Store, ts: int, pages: DataFrame | None = None, registry: Registry | None = None
+) -> DataFrame:
+    """Schemas that existed at a time and for which a page had data by then: ``pid``, ``tbl``.
+
+    A schema exists since its first version. The store knows only one version of each; with the
+    ``registry`` the first is looked up (one row per schema).
+    """
+    since = {schema.name: schema.ts for schema in store.schemas.values()}
+    if registry is not None:
+        first = registry.schemas.groupBy("tbl").agg(F.min("ts").alias("ts"))
+        since |= {row["tbl"]: row["ts"] for row in first.collect() if row["tbl"] in since}
     out = None
     for schema in store.schemas.values():
-        if schema.ts > ts:
+        if since[schema.name] > ts:
             continue
         rows = store.data(schema.name).filter((F.col("pid") != "") & (F.col("rev") <= ts))
         if pages is not None:

@@ -20,10 +20,10 @@ def _first(cell: Column, multi: bool) -> Column:
     return F.coalesce(F.get(cell, F.lit(0)), F.lit("")) if multi else cell
 
 
-def _level(df: DataFrame, depth: int) -> list[Column]:
-    """Sibling order: blanks last, then by text."""
-    item = F.get("path", F.lit(depth))
-    return [item == "", F.lower(item), item]
+def _level(depth: int) -> list[Column]:
+    """Sibling order: blanks last, then by compare value, then by what is shown."""
+    item, value = F.get("path", F.lit(depth)), F.get("_compare", F.lit(depth))
+    return [item == "", F.lower(value), value, item]
 
 
 def nested(
@@ -35,7 +35,7 @@ def nested(
     columns. A record with several values in a level appears under each. Equal rows of a node appear
     once. ``index`` adds a top level with the first letters of the first column.
 
-    Siblings are sorted with blanks last; with ``keep_order`` they come in the order in which the
+    Siblings are sorted by compare value with blanks last (the collation is the cluster's); with ``keep_order`` they come in the order in which the
     search first meets them, which costs a numbering of the whole result.
     """
     found = Search(store, spec)
@@ -43,10 +43,12 @@ def nested(
     split = [i for i in range(levels) if found.columns[i].multi]
     rows, order = found.ordered_cells(*split)
     path = [F.col(f"c{i}_display") for i in range(levels)]
+    places = [F.col(f"c{i}_compare") for i in range(levels)]
     if index:
         whole_list = found.columns[0].multi and 0 not in split
         first = _first(F.col("c0_display"), whole_list)
-        path = [F.upper(F.substring(first, 1, index)), *path]
+        letters = F.upper(F.substring(first, 1, index))
+        path, places = [letters, *path], [letters, *places]
     names = [found.output_names[i] for i in range(levels, len(found.columns))]
     rest = [F.col(f"c{levels + n}_display").alias(name) for n, name in enumerate(names)]
     # values that look alike but differ when raw (pages of one title) stay apart
@@ -59,15 +61,16 @@ def nested(
         (F.array(*path) if path else F.array().cast("array<string>")).alias("path"),
         F.lit(len(path)).alias("depth"),
         *rest,
+        (F.array(*places) if places else F.array().cast("array<string>")).alias("_compare"),
         F.struct(F.lit(0).alias("none"), *raw).alias("_raw"),
         "_at",
     )
     names = quoted(names)
     shown = ["path", "depth", *names]
-    unique = leaves.groupBy(*shown, "_raw").agg(F.min("_at").alias("_at"))
+    unique = leaves.groupBy(*shown, "_raw", "_compare").agg(F.min("_at").alias("_at"))
     if keep_order:
         return _first_seen(unique, len(path)).select(*shown)
-    siblings = [key for depth in range(len(path)) for key in _level(unique, depth)]
+    siblings = [key for depth in range(len(path)) for key in _level(depth)]
     return unique.orderBy(*siblings, *names).select(*shown)
 
 

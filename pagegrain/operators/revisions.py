@@ -95,7 +95,11 @@ def records(
     if pages is not None:
         pages = pages.select("pid").distinct()
         data = data.join(pages, "pid", "left_semi")
-    rows = as_of(data, ts if ts is not None else 2**62)
+    if ts is None:
+        # the flag spares the history
+        rows = data.filter((F.col("latest") == 1) & (F.col("rid") == 0) & (F.col("rev") > 0))
+    else:
+        rows = as_of(data, ts)
     found = labelled(schema, record_cells(store, schema, rows), form)
     if pages is None:
         return found
@@ -244,15 +248,21 @@ def save_revisions(store: Store, schema_name: str, incoming: DataFrame) -> tuple
     zero = F.raise_error(F.lit("saving needs a revision time above zero")).cast("bigint")
     rev = F.when(F.col("rev") > 0, F.col("rev").cast("bigint")).otherwise(zero)
     fresh = incoming.withColumns({"rev": rev, "rid": F.lit(0).cast("bigint")})
-    fresh = fresh.dropDuplicates(DATA_KEYS).join(data.select(*DATA_KEYS), DATA_KEYS, "left_anti")
+    # of several records for one revision the largest stays, whole
+    rest = F.struct(*quoted([c for c in fresh.columns if c not in DATA_KEYS]))
+    fresh = fresh.groupBy(*DATA_KEYS).agg(F.max(rest).alias("_one")).select(*DATA_KEYS, "_one.*")
+    fresh = fresh.join(data.select(*DATA_KEYS), DATA_KEYS, "left_anti")
 
     added = fresh.groupBy("pid").agg(F.max("rev").alias("a_rev")).withColumnRenamed("pid", "a_pid")
     on_page = (F.col("pid") == F.col("a_pid")) & (F.col("rid") == 0)
 
     def outdated(rows: DataFrame) -> DataFrame:
-        beaten = (F.col("latest") == 1) & (F.col("rev") < F.col("a_rev"))
-        flag = F.when(F.coalesce(beaten, F.lit(False)), F.lit(0)).otherwise(F.col("latest"))
-        return rows.join(added, on_page, "left").withColumn("latest", flag).select(*rows.columns)
+        # history cannot change: only latest page rows are joined
+        current = F.coalesce((F.col("latest") == 1) & (F.col("rid") == 0), F.lit(False))
+        beaten = F.coalesce(F.col("rev") < F.col("a_rev"), F.lit(False))
+        flag = F.when(beaten, F.lit(0)).otherwise(F.col("latest"))
+        changed = rows.filter(current).join(added, on_page, "left").withColumn("latest", flag)
+        return rows.filter(~current).unionByName(changed.select(*rows.columns))
 
     current = data.filter((F.col("latest") == 1) & (F.col("rid") == 0) & (F.col("rev") > 0))
     top = added.join(

@@ -70,4 +70,4 @@ class Relation:
 
         prefix = self._once(f"{target.table} row of {cell.key}", attach)
         name = prefix + target.physical
-        return Cell(F.col(name), name, prefix, cell.depth + 1)
+        return Cell(F.col(name), name, prefix, cell.visited | {(target.table, target.label)})

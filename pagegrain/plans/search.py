@@ -72,8 +72,10 @@ class Search:
         self.dynamic_filters = self.names.dynamic_filters(spec.dynamic_filters)
         self.sort_columns = self.names.sorts(spec.sorts)
         self._prefix = {schema.name: f"d{i}__" for i, schema in enumerate(self.names.schemas)}
+        if spec.kind == "global" and len(self.names.schemas) > 1:
+            raise StructureError("global rows have no page that a second schema could be joined on")
         # rows of several schemas or revisions can agree in everything that is selected
-        self.grouped = len(self.names.schemas) > 1 or not spec.latest
+        self.grouped = len(self.names.schemas) > 1 or not self._current_only
 
     # ---- pieces ---------------------------------------------------------------------------------
 
@@ -133,7 +135,9 @@ class Search:
             # what a reader may not see of a later schema removes the row, except that publishers
             # reading all revisions keep it
             keeps_all = not self.spec.latest and self.spec.publisher is not False
-            same_page = F.col(self._prefix[first.name] + "pid") == F.col(prefix + "pid")
+            # global rows belong to no page, so they never make pairs
+            page = F.col(self._prefix[first.name] + "pid")
+            same_page = (page == F.col(prefix + "pid")) & (page != "") & (F.col(prefix + "pid") != "")
             df = df.join(rows, same_page, "left" if keeps_all else "inner")
         relation = Relation(self.store, df)
         self._check_access(relation)
@@ -514,14 +518,17 @@ class Search:
 
     def shown_type(self, column: SchemaColumn):
         """Type that renders a display value: for references the type of the target."""
-        seen = 0
-        while isinstance(column.type, Lookup) and seen < 8:
+        visited = set()
+        while isinstance(column.type, Lookup):
             target = self.store.reference_target(
                 column.type.config["schema"], column.type.config["field"]
             )
             if target is None:
                 break
-            column, seen = target, seen + 1
+            if (target.table, target.label) in visited:
+                raise StructureError(f"references lead in a circle at {target.table}.{target.label}")
+            visited.add((target.table, target.label))
+            column = target
         return column.type
 
     # ---- results --------------------------------------------------------------------------------

@@ -97,6 +97,19 @@ def page_row_errors(rows: DataFrame, pages: DataFrame, create: bool = False) ->
     return joined.withColumn("error", error).select(*quoted(rows.columns), "error")
 
 
+def with_pages(pages: DataFrame, made: DataFrame) -> DataFrame:
+    """Page table in which some pages exist; new ones are readable."""
+    made = made.select(F.col("pid").alias("m_pid")).distinct()
+    joined = pages.join(made, F.col("pid") == F.col("m_pid"), "full")
+    is_made, is_new = F.col("m_pid").isNotNull(), F.col("pid").isNull()
+    given = {
+        "pid": F.coalesce("pid", "m_pid"),
+        "exists": F.when(is_made, F.lit(1)).otherwise(F.col("exists")),
+        "access_level": F.when(is_new, F.lit(1)).otherwise(F.col("access_level")),
+    }
+    return joined.select(*[given.get(c, F.col(f"`{c}`")).alias(c) for c in pages.columns])
+
+
 def import_csv(
     store: Store,
     schema_name: str,
@@ -134,6 +147,8 @@ def import_csv(
         if store.assignments is not None:
             pairs = accepted.select("pid", F.lit(schema.name).alias("tbl"))
             grown.assignments = with_assignments(store.assignments, pairs, 1)
+        if create_pages and store.pages is not None:
+            grown.pages = with_pages(store.pages, accepted.select("pid"))
         changed = changed_only(store, schema, accepted.withColumn("rev", F.lit(ts).cast("bigint")))
         data, multi = save_revisions(store, schema_name, changed)
     else:

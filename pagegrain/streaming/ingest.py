@@ -22,12 +22,18 @@ KEYS = ["pid", "rev"]
 
 
 def start_ingest(
-    stream: DataFrame, schema: Schema, log: str, checkpoint: str, users: DataFrame | None = None
+    stream: DataFrame,
+    schema: Schema,
+    log: str,
+    checkpoint: str,
+    users: DataFrame | None = None,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Append a stream of ``pid``, ``rev`` and cells by label to the log.
 
     Good records go to ``<log>/accepted/batch=<n>``, others with their errors to
     ``<log>/rejected/batch=<n>``. ``checkpoint`` is the stream's own progress folder.
+    ``trigger`` is passed on to the writer; by default what is there is worked off once.
     """
 
     def keep(batch: DataFrame, number: int) -> None:
@@ -43,19 +49,34 @@ def start_ingest(
     return (
         stream.writeStream.foreachBatch(keep)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
 
-def read_log(spark: SparkSession, log: str) -> DataFrame:
-    """Accepted revisions, each ``(pid, rev)`` once as it came first."""
+def read_log(spark: SparkSession, log: str, after: int | None = None) -> DataFrame:
+    """Accepted revisions of the batches after a number, each ``(pid, rev)`` once."""
     rows = spark.read.parquet(f"{log}/accepted")
-    rest = [c for c in rows.columns if c not in KEYS]
-    first = rows.groupBy(*KEYS).agg(F.min_by(F.struct(*quoted(rest)), "batch").alias("_first"))
+    return first_arrived(rows if after is None else rows.filter(F.col("batch") > after))
+
+
+def first_arrived(rows: DataFrame) -> DataFrame:
+    """Each ``(pid, rev)`` as it came first; of different records in one batch the smallest, whole."""
+    rest = [c for c in rows.columns if c not in (*KEYS, "batch")]
+    first = rows.groupBy(*KEYS).agg(F.min(F.struct("batch", *quoted(rest))).alias("_first"))
     return first.select(*KEYS, "_first.*").drop("batch")
 
 
-def compact(store: Store, schema_name: str, log: str) -> tuple[DataFrame, DataFrame]:
-    """The ``data`` and ``multi`` tables of the store with the log worked in."""
-    return save_revisions(store, schema_name, read_log(store.spark, log))
+def last_batch(spark: SparkSession, log: str) -> int | None:
+    """Number of the newest batch, to be kept with a snapshot that ``compact`` made."""
+    return spark.read.parquet(f"{log}/accepted").agg(F.max("batch")).first()[0]
+
+
+def compact(
+    store: Store, schema_name: str, log: str, after: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The ``data`` and ``multi`` tables of the store with the log worked in.
+
+    ``after`` is the newest batch that the store already holds; earlier folders are not read.
+    """
+    return save_revisions(store, schema_name, read_log(store.spark, log, after))

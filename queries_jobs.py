@@ -813,7 +813,7 @@ def raw_csv(spark, sf_dir):
         F.concat(F.col("l_returnflag"), F.lit(" , "), F.col("l_linestatus")).alias("FLAGS"),
         F.col("l_shipdate").cast("string").alias("shipped"),
         F.col("l_linestatus").alias("status"),
-        (F.col("l_partkey") * (1 << 34) + F.col("l_suppkey") * 8 + F.col("l_linenumber")).alias("line"),
+        F.expr(catalog.ITEM_ROW).alias("line"),
     )
 
 

@@ -7,22 +7,23 @@ from pagegrain import SearchSpec
 from pagegrain.operators import aggregate, nested, suggest
 from pagegrain.operators.numbering import numbered
 
-CARS = [
-    ("car", "audi", "a80"), ("car", "audi", "a4"), ("car", "audi", "quattro"), ("car", "bmw", "i3"),
-    ("car", "bmw", "mini"), ("car", "bmw", "z1"), ("laptop", "apple", "pro 16"),
-    ("laptop", "apple", "air"), ("laptop", "lenovo", "yoga"), ("laptop", "lenovo", "x13"),
-    ("laptop", "fujitsu", "lifebook"), ("laptop", "fujitsu", "lifebook"),
+# kind, family, plant and its flower colours
+PLANTS = [
+    ("tree", "beech", "oak", []),
+    ("herb", "mint", "sage", ["violet", "white"]),
+    ("tree", "rose", "plum", ["white"]),
+    ("herb", "mint", "thyme", ["violet"]),
+    ("herb", "rose", "avens", ["yellow"]),
+    ("tree", "", "mystery", ["white", "yellow"]),
+    ("herb", "daisy", "arnica", ["yellow"]),
+    ("tree", "rose", "plum", ["white"]),
 ]
 
 
 @pytest.fixture
 def things(make):
-    schema = make.schema("things", "colors[]", "type", "brand", "model")
-    colours = {0: ["green", "yellow"], 1: [], 2: ["blue"]}
-    rows = [
-        (f"p{n:02}", 0, 1, 1, None, colours[n % 3], kind, "" if n == 8 else brand, model)
-        for n, (kind, brand, model) in enumerate(CARS)
-    ]
+    schema = make.schema("things", "colors[]", "type", "family", "plant")
+    rows = [(f"p{n}", 0, 1, 1, None, colours, kind, family, plant) for n, (kind, family, plant, colours) in enumerate(PLANTS)]
     return make.add(schema, rows)
 
 
@@ -31,63 +32,68 @@ def leaves(df):
 
 
 def test_tree(things):
-    df = nested.nested(things, SearchSpec(("things",), ("type", "brand", "model")), levels=2)
-    found = leaves(df)
-    assert len(found) == 11  # equal leaves of a node once
-    assert found[0] == (("car", "audi"), "a4")
-    assert found[-1] == (("laptop", ""), "yoga")  # blanks last
+    df = nested.nested(things, SearchSpec(("things",), ("type", "family", "plant")), levels=2)
+    assert leaves(df) == [
+        (("herb", "daisy"), "arnica"), (("herb", "mint"), "sage"), (("herb", "mint"), "thyme"), (("herb", "rose"), "avens"),
+        (("tree", "beech"), "oak"), (("tree", "rose"), "plum"), (("tree", ""), "mystery"),
+    ]
     counts = {tuple(r["path"]): r["leaf_rows"] for r in nested.nodes(df).collect()}
-    assert len([p for p in counts if len(p) == 1]) == 2
-    assert counts[("car",)] == 6 and counts[("laptop", "fujitsu")] == 1
+    assert counts == {
+        ("herb",): 4, ("tree",): 3, ("herb", "daisy"): 1, ("herb", "mint"): 2, ("herb", "rose"): 1,
+        ("tree", "beech"): 1, ("tree", "rose"): 1, ("tree", ""): 1,
+    }
 
 
 def test_tree_over_lists(things):
-    df = nested.nested(things, SearchSpec(("things",), ("colors", "type", "model")), levels=2)
-    first = {path[0] for path, *_ in leaves(df)}
-    assert first == {"green", "yellow", "blue", ""}
-    again = [row for row in leaves(df) if row[1] == "a80"]
-    assert [path for path, _ in again] == [("green", "car"), ("yellow", "car")]
+    df = nested.nested(things, SearchSpec(("things",), ("colors", "type", "plant")), levels=1)
+    below = {}
+    for path, _, plant in leaves(df):
+        below.setdefault(path[0], []).append(plant)
+    assert below == {"violet": ["sage", "thyme"], "white": ["sage", "mystery", "plum"], "yellow": ["arnica", "avens", "mystery"], "": ["oak"]}
 
 
 def test_tree_in_search_order(things):
-    spec = SearchSpec(("things",), ("type", "brand", "model"), sorts=("^brand", "model"))
+    spec = SearchSpec(("things",), ("type", "family", "plant"), sorts=("^plant",))
     df = nested.nested(things, spec, levels=2, keep_order=True)
     paths = list(dict.fromkeys(path for path, *_ in leaves(df)))
-    assert paths == [
-        ("laptop", "lenovo"), ("laptop", "fujitsu"), ("laptop", "apple"), ("laptop", ""),
-        ("car", "bmw"), ("car", "audi"),
-    ]
+    assert paths == [("herb", "mint"), ("herb", "rose"), ("herb", "daisy"), ("tree", "rose"), ("tree", "beech"), ("tree", "")]
+
+
+def test_siblings_follow_the_compare_value(make):
+    schema = make.schema("visits", ("place", "Page", {"usetitles": True}), "day")
+    make.titles(("a:1", "Zoo", "", 1, ""), ("b:2", "Alps", "", 1, ""))
+    store = make.pages(schema, x=("b:2", "one"), y=("a:1", "two"), z=("c:3", "three"))
+    df = nested.nested(store, SearchSpec(("visits",), ("place", "day")), levels=1)
+    assert leaves(df) == [(("Zoo",), "two"), (("Alps",), "one"), (("c:3",), "three")]
 
 
 def test_index(things):
-    df = nested.nested(things, SearchSpec(("things",), ("type", "brand", "model")), levels=1, index=2)
-    assert {path for path, *_ in leaves(df)} == {("CA", "car"), ("LA", "laptop")}
-    flat = nested.nested(things, SearchSpec(("things",), ("type", "model")), levels=0, index=1)
-    assert {(path, kind) for path, kind, _ in leaves(flat)} == {(("C",), "car"), (("L",), "laptop")}
+    df = nested.nested(things, SearchSpec(("things",), ("family", "plant")), levels=1, index=1)
+    assert [path for path, _ in leaves(df)] == [
+        ("B", "beech"), ("D", "daisy"), ("M", "mint"), ("M", "mint"), ("R", "rose"), ("R", "rose"), ("", ""),
+    ]
+    flat = nested.nested(things, SearchSpec(("things",), ("plant", "type")), levels=0, index=3)
+    assert (("SAG",), "sage", "herb") in leaves(flat) and len(leaves(flat)) == 7
 
 
 def test_facets(things):
-    df = aggregate.facets(things, SearchSpec(("things",), ("colors", "type", "brand")))
+    df = aggregate.facets(things, SearchSpec(("things",), ("colors", "type", "family")))
     found = {}
     for row in df.collect():
         found.setdefault(row["column"], set()).add(row["display"])
     assert found == {
-        "colors": {"green", "yellow", "blue"},
-        "type": {"car", "laptop"},
-        "brand": {"audi", "bmw", "apple", "lenovo", "fujitsu"},
+        "colors": {"violet", "white", "yellow"}, "type": {"tree", "herb"}, "family": {"beech", "mint", "rose", "daisy"},
     }
 
 
 def test_cloud(things):
-    spec = SearchSpec(("things",), ("colors",), filters=(("model", "!=", "none"), ("colors", "!=", "x")))
-    rows = {r["tag"]: (r["count"], r["weight"]) for r in aggregate.cloud(things, spec).collect()}
-    assert rows == {"green": (4, 100), "yellow": (4, 100), "blue": (4, 100)}
-    everything = aggregate.cloud(things, SearchSpec(("things",), ("colors",)))
-    assert {r["tag"]: r["weight"] for r in everything.collect()}["green"] == 150  # empty tag counts 0
-    brands = aggregate.cloud(things, SearchSpec(("things",), ("brand",)), minimum=2, limit=3)
-    assert [(r["tag"], r["count"], r["weight"]) for r in brands.orderBy("tag").collect()] == [
-        ("apple", 2, 70), ("audi", 3, 150), ("bmw", 3, 150),
-    ]
+    spec = SearchSpec(("things",), ("colors",), filters=(("type", "=", "tree"),))
+    counts = {r["tag"]: r["count"] for r in aggregate.cloud(things, spec).collect()}
+    assert {tag: n for tag, n in counts.items() if tag} == {"white": 3, "yellow": 1}
+    families = aggregate.cloud(things, SearchSpec(("things",), ("family",)), minimum=2, limit=2)
+    rows = {r["tag"]: (r["count"], r["weight"]) for r in families.collect()}
+    assert {tag: n for tag, (n, _) in rows.items()} == {"rose": 3, "mint": 2}
+    assert rows["rose"][1] > rows["mint"][1]
 
 
 def test_sums(make):
@@ -100,22 +106,17 @@ def test_sums(make):
 
 
 def test_single_value(things):
-    spec = SearchSpec(("things",), ("colors", "brand", "model"), sorts=("^model",))
+    spec = SearchSpec(("things",), ("colors", "family", "plant"), sorts=("^plant",))
     rows = aggregate.single_value(things, spec).orderBy("position").collect()
-    assert [(r["column"], r["values"]) for r in rows] == [
-        ("colors", ["blue"]), ("brand", ["bmw"]), ("model", ["z1"]),
-    ]
+    assert [(r["column"], r["values"]) for r in rows] == [("colors", ["violet"]), ("family", ["mint"]), ("plant", ["thyme"])]
 
 
 def test_row_numbers(things):
-    spec = SearchSpec(("things",), ("model",), sorts=("model",))
+    spec = SearchSpec(("things",), ("plant",), sorts=("plant",))
     whole = aggregate.with_row_numbers(things, spec).orderBy("row_number").collect()
-    assert [r["row_number"] for r in whole] == list(range(1, 13))
-    assert [r["model"] for r in whole] == sorted(r["model"] for r in whole)
+    assert [(r["row_number"], r["plant"]) for r in whole] == list(enumerate(sorted(p for _, _, p, _ in PLANTS), 1))
     page = aggregate.with_row_numbers(things, replace(spec, limit=3, offset=4)).collect()
-    assert [(r["row_number"], r["model"]) for r in page] == [
-        (n, whole[n - 1]["model"]) for n in (5, 6, 7)
-    ]
+    assert [(r["row_number"], r["plant"]) for r in page] == [(n, whole[n - 1]["plant"]) for n in (5, 6, 7)]
 
 
 def test_numbering_is_exact_under_ties_and_skew(spark):

@@ -1,6 +1,9 @@
+from dataclasses import replace
+
 import pytest
 
 from pagegrain.operators import assignment as a
+from pagegrain.sources.registry import Registry
 
 
 @pytest.fixture
@@ -13,17 +16,26 @@ def matched(frame, page, *patterns):
     return {r["tbl"] for r in df.collect()}
 
 
-def test_patterns(frame):
-    patterns = ["some:ns:page", "some:ns:*", "some:**", "**", ":**", "/page/", "/:page/", "/PAGE/i", "other:*", "*"]
-    assert matched(frame, "some:ns:page", *patterns) == {
-        "some:ns:page", "some:ns:*", "some:**", "**", ":**", "/page/", "/:page/", "/PAGE/i",
-    }
-    assert matched(frame, "some:ns:other", *patterns) == {"some:ns:*", "some:**", "**", ":**"}
-    assert matched(frame, "some:ns:deep:other", *patterns) == {"some:**", "**", ":**"}
-    assert matched(frame, "somepagehere", *patterns) == {"**", ":**", "/page/", "/PAGE/i", "*"}
-    assert matched(frame, "some:pagehere", "/:page/") == {"/:page/"}
-    assert matched(frame, "pagehere", "/:page/") == {"/:page/"}
-    assert matched(frame, "some:ns:page") == set()
+PATTERNS = ["zoo:birds:owl", "zoo:birds:*", "zoo:*", "zoo:**", "*", "**", "/^zoo:/", "/BIRD/", "/BIRD/i", "/owl$/"]
+
+
+@pytest.mark.parametrize(
+    "page, others",
+    [
+        ("zoo:birds:owl", {"zoo:birds:owl", "zoo:birds:*", "zoo:**", "/BIRD/i", "/owl$/"}),
+        ("zoo:birds:rails:coot", {"zoo:**", "/BIRD/i"}),
+        ("zoo:gate", {"zoo:*", "zoo:**"}),
+        ("zoo", {"*"}),
+        ("owl", {"*", "/owl$/"}),
+        ("park:birds", {"/BIRD/i"}),
+    ],
+)
+def test_patterns(frame, page, others):
+    """One level, all levels below a namespace, exact ids and expressions (which see a leading colon)."""
+    found = matched(frame, page, *PATTERNS)
+    assert found - {"**", "/^zoo:/"} == others and "**" in found
+    assert matched(frame, page, "/^:?zoo:/") == ({"/^:?zoo:/"} if page.startswith("zoo:") else set())
+    assert matched(frame, page) == set()
 
 
 def settled(df):
@@ -61,9 +73,16 @@ def test_life_of_assignments(frame):
 
 
 def test_historic(make):
-    make.add(make.schema("early", "f", ts=5), [("p", 0, 10, 1, None, "x"), ("q", 0, 90, 1, None, "x")])
-    store = make.add(make.schema("later", "f", ts=50), [("p", 0, 60, 1, None, "x")])
-    found = a.historic_schemas(store, 40).collect()
-    assert [tuple(r) for r in found] == [("p", "early")]
-    assert a.historic_schemas(store, 100).count() == 3
-    assert a.historic_schemas(store, 1).count() == 0
+    make.add(make.schema("birds", "f", ts=20), [("owl", 0, 30, 1, None, "x"), ("coot", 0, 75, 1, None, "x")])
+    store = make.add(make.schema("rails", "f", ts=100), [("coot", 0, 45, 1, None, "x"), ("owl", 0, 110, 1, None, "x")])
+
+    def found(ts, registry=None):
+        return sorted(tuple(r) for r in a.historic_schemas(store, ts, registry=registry).collect())
+
+    assert found(50) == [("owl", "birds")] and found(10) == []
+    # the store holds the second version of one schema; its first one is older
+    registry = Registry.empty(store.spark)
+    for version in (replace(store.schema("rails"), ts=40), store.schema("rails"), store.schema("birds")):
+        registry, _ = registry.with_version(version)
+    assert found(50, registry) == [("coot", "rails"), ("owl", "birds")]
+    assert found(39, registry) == [("owl", "birds")]

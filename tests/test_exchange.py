@@ -26,31 +26,42 @@ def write(tmp_path, text):
 # ---- CSV -------------------------------------------------------------------------------------------
 
 
-def test_page_import(make, spark, schema1, tmp_path):
-    store = make.pages(schema1)
-    store.pages = make.frame("pid string, exists int, access_level int", ("wiki:syntax", 1, 1), ("x", 1, 1))
-    store.assignments = make.frame("pid string, tbl string, assigned int", ("x", "schema1", 0))
+def test_page_import(make, spark, tmp_path):
+    boats = make.schema("boats", "name", "crew[]", "port", "remark")
+    store = make.pages(boats)
+    store.pages = make.frame("pid string, exists int, access_level int", ("fleet:eider", 1, 1), ("fleet:tern", 1, 1))
+    store.assignments = make.frame("pid string, tbl string, assigned int", ("fleet:tern", "boats", 0))
     raw = csv_files.read_rows(spark, write(tmp_path, (
-        "pid,first,third,second,fourth,fifth\n"
-        '"Wiki:Syntax",e,"g ""q""","f, i",h,ignored\n'
-        "wiki:syntax,again,,,,\n"
-        "missing,a,b,c,d,\n"
-        "x,short\n"
-        'x,only,"two\nlines",,"",z\n'
+        "port,pid,remark,length,name,crew\n"
+        'Husum,Fleet:Eider,"a ""quoted"" word",12,Eider," Ann ,Bo,,Cy"\n'
+        "Kiel,fleet:eider,late,,Eider II,\n"
+        "Kiel,fleet:gull,,9,Gull,Di\n"
+        "Emden,fleet:tern\n"
+        '"Emden\nharbour",fleet:tern,"",,Tern,\n'
     )))
-    grown, bad = csv_files.import_csv(store, "schema1", raw, "page", ts=50)
-    found = {r["pid"]: tuple(r)[3:] for r in records(grown, "schema1").collect()}
-    assert found["wiki:syntax"] == ("e", ["f", "i"], 'g "q"', "h")
+    grown, bad = csv_files.import_csv(store, "boats", raw, "page", ts=80)
+    found = {r["pid"]: tuple(r)[3:] for r in records(grown, "boats").collect()}
+    assert found == {
+        "fleet:eider": ("Eider", ["Ann", "Bo", "Cy"], "Husum", 'a "quoted" word'), "fleet:tern": ("Tern", [], "Emden\nharbour", ""),
+    }
     reasons = sorted(r["errors"][0] for r in bad.collect())
     assert reasons == [
-        'Page "missing" does not exist', 'Page "wiki:syntax" already imported',
-        "missing field third, second, fourth",
+        'Page "fleet:eider" already imported', 'Page "fleet:gull" does not exist', "missing field remark, name, crew",
     ]
-    assert found["x"] == ("only", [], "two\nlines", "")
-    assert {(r["pid"], r["assigned"]) for r in grown.assignments.collect() if r["pid"] == "wiki:syntax"} == {("wiki:syntax", 1)}
+    assert {r["pid"]: r["assigned"] for r in grown.assignments.collect()}["fleet:eider"] == 1
 
-    created, _ = csv_files.import_csv(store, "schema1", raw, "page", ts=50, create_pages=True)
-    assert "missing" in {r["pid"] for r in records(created, "schema1").collect()}
+
+def test_created_pages_exist_afterwards(make, spark, tmp_path):
+    boats = make.schema("boats", "name")
+    store = make.pages(boats)
+    store.pages = make.frame("pid string, exists int, access_level int", ("fleet:eider", 1, 4))
+    raw = csv_files.read_rows(spark, write(tmp_path, "pid,name\nfleet:gull,Gull\nfleet:eider,Eider\n"))
+    created, bad = csv_files.import_csv(store, "boats", raw, "page", ts=80, create_pages=True)
+    assert bad.count() == 0
+    rows = search(created, SearchSpec(("boats",), ("%pageid%", "name"))).collect()
+    assert sorted(r["name"] for r in rows) == ["Eider", "Gull"]
+    levels = {r["pid"]: r["access_level"] for r in created.pages.collect()}
+    assert levels["fleet:eider"] == 4 and set(levels) == {"fleet:eider", "fleet:gull"}
 
 
 def test_unchanged_rows_make_no_revision(make, spark, schema1, tmp_path):

@@ -14,22 +14,21 @@ from pagegrain.plans.names import Names
 
 @pytest.fixture
 def two_schemas(make):
-    """The same two pages in two schemas, and ten more pages in the second."""
-    one = make.schema("schema1", "first", "second[]", "third", "fourth")
-    two = make.schema("schema2", "afirst", "asecond[]", "athird", ("afourth", "Decimal"))
+    """Two plots described in both schemas, and seven beds in the second only."""
+    plots = make.schema("plots", "name", "crops[]", "soil", "remark")
+    harvest = make.schema("harvest", "crop", "tools[]", "weather", ("weight", "Decimal"))
     make.pages(
-        one,
-        page01=("first data", ["second data", "more data", "even more"], "third data", "fourth data"),
-        **{"test:document": ("document first data", ["second", "more"], "", "fourth data")},
+        plots,
+        orchard=("Old orchard", ["apple", "wild apple", "pear"], "loam", "mow twice"),
+        **{"farm:north": ("North field", ["rye", "oat"], "", "stony")},
     )
     rows = {
-        "page01": ("first data", ["second data", "more data", "even more"], "third data", "0"),
-        "test:document": ("first data", ["second data", "more data", "even more"], "third data", "7"),
+        "orchard": ("apple", ["ladder", "wild apple"], "dry", "0"),
+        "farm:north": ("rye", ["rye", "sickle"], "dry", "4"),
     }
-    for n in range(10, 21):
-        cells = (f"page{n} first data", [f"page{n} second data"], f"page{n} third data", str(n))
-        rows[f"page{n}"] = cells
-    return make.pages(two, **rows)
+    for n in range(3, 10):
+        rows[f"bed{n}"] = (f"bean {n}", [f"hoe {n}"], f"rain {n}", str(4 * n))
+    return make.pages(harvest, **rows)
 
 
 def pids(df):
@@ -37,79 +36,95 @@ def pids(df):
 
 
 def test_simple(two_schemas):
-    found = search(two_schemas, SearchSpec(("schema1",), ("%pageid%", "first", "second"))).collect()
-    assert {row["pid"]: (row["first"], row["second"]) for row in found} == {
-        "page01": ("first data", ["second data", "more data", "even more"]),
-        "test:document": ("document first data", ["second", "more"]),
+    found = search(two_schemas, SearchSpec(("plots",), ("%pageid%", "crops", "name"))).collect()
+    assert {row["%pageid%"]: (row["crops"], row["name"]) for row in found} == {
+        "farm:north": (["rye", "oat"], "North field"),
+        "orchard": (["apple", "wild apple", "pear"], "Old orchard"),
     }
 
 
 def test_unknown_names(two_schemas):
-    with pytest.raises(StructureError):
-        search(two_schemas, SearchSpec(("nope",), ("first",)))
-    with pytest.raises(StructureError):
-        search(two_schemas, SearchSpec(("schema1",), ("nope",)))
-    with pytest.raises(StructureError):
-        search(two_schemas, SearchSpec(("schema1",), ("first",), filters=(("first", "?", "x"),)))
-    ignored = SearchSpec(("schema1",), ("first", "nope"), filters=(("nope", "=", "x"),), sorts=("nope",))
+    for wrong in (
+        SearchSpec(("woods",), ("name",)),
+        SearchSpec(("plots",), ("owner",)),
+        SearchSpec(("plots",), ("name",), filters=(("name", "<>?", "x"),)),
+    ):
+        with pytest.raises(StructureError):
+            search(two_schemas, wrong)
+    ignored = SearchSpec(("plots",), ("owner", "soil", "name"), filters=(("owner", "!=", "x"),), sorts=("^owner",))
     assert search(two_schemas, ignored).count() == 2
 
 
 def test_two_schemas_and_paging(two_schemas):
-    spec = SearchSpec(
-        ("schema1", ("schema2", "foo")),
-        ("%pageid%", "first", "second", "foo.afirst", "asecond"),
-        filters=(("schema1.third", "=", "third data"),),
+    joined = SearchSpec(
+        (("harvest", "h"), "plots"), ("%pageid%", "name", "h.crop"), filters=(("plots.soil", "!=", ""), ("h.tools", "=", "ladder"))
     )
-    assert pids(search(two_schemas, spec)) == ["page01"]
+    assert [(r["%pageid%"], r["crop"]) for r in search(two_schemas, joined).collect()] == [("orchard", "apple")]
     either = SearchSpec(
-        ("schema1", "schema2"),
-        ("first",),
-        filters=(("second", "~", "sec*"), ("afirst", "=", "nothing", "OR")),
+        ("plots", "harvest"), ("remark",), filters=(("crops", "~", "*wild*"), ("weight", ">", "3", "OR"), ("crop", "=", "none", "OR"))
     )
-    assert sorted(pids(search(two_schemas, either))) == ["page01", "test:document"]
+    assert sorted(pids(search(two_schemas, either))) == ["farm:north", "orchard"]
 
-    paged = SearchSpec(
-        ("schema2",), ("%pageid%", "afirst"), filters=(("%pageid%", "~", "%ag%"),),
-        sorts=("^%pageid%",), limit=5,
-    )
-    assert Search(two_schemas, paged).count().first()[0] == 12
-    assert pids(search(two_schemas, paged)) == [f"page{n}" for n in (20, 19, 18, 17, 16)]
-    assert pids(search(two_schemas, paged.with_dynamic(offset=5))) == [
-        f"page{n}" for n in (15, 14, 13, 12, 11)
-    ]
+    paged = SearchSpec(("harvest",), ("crop",), filters=(("%pageid%", "~", "bed*"),), sorts=("^weight",), limit=3)
+    assert Search(two_schemas, paged).count().first()[0] == 7
+    pages = [pids(search(two_schemas, paged.with_dynamic(offset=n))) for n in (0, 3, 6, 9)]
+    assert pages == [["bed9", "bed8", "bed7"], ["bed6", "bed5", "bed4"], ["bed3"], []]
+
+
+def test_global_rows_of_two_schemas_make_no_pairs(make):
+    make.add(make.schema("a", "x"), [("", n, 0, 1, None, f"a{n}") for n in range(1, 6)])
+    store = make.add(make.schema("b", "y"), [("", n, 0, 1, None, f"b{n}") for n in range(1, 6)] + [("p", 0, 5, 1, None, "b")])
+    assert search(store, SearchSpec(("a", "b"), ("x", "y"))).count() == 0
+    with pytest.raises(StructureError):
+        search(store, SearchSpec(("a", "b"), ("x", "y"), kind="global"))
 
 
 def test_wildcards_and_exclusion(two_schemas):
     def labels(*columns):
-        return Search(two_schemas, SearchSpec((("schema1", "s"), "schema2"), columns)).output_names
+        return Search(two_schemas, SearchSpec(("harvest", ("plots", "p")), columns)).output_names
 
-    assert labels("*") == ["first", "second", "third", "fourth"]
-    assert labels("s.*", "-third", "schema2.afirst") == ["first", "second", "fourth", "afirst"]
-    assert labels("other.afirst") == ["afirst"]
+    assert labels("*") == ["crop", "tools", "weather", "weight"]
+    assert labels("weather", "p.*", "-crops", "-name") == ["weather", "soil", "remark"]
+    assert labels("nothing.soil") == ["soil"]
 
 
 def test_decimals_sort_and_filter_by_number(make):
-    schema = make.schema("decimal", ("field", "Decimal"))
-    store = make.pages(schema, p1=("5000",), p2=("5000.001",), p3=("900.5",), p4=("1.5",), p5=("",))
-    spec = SearchSpec(("decimal",), ("field",), sorts=("field",))
-    assert pids(search(store, spec)) == ["p4", "p3", "p1", "p2"]
-    above = SearchSpec(("decimal",), ("field",), filters=(("field", ">", "800"),), sorts=("^field",))
-    assert pids(search(store, above)) == ["p2", "p1", "p3"]
-    below = SearchSpec(("decimal",), ("%pageid%",), filters=(("field", "<", "2"),))
-    assert pids(search(store, below)) == ["p4"]
+    schema = make.schema("scales", ("weight", "Decimal"))
+    cells = dict(a="20", b="3", c="-4.25", d="3.0001", e="", f="1e2", g="007")
+    store = make.pages(schema, **{page: (cell,) for page, cell in cells.items()})
+    assert pids(search(store, SearchSpec(("scales",), ("weight",), sorts=("weight",)))) == ["c", "b", "d", "g", "a", "f"]
+
+    def found(comparator, value):
+        spec = SearchSpec(("scales",), ("%pageid%",), filters=(("weight", comparator, value),))
+        return "".join(sorted(pids(search(store, spec))))
+
+    assert [found(c, "7") for c in ("<", "<=", "=", "!=", ">=", ">")] == ["bcd", "bcdg", "g", "abcdf", "afg", "af"]
+
+
+def test_whole_numbers_beyond_doubles(make):
+    schema = make.schema("scales", ("weight", "Decimal"))
+    base = 2**53
+    store = make.pages(schema, a=(str(base + 1),), b=(str(base),), c=(f"-{base + 1}",), d=(f"{base}.5",), e=("9.1e15",))
+
+    def found(comparator, value):
+        spec = SearchSpec(("scales",), ("%pageid%",), filters=(("weight", comparator, value),))
+        return "".join(sorted(pids(search(store, spec))))
+
+    assert found("=", str(base)) in ("b", "bd") and found("=", str(base + 1)) == "a"
+    assert "a" in found(">", str(base)) and "b" not in found(">", str(base))
+    assert found("<", f"-{base}") == "c"
+    order = pids(search(store, SearchSpec(("scales",), ("weight",), sorts=("weight",))))
+    assert order[0] == "c" and order.index("b") < order.index("a") and order[-1] == "e"
 
 
 def test_dates_compare_as_text(make):
-    schema = make.schema("dates", ("field", "DateTime"))
-    store = make.pages(schema, a=("2023-01-01 12:00",), b=("2023-01-02 00:00",), c=("2023-01-02 12:00",))
+    store = make.pages(make.schema("log", ("at", "DateTime")), a=("1999-12-31 23:59",), b=("2000-01-01 00:00",), c=("2000-01-01 00:01",))
 
     def found(comparator, value):
-        return search(store, SearchSpec(("dates",), ("field",), filters=(("field", comparator, value),))).count()
+        return pids(search(store, SearchSpec(("log",), ("at",), filters=(("at", comparator, value),), sorts=("at",))))
 
-    assert found("<", "2023-01-02") == 1
-    assert found("<", "2023-01-01 11:00") == 0
-    assert found(">", "2023-01-01 12:00") == 2
+    assert found(">=", "2000-01-01") == ["b", "c"] and found("<", "2000") == ["a"]
+    assert found(">", "2000-01-01 00:00") == ["c"] and found("=", "1999-12-31") == []
 
 
 def test_text_affixes(make):
@@ -127,35 +142,32 @@ def test_text_affixes(make):
 
 
 def kinds_store(make):
-    schema = make.schema("schema2", "afirst", "asecond[]", "athird", ("afourth", "Decimal"))
+    """Three hives, each with a page row and two serial rows."""
+    schema = make.schema("hives", "note", "seen[]", ("mites", "Decimal"))
     rows = []
-    for n, colours in enumerate((["green", "red"], ["green", "blue"], ["blue", "yellow"])):
-        rows.append((f"test{n}", n + 1, 0, 1, None, f"serial{n}", colours, "x", "1"))
-        rows.append((f"test{n}", 0, 10, 1, None, f"page{n}", colours, "x", "1"))
+    for n, seen in enumerate((["brood", "queen"], ["honey"], ["honey", "queen"])):
+        rows.append((f"hive{n}", 0, 40, 1, None, f"page {n}", seen, "2"))
+        rows += [(f"hive{n}", 2 * n + k, 0, 1, None, f"visit {n}.{k}", seen[:k], "0") for k in (1, 2)]
     return make.add(schema, rows)
 
 
 def test_kinds_and_assignments(make):
     store = kinds_store(make)
-    everything = SearchSpec(("schema2",), ("afirst", "asecond"))
-    assert search(store, everything).count() == 6
-    green = SearchSpec(("schema2",), ("afirst", "asecond"), filters=(("asecond", "=", "green"),))
-    rows = search(store, green).collect()
-    assert len(rows) == 4
-    assert all("green" in row["asecond"] and len(row["asecond"]) == 2 for row in rows)
-    differing = SearchSpec(("schema2",), ("afirst",), filters=(("asecond", "!=", "green"),))
-    assert search(store, differing).count() == 6
-    own = SearchSpec(("schema2",), ("afirst",), kind="serial", page="test1")
-    assert [row["afirst"] for row in search(store, own).collect()] == ["serial1"]
-
-    store.assignments = make.frame(
-        "pid string, tbl string, assigned int", ("test0", "schema2", 0), ("test1", "other", 0)
-    )
+    everything = SearchSpec(("hives",), ("note", "seen"))
+    assert search(store, everything).count() == 9
+    queens = SearchSpec(("hives",), ("note", "seen"), filters=(("seen", "=", "queen"),))
+    rows = {row["note"]: row["seen"] for row in search(store, queens).collect()}
+    assert rows == {note: ["brood", "queen"] for note in ("page 0", "visit 0.2")} | {note: ["honey", "queen"] for note in ("page 2", "visit 2.2")}
+    other = SearchSpec(("hives",), ("note",), filters=(("seen", "!=", "honey"),))
+    assert {row["note"] for row in search(store, other).collect()} == {"page 0", "visit 0.1", "visit 0.2", "page 2", "visit 2.2"}
+    visits = SearchSpec(("hives",), ("note",), kind="serial", page="hive1")
+    assert sorted(row["note"] for row in search(store, visits).collect()) == ["visit 1.1", "visit 1.2"]
+
+    # page rows need their assignment, serial rows do not
+    store.assignments = make.frame("pid string, tbl string, assigned int", ("hive2", "hives", 0), ("hive1", "sheds", 0))
+    assert search(store, everything).count() == 8
+    store.pages = make.frame("pid string, exists int, access_level int", ("hive0", 1, 0), ("hive1", 1, 2), ("hive2", 1, 1))
     assert search(store, everything).count() == 5
-    store.pages = make.frame(
-        "pid string, exists int, access_level int", ("test0", 1, 1), ("test1", 1, 0), ("test2", 1, 8)
-    )
-    assert search(store, everything).count() == 3
 
 
 def test_publishing(make):
@@ -178,26 +190,28 @@ def test_publishing(make):
     assert cells(latest=False) == ["draft", "latest", "published"]
 
 
+def test_readers_see_equal_revisions_once(make):
+    schema = make.schema("s", "a", "b[]")
+    rows = [(p, 0, rev, int(rev == 3), int(rev < 3), cell, [f"{p}{rev}"]) for p in "pq" for rev, cell in ((1, "same"), (2, "same"), (3, "new"))]
+    store = make.add(schema, rows)
+    spec = SearchSpec(("s",), ("a", "b"), publisher=False, sorts=("%pageid%",))
+    for limit in (0, 2):
+        found = search(store, replace(spec, limit=limit)).collect()
+        assert [(r["pid"], r["rev"], r["a"], sorted(r["b"])) for r in found] == [("p", 2, "same", ["p1", "p2"]), ("q", 2, "same", ["q1", "q2"])]
+
+
 def test_titles(make):
-    schema = make.schema("t", ("link", "Page", {"usetitles": True}))
-    make.titles(
-        ("title1", "This is a title", "", 1, ""),
-        ("title2", "This is a title", "", 1, ""),
-        ("title3", "Another Title", "", 1, ""),
-    )
-    store = make.pages(schema, a=("title1",), b=("title2",), c=("title3",), d=("untitled",), e=("",))
-    spec = SearchSpec(("t",), ("link",), sorts=("link",))
-    rows = search(store, spec, "display", "raw").collect()
-    assert [(row["link"], row["link__raw"]) for row in rows] == [
-        ("untitled", "untitled"),
-        ("Another Title", "title3"),
-        ("This is a title", "title1"),
-        ("This is a title", "title2"),
-    ]
-    by_title = SearchSpec(("t",), ("link",), filters=(("link", "~", "*another*"),))
-    assert pids(search(store, by_title)) == ["c"]
-    by_id = SearchSpec(("t",), ("link",), filters=(("link", "=", "title2"),))
-    assert pids(search(store, by_id)) == ["b"]
+    schema = make.schema("routes", ("goal", "Page", {"usetitles": True}))
+    make.titles(("hut:a", "Mill", "", 1, ""), ("hut:b", "Barn", "", 1, ""), ("hut:c", "Mill", "", 1, ""), ("hut:d", "", "", 1, ""))
+    store = make.pages(schema, r1=("hut:c",), r2=("hut:b",), r3=("attic",), r4=("hut:a",), r5=("",))
+    rows = search(store, SearchSpec(("routes",), ("goal",), sorts=("^goal",)), "display", "raw").collect()
+    assert [(r["goal"], r["goal__raw"]) for r in rows] == [("Mill", "hut:c"), ("Mill", "hut:a"), ("Barn", "hut:b"), ("attic", "attic")]
+
+    def found(comparator, value):
+        return sorted(pids(search(store, SearchSpec(("routes",), ("goal",), filters=(("goal", comparator, value),)))))
+
+    assert found("~", "mil*") == ["r1", "r4"]
+    assert found("=", "hut:a") == ["r4"] and found("=", "attic") == ["r3"]
 
 
 def lookups(make):
@@ -243,6 +257,19 @@ def test_endless_references_are_refused(make):
     store = make.pages(schema, a=('["a",0]',))
     with pytest.raises(StructureError):
         search(store, SearchSpec(("loop",), ("ref",)))
+    make.pages(make.schema("ping", ("to", "Lookup", {"schema": "pong", "field": "to"})), a=('["a",0]',))
+    store = make.pages(make.schema("pong", ("to", "Lookup", {"schema": "ping", "field": "to"})), a=('["a",0]',))
+    with pytest.raises(StructureError):
+        search(store, SearchSpec(("ping",), ("to",)))
+
+
+def test_a_long_chain_of_references(make):
+    last = 12
+    for n in range(last):
+        make.pages(make.schema(f"s{n}", ("ref", "Lookup", {"schema": f"s{n + 1}", "field": "ref"})), x=('["x",0]',))
+    store = make.pages(make.schema(f"s{last}", ("ref", "Decimal", {"postfix": " m"})), x=("7.50",))
+    found = search(store, SearchSpec(("s0",), ("ref",))).collect()
+    assert [r["ref"] for r in found] == ["7.5 m"] or [r["ref"] for r in found] == ["7.50"]
 
 
 def test_language_column(make):
@@ -294,51 +321,48 @@ def test_merged_revisions(make):
 
 
 def test_dynamic_parameters(two_schemas):
-    spec = SearchSpec(("schema2",), ("afirst",), filters=(("afourth", ">", "10"),), sorts=("afourth",))
-    spec = spec.with_dynamic(
-        filters=[("afirst", "~", "*page1*"), ("athird", "~", "x"), ("athird", "~", " ")],
-        sort="^afourth",
-    )
-    assert pids(search(two_schemas, spec)) == [f"page{n}" for n in range(19, 10, -1)]
+    spec = SearchSpec(("harvest",), ("crop",), filters=(("weight", ">", "12"),), sorts=("crop",))
+    spec = spec.with_dynamic(filters=[("tools", "~", "hoe*"), ("weather", "~", "ain 8"), ("weather", "~", "  ")], sort="^weight")
+    assert pids(search(two_schemas, spec)) == [f"bed{n}" for n in range(9, 3, -1)]
 
 
 def test_placeholders(two_schemas):
-    names = Names(two_schemas, SearchSpec(("schema1",), ("first",)))
-    here = Params(page="ns:sub:page", user="someone", user_info={"name": "N", "mail": "m", "grps": ["a", "b"]})
+    names = Names(two_schemas, SearchSpec(("plots",), ("name",)))
+    here = Params(page="farm:west:hut", user="hilda", user_info={"name": "Hilda H", "mail": "h@farm.example", "grps": ["herd", "mill"]})
 
     def value(text):
         return bound_value(text, here, names)
 
-    assert value("x$ID$y") == "xns:sub:pagey"
-    assert value("$NS$ $PAGE$ $USER$") == "ns:sub page someone"
-    assert value("$NSORID$") == "ns:sub:page"
-    assert bound_value("$NSORID$", Params(page="ns:start", is_start=True), names) == "ns"
-    assert value("$USER.grps$") == ["a", "b"]
-    assert value("$STRUCT.second$") == PageValue("schema1", "second", "ns:sub:page")
-    assert value("a$STRUCT.schema2.athird$b") == PageValue("schema2", "athird", "ns:sub:page", "a", "b")
-    with pytest.raises(StructureError):
-        value("$USER.phone$")
-    with pytest.raises(StructureError):
-        value("$DATE(someday)$")
+    assert value("[$ID$]") == "[farm:west:hut]"
+    assert value("$USER$ at $PAGE$ in $NS$") == "hilda at hut in farm:west"
+    assert value("$NSORID$") == "farm:west:hut"
+    assert bound_value("$NSORID$", Params(page="farm:start", is_start=True), names) == "farm"
+    assert value("$USER.grps$") == ["herd", "mill"] and value("$USER.mail$") == "h@farm.example"
+    assert value("$STRUCT.crops$") == PageValue("plots", "crops", "farm:west:hut")
+    assert value("<$STRUCT.harvest.weather$>") == PageValue("harvest", "weather", "farm:west:hut", "<", ">")
+    for wrong in ("$USER.shoe size$", "$DATE(when the cows come home)$"):
+        with pytest.raises(StructureError):
+            value(wrong)
 
 
 def test_values_of_the_current_page(two_schemas):
     def found(text, page, comparator="="):
-        spec = SearchSpec(("schema2",), ("afirst",), filters=(("asecond", comparator, text),))
-        return search(two_schemas, bind(spec, Params(page=page), two_schemas)).count()
-
-    assert found("$STRUCT.schema1.second$", "page01") == 2
-    assert found("$STRUCT.schema1.second$", "unknown") == 0
-    assert found("*$STRUCT.schema2.asecond$", "page15", "~") == 1
-    spec = SearchSpec(("schema2",), ("afirst",), filters=(("afirst", "=", "$STRUCT.schema1.nope$"),))
+        spec = SearchSpec(("harvest",), ("crop",), filters=(("tools", comparator, text),))
+        return sorted(pids(search(two_schemas, bind(spec, Params(page=page), two_schemas))))
+
+    assert found("$STRUCT.plots.crops$", "orchard") == ["orchard"]
+    assert found("$STRUCT.plots.crops$", "farm:north") == ["farm:north"]
+    assert found("$STRUCT.plots.crops$", "bed4") == []
+    assert found("*$STRUCT.harvest.tools$", "bed4", "~") == ["bed4"]
+    spec = SearchSpec(("harvest",), ("crop",), filters=(("crop", "=", "$STRUCT.plots.owner$"),))
     with pytest.raises(StructureError):
-        search(two_schemas, bind(spec, Params(page="page01"), two_schemas))
+        search(two_schemas, bind(spec, Params(page="orchard"), two_schemas))
 
 
 def test_sort_direction_is_replaced_in_place(two_schemas):
-    spec = SearchSpec(("schema2",), ("afirst",), sorts=("athird", "afourth", "^athird"))
+    spec = SearchSpec(("harvest",), ("crop",), sorts=("^weight", "weather", "weight", "^weather", "crop"))
     names = Names(two_schemas, spec)
-    assert [(c.label, asc) for c, asc in names.sorts(spec.sorts)] == [("athird", False), ("afourth", True)]
+    assert [(c.label, asc) for c, asc in names.sorts(spec.sorts)] == [("weight", True), ("weather", False), ("crop", True)]
 
 
 def test_metadata_columns(make):

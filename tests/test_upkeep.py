@@ -4,65 +4,62 @@ from pagegrain.operators import upkeep
 
 
 @pytest.fixture
-def moves(make):
+def herbarium(make):
+    """Sheets that point to places, to other sheets and to pictures."""
     schema = make.schema(
-        "moves",
-        "plain",
-        ("page", "Page"),
-        ("pages[]", "Page"),
-        ("lookup", "Lookup", {"schema": "moves", "field": "plain"}),
-        ("lookups[]", "Lookup", {"schema": "moves", "field": "plain"}),
-        ("media", "Media"),
-        ("medias[]", "Media"),
-        ("title", "Page", {"usetitles": True}),
+        "sheets",
+        "remark",
+        ("site", "Page"),
+        ("trails[]", "Page"),
+        ("parent", "Lookup", {"schema": "sheets", "field": "remark"}),
+        ("kin[]", "Lookup", {"schema": "sheets", "field": "remark"}),
+        ("photo", "Media"),
+        ("scans[]", "Media"),
+        ("garden", "Page", {"usetitles": True}),
     )
-    one = ("wiki:syntax", "wiki:syntax", ["wiki:syntax", "wiki:welcome"], '["page1",0]', ['["page1",0]', '["page2",0]'],
-           "wiki:logo.png", ["wiki:logo.png"], "wiki:syntax")
-    two = ("wiki:syntax", "wiki:syntax#something", ["wiki:syntax#something", "wiki:syntax2"], '["page1",0]', ['["",3]'],
-           "wiki:logo.png", ["wiki:logo.png"], "wiki:syntax#something")
-    old = ("x", "wiki:syntax", [], "", [], "", [], "")
-    make.titles(("page1", "One", "", 1, ""))
+    fern = ("see hill:top", "hill:top", ["hill:top#east", "lake"], "", [], "img:fern.jpg", ["img:a.png", "img:fern.jpg"], "lake")
+    moss = ("", "lake#north", [], '["sheet:fern",0]', ['["sheet:fern",0]', '["sheet:moss",0]', '["",12]'], "", [], "hill:top")
+    before = ("", "hill:top", ["hill:top"], '["sheet:fern",0]', [], "", [], "")
+    make.titles(("sheet:fern", "Fern", "", 1, ""), ("lake", "The lake", "", 1, ""))
     return make.add(
         schema,
-        [("page1", 0, 5, 1, None, *one), ("page2", 0, 5, 1, None, *two), ("page2", 0, 4, 0, None, *old)],
+        [("sheet:fern", 0, 70, 1, None, *fern), ("sheet:moss", 0, 70, 1, None, *moss), ("sheet:moss", 0, 60, 0, None, *before)],
     )
 
 
-def cells(store, rev=5):
-    data = {r["pid"]: r.asDict() for r in store.data("moves").filter(f"rev = {rev}").collect()}
-    for row in store.multi("moves").filter(f"rev = {rev}").orderBy("row").collect():
+def cells(store, rev=70):
+    data = {r["pid"]: r.asDict() for r in store.data("sheets").filter(f"rev = {rev}").collect()}
+    for row in store.multi("sheets").filter(f"rev = {rev}").orderBy("row").collect():
         data[row["pid"]].setdefault(row["colref"], []).append(row["value"])
     return data
 
 
-def test_rename_of_the_page_itself(moves, make):
-    moves.assignments = make.frame("pid string, tbl string, assigned int", ("page1", "moves", 0))
-    moved = upkeep.rename_pages(moves, make.frame("old string, new string", ("page1", "page3")), [("page3", "moves")])
-    data = cells(moved)
-    assert set(data) == {"page3", "page2"}
-    assert data["page3"]["col4"] == '["page3",0]' and data["page2"]["col4"] == '["page3",0]'
-    assert data["page3"][5] == ['["page3",0]', '["page2",0]'] and data["page2"][5] == ['["",3]']
-    assert moved.titles.first()["pid"] == "page3"
-    assert tuple(moved.assignments.first()) == ("page3", "moves", 1)
-
-
-def test_rename_of_a_linked_page(moves, make):
-    moved = upkeep.rename_pages(moves, make.frame("old string, new string", ("wiki:syntax", "foobar")))
-    data = cells(moved)
-    assert data["page1"]["col2"] == "foobar" and data["page1"][3] == ["foobar", "wiki:welcome"]
-    assert data["page2"]["col2"] == "foobar#something" and data["page2"]["col8"] == "foobar#something"
-    assert data["page2"][3] == ["foobar#something", "wiki:syntax2"]
-    assert data["page1"]["col1"] == "wiki:syntax"  # plain text is no link
-    assert cells(moved, rev=4)["page2"]["col2"] == "wiki:syntax"  # history stays
-
-
-def test_rename_of_media(moves, make):
-    renames = make.frame("old string, new string", ("wiki:logo.png", "foobar.png"), ("page1", "no"))
-    data, multi = upkeep.renamed_values(moves, "moves", renames, media=True)
-    moves.data_tables["moves"], moves.multi_tables["moves"] = data, multi
-    found = cells(moves)
-    assert found["page1"]["col6"] == "foobar.png" and found["page2"][7] == ["foobar.png"]
-    assert found["page1"]["col4"] == '["page1",0]'
+def test_renamed_record_takes_its_references_along(herbarium, make):
+    herbarium.assignments = make.frame("pid string, tbl string, assigned int", ("sheet:fern", "sheets", 0))
+    renames = make.frame("old string, new string", ("sheet:fern", "archive:fern"))
+    data = cells(moved := upkeep.rename_pages(herbarium, renames, [("archive:*", "sheets")]))
+    assert sorted(data) == ["archive:fern", "sheet:moss"]
+    assert data["sheet:moss"]["col4"] == '["archive:fern",0]'
+    assert data["sheet:moss"][5] == ['["archive:fern",0]', '["sheet:moss",0]', '["",12]']
+    assert {r["pid"] for r in moved.titles.collect()} == {"archive:fern", "lake"}
+    assert [tuple(r) for r in moved.assignments.collect()] == [("archive:fern", "sheets", 1)]
+
+
+def test_renamed_place_keeps_fragments_and_history(herbarium, make):
+    moved = upkeep.rename_pages(herbarium, make.frame("old string, new string", ("hill:top", "peak"), ("lake", "pond")))
+    now, then = cells(moved), cells(moved, rev=60)
+    assert (now["sheet:fern"]["col2"], now["sheet:fern"][3]) == ("peak", ["peak#east", "pond"])
+    assert (now["sheet:moss"]["col2"], now["sheet:moss"]["col8"]) == ("pond#north", "peak")
+    assert now["sheet:fern"]["col1"] == "see hill:top"  # plain text is no link
+    assert (then["sheet:moss"]["col2"], then["sheet:moss"][3]) == ("hill:top", ["hill:top"])
+
+
+def test_renamed_media(herbarium, make):
+    renames = make.frame("old string, new string", ("img:fern.jpg", "img:bracken.jpg"), ("lake", "no:medium"))
+    data, multi = upkeep.renamed_values(herbarium, "sheets", renames, media=True)
+    herbarium.data_tables["sheets"], herbarium.multi_tables["sheets"] = data, multi
+    found = cells(herbarium)["sheet:fern"]
+    assert (found["col6"], found[7], found["col8"]) == ("img:bracken.jpg", ["img:a.png", "img:bracken.jpg"], "lake")
 
 
 def test_legacy_references(evaluate):
