@@ -2,7 +2,7 @@
 
 A window is ``length`` consecutive units (bytes or words). A pass of depth ``gram`` takes from every window its gram of
 that many units with the smallest hash (the leftmost of equal ones); neighbouring windows mostly share it, so they form
-one *run*, a row with the gram's hash and a 128-bit digest of all units that its windows cover. Equal windows have equal
+one *run*, a row with the gram's hash and a 96-bit digest of all units that its windows cover. Equal windows have equal
 grams, so:
 
 * a run whose gram occurs once in the pass has no repeated window and leaves;
@@ -24,11 +24,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagegrain.llm.common import save, utf8
+from pagegrain.llm.common import BATCH_BYTES, save, utf8
 
 _POSITION = 20  # bits of a position within a block
 _BLOCK = 1 << (_POSITION - 1)
-_ROWS = 200_000
+_GROUP = 1 << 17  # bytes of texts that are worked on together
 _BASE = 0x9E3779B97F4A7C15
 _VALUES = np.random.default_rng(400).integers(0, 1 << 63, 256, dtype=np.uint64)
 _powers: dict[int, np.ndarray] = {}
@@ -62,10 +62,11 @@ def _between(values: np.ndarray, starts: np.ndarray | slice, ends: np.ndarray |
 
 
 class Bytes:
-    """Units are bytes."""
+    """Units of some texts, one after another: bytes."""
 
-    def __init__(self, text: bytes):
-        self.line, self.size = text, len(text)
+    def __init__(self, texts: list[bytes]):
+        self.line = texts[0] if len(texts) == 1 else b"".join(texts)
+        self.sizes = np.fromiter(map(len, texts), np.int64, len(texts))
 
     def values(self) -> np.ndarray:
         return _VALUES[np.frombuffer(self.line, np.uint8)]
@@ -80,17 +81,19 @@ class Bytes:
 class Words:
     """Units are words between ASCII white space; the line has them with one space in between."""
 
-    def __init__(self, text: bytes):
-        self.words = text.split()
-        self.line, self.size = b" ".join(self.words), len(self.words)
-        lengths = np.fromiter(map(len, self.words), np.int64, self.size)
+    def __init__(self, texts: list[bytes]):
+        parts = [text.split() for text in texts]
+        self.sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        self.words = parts[0] if len(parts) == 1 else [word for part in parts for word in part]
+        self.line = b" ".join(self.words)
+        lengths = np.fromiter(map(len, self.words), np.int64, len(self.words))
         self.ends = np.cumsum(lengths + 1) - 1
         self.starts = self.ends - lengths
 
     def values(self) -> np.ndarray:
-        found, data = np.empty(self.size, np.uint64), np.frombuffer(self.line, np.uint8)
-        at = 0
-        while at < self.size:
+        size, data = len(self.words), np.frombuffer(self.line, np.uint8)
+        found, at = np.empty(size, np.uint64), 0
+        while at < size:
             base = self.starts[at]
             to = max(at + 1, int(np.searchsorted(self.starts, base + _BLOCK)))
             found[at:to] = _between(_VALUES[data[base : self.ends[to - 1]]], self.starts[at:to] - base, self.ends[at:to] - base)
@@ -113,53 +116,61 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:size], ahead[width - 1 : width - 1 + size])
 
 
-def runs(values: np.ndarray, length: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """First window, number of windows and gram hash of each run, block by block."""
-    windows = len(values) - length + 1
+def runs(values: np.ndarray, sizes: np.ndarray, length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Text, first unit, number of windows and gram hash of each run, block by block; no window leaves its text."""
+    bounds, windows = np.cumsum(sizes), len(values) - length + 1
     for at in range(0, windows, _BLOCK):
         part = values[at : min(at + _BLOCK, windows) + length - 1]
         hashes = _between(part, slice(0, len(part) - gram + 1), slice(gram, None))
+        begins = np.arange(at, at + len(part) - length + 1)
+        owner = np.searchsorted(bounds, begins, side="right")
+        inside = begins + length <= bounds[owner]
         if gram == length:
-            starts = np.arange(len(hashes))
-            yield starts + at, np.ones(len(starts), np.int64), hashes
-            continue
-        low = np.uint64((1 << _POSITION) - 1)
-        places = _least((hashes & ~low) | np.arange(len(hashes), dtype=np.uint64), length - gram + 1) & low
-        starts = np.concatenate([[0], np.flatnonzero(places[1:] != places[:-1]) + 1])
-        yield starts + at, np.diff(np.append(starts, len(places))), hashes[places[starts].astype(np.int64)]
+            first, counts, found = inside, None, hashes >> np.uint64(_POSITION)
+        else:
+            low = np.uint64((1 << _POSITION) - 1)
+            least = _least((hashes & ~low) | np.arange(len(hashes), dtype=np.uint64), length - gram + 1)
+            first = inside.copy()
+            first[1:] &= (least[1:] != least[:-1]) | ~inside[:-1]
+            counts, found = np.bincount((np.cumsum(first) - 1)[inside]), least >> np.uint64(_POSITION)
+        starts = begins[first]
+        yield owner[first], starts, np.ones(len(starts), np.int64) if counts is None else counts, found[first]
+
+
+def _groups(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
+    """Neighbouring texts of a batch of together about a group's bytes, with the number of the first."""
+    first, texts, held = 0, [], 0
+    for k, text in enumerate(batch.column("text")):
+        texts.append(text.as_py())
+        held += len(texts[-1])
+        if held >= _GROUP:
+            yield first, texts
+            first, texts, held = k + 1, [], 0
+    if texts:
+        yield first, texts
 
 
 def _run_rows(unit: type, length: int, gram: int, schema: pa.Schema):
-    def table(owners, parts, digests, batch):
-        owner = np.repeat(np.array(owners, np.int64), [len(p[0]) for p in parts])
-        lo, n, hashes = (np.concatenate([p[k] for p in parts]) for k in range(3))
-        digest = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-        base = batch.column("base").to_numpy()[owner]
-        taken = [batch.column(name).take(pa.array(owner)) for name in ("row", "id")]
-        arrays = [*taken, pa.array(base), pa.array((base + lo).astype(np.int32)), pa.array(n.astype(np.int32)),
-                  pa.array(hashes.view(np.int64)), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy())]
-        return pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, schema, strict=True)], schema=schema)
-
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
         for batch in batches:
-            owners, parts, digests, rows = [], [], [], 0
-            for k, text in enumerate(batch.column("text")):
-                units = unit(text.as_py())
-                if units.size < length:
-                    continue
-                for part in runs(units.values(), length, gram):
-                    a, b = units.offsets(part[0], part[0] + part[1] - 1 + length)
+            base = batch.column("base").to_numpy()
+            for at, texts in _groups(batch):
+                units = unit(texts)
+                befores = np.cumsum(units.sizes) - units.sizes
+                for owner, starts, n, hashes in runs(units.values(), units.sizes, length, gram):
+                    a, b = units.offsets(starts, starts + n - 1 + length)
                     line = units.line
-                    digests.append(b"".join([digest(line[x:y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)]))
-                    owners.append(k)
-                    parts.append(part)
-                    rows += len(a)
-                if rows > _ROWS:
-                    yield table(owners, parts, digests, batch)
-                    owners, parts, digests, rows = [], [], [], 0
-            if rows:
-                yield table(owners, parts, digests, batch)
+                    raw = b"".join([digest(line[x:y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)])
+                    digests = np.frombuffer(raw, "<i4").reshape(-1, 4)
+                    rows = owner + at
+                    taken = [batch.column(name).take(pa.array(rows)) for name in ("row", "id")]
+                    own = base[rows]
+                    arrays = [*taken, pa.array(own), pa.array((own + starts - befores[owner]).astype(np.int32)), pa.array(n.astype(np.int32)),
+                              pa.array(hashes.view(np.int64)), pa.array(np.ascontiguousarray(digests[:, :2]).view("<i8")[:, 0]),
+                              pa.array(np.ascontiguousarray(digests[:, 2]))]
+                    if len(starts):
+                        yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(arrays, schema, strict=True)], schema=schema)
 
     return of
 
@@ -167,24 +178,37 @@ def _run_rows(unit: type, length: int, gram: int, schema: pa.Schema):
 def _slices(unit: type, length: int, schema: pa.Schema):
     """The units that open runs cover."""
 
+    def table(owners: list[int], starts: list[int], texts: list[bytes], batch: pa.RecordBatch) -> pa.RecordBatch:
+        arrays = [batch.column(name).take(pa.array(owners, pa.int64())) for name in ("row", "id")]
+        arrays += [pa.array(starts, pa.int32()), pa.array(texts, pa.binary())]
+        return pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, schema, strict=True)], schema=schema)
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owners, starts, texts = [], [], []
-            for k, (text, base, spans) in enumerate(zip(*(batch.column(c) for c in ("text", "base", "spans")), strict=True)):
-                units, base = unit(text.as_py()), base.as_py()
-                lo = np.array([s["lo"] for s in spans.as_py()], np.int64)
-                n = np.array([s["n"] for s in spans.as_py()], np.int64)
+            owners, starts, texts, held = [], [], [], 0
+            for k, (base, lo, n) in enumerate(zip(batch.column("base").to_numpy(), *_lists(batch.column("spans"), "lo", "n"), strict=True)):
+                units = unit([batch.column("text")[k].as_py()])
                 a, b = units.offsets(lo - base, lo - base + n - 1 + length)
                 owners += [k] * len(lo)
                 starts += lo.tolist()
                 texts += [units.line[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-            arrays = [batch.column(name).take(pa.array(owners, pa.int64())) for name in ("row", "id")]
-            arrays += [pa.array(starts, pa.int32()), pa.array(texts, pa.binary())]
-            yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, schema, strict=True)], schema=schema)
+                held += int((b - a).sum())
+                if held > BATCH_BYTES:
+                    yield table(owners, starts, texts, batch)
+                    owners, starts, texts, held = [], [], [], 0
+            if owners:
+                yield table(owners, starts, texts, batch)
 
     return of
 
 
+def _lists(column: pa.Array, *names: str) -> list[list[np.ndarray]]:
+    """The numbers of each row's list of structs, by field."""
+    edges = column.offsets.to_numpy()
+    fields = [column.values.field(name).to_numpy().astype(np.int64) for name in names]
+    return [[field[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)] for field in fields]
+
+
 def _arrow(ddl: str, spark) -> tuple[str, pa.Schema]:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -200,12 +224,13 @@ def covered(docs: DataFrame, text: Column, order: Column, unit: type, length: in
     spark = docs.sparkSession
     source = docs.select("row", order.alias("id"), F.lit(0).alias("base"), utf8(text).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    run_ddl, run_schema = _arrow(f"row bigint, id {kind}, base int, lo int, n int, gram bigint, s1 bigint, s2 bigint", spark)
+    run_ddl, run_schema = _arrow(f"row bigint, id {kind}, base int, lo int, n int, gram bigint, s1 bigint, s2 int", spark)
     span_ddl, span_schema = _arrow(f"row bigint, id {kind}, base int, text binary", spark)
     settled = []
     for depth in depths:
         found = save(source.mapInArrow(_run_rows(unit, length, depth, run_schema), run_ddl), f"runs-{depth}")
-        shared = found.groupBy("gram").count().filter("count > 1").select("gram")
+        # a table of its own, so that the join can split a gram that very many rows share
+        shared = save(found.groupBy("gram").count().filter("count > 1").select("gram"), f"grams-{depth}")
         tied = save(found.join(shared, "gram", "left_semi"), f"tied-{depth}")
         first = F.min(F.struct("id", "row", "lo", "base")).alias("first")
         classes = save(tied.groupBy("s1", "s2").agg(F.count("*").alias("equal"), first, F.min("n").alias("n"), F.min("gram").alias("gram")),
@@ -217,7 +242,7 @@ def covered(docs: DataFrame, text: Column, order: Column, unit: type, length: in
         settled.append(again.select("row", F.col("lo").alias("a"), (F.col("lo") + F.col("n") - 1 + length).alias("b")))
         if depth == depths[-1]:
             break
-        several = classes.groupBy("gram").count().filter("count > 1").select("gram")
+        several = save(classes.groupBy("gram").count().filter("count > 1").select("gram"), f"several-{depth}")
         opened = classes.join(several, "gram", "left_semi").select("first.row", "first.base", "first.lo", "n")
         spans = opened.groupBy("row", "base").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
         source = save(source.join(spans, ["row", "base"]).select("row", "id", "base", "text", "spans")
@@ -238,15 +263,16 @@ def cut(text: Column, spans: Column, unit: type) -> Column:
     @F.arrow_udf("n bigint, n_removed bigint, n_spans bigint, kept binary")
     def of(texts: pa.Array, ranges: pa.Array) -> pa.Array:
         out = []
-        for value, marks in zip(texts, ranges, strict=True):
-            units, marks = unit(value.as_py()), marks.as_py()
-            steps = np.zeros(units.size + 1, np.int64)
-            if marks:
-                np.add.at(steps, [m["a"] for m in marks], 1)
-                np.add.at(steps, [m["b"] for m in marks], -1)
-            removed = np.cumsum(steps)[: units.size] > 0
+        for value, a, b in zip(texts, *_lists(ranges, "a", "b"), strict=True):
+            units = unit([value.as_py()])
+            size = int(units.sizes[0])
+            if not len(a):
+                out.append((size, 0, 0, units.line))
+                continue
+            steps = np.bincount(a, minlength=size + 1) - np.bincount(b, minlength=size + 1)
+            removed = np.cumsum(steps)[:size] > 0
             begins = int(removed[:1].sum() + (removed[1:] & ~removed[:-1]).sum())
-            out.append((units.size, int(removed.sum()), begins, units.kept(removed)))
+            out.append((size, int(removed.sum()), begins, units.kept(removed)))
         names = ("n", "n_removed", "n_spans", "kept")
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
         arrays = [pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)]

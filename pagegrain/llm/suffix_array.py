@@ -5,7 +5,7 @@ The suffixes of all texts are told apart only through the threshold: the first p
 its group leaves; groups equal through the threshold are exactly the repeated strings. Neighbouring suffixes that agree
 on a digit travel as one run (see ``repeats``), so that a pass moves about one row for each hundred suffixes.
 
-Digits are compared by 128-bit digests of the bytes.
+Digits are compared by 96-bit digests of the bytes.
 """
 
 from __future__ import annotations
