@@ -230,14 +230,16 @@ class Decimal(ColumnType):
     default_comparator = "="
 
     def predicate(self, relation, cell, comparator, value):
+        stored = cell.value.cast("string")  # row ids and flags are stored as numbers
         if comparator in ("~", "!~", "=*"):
             # patterns are compared by number as well, which leaves little of the pattern
-            left, right = show.plain_double(number(cell.value)), show.plain_double(number(operand(value)))
-            return (cell.value != "") & compare(left, comparator, right)
-        return (cell.value != "") & compare_numbers(cell.value, comparator, value)
+            left, right = show.plain_double(number(stored)), show.plain_double(number(operand(value)))
+            return (stored != "") & compare(left, comparator, right)
+        return (stored != "") & compare_numbers(stored, comparator, value)
 
     def sort_keys(self, relation, cell):
-        return [number(cell.value), beyond_double(cell.value)]
+        stored = cell.value.cast("string")
+        return [number(stored), beyond_double(stored)]
 
     def parsed(self, c):
         return F.replace(trimmed(c), F.lit(","), F.lit("."))
