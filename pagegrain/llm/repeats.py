@@ -281,6 +281,16 @@ def cut(text: Column, spans: Column, unit: type) -> Column:
     return of(utf8(text), spans)
 
 
+def readable(kept: Column) -> Column:
+    """Kept bytes as text, without the rests of characters that a cut went through."""
+
+    @F.arrow_udf("string")
+    def of(blobs: pa.Array) -> pa.Array:
+        return pa.array([blob.as_py().decode("utf-8", "ignore") if blob.is_valid else None for blob in blobs], pa.string())
+
+    return of(kept)
+
+
 def without(docs: DataFrame, spans: DataFrame, text: str, unit: type) -> DataFrame:
     """``doc`` and the struct ``cut`` for every row of ``docs``."""
     lists = spans.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("spans"))

@@ -8,8 +8,8 @@ def test_stages_take_effect(spark, tmp_path):
     leak = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").first().text
     shared = " ".join(f"part{k}" for k in range(120))
     tail = lambda s: " ".join(f"{s}{k}" for k in range(90))
-    rows = [(10_000, None), (10_001, "123 !"), (10_002, f"the one {leak} and more"), (10_003, f"the start {shared} {tail('ab')}"),
-            (10_004, f"other {tail('cd')} {shared}"), (10_005, "the very same words"), (10_006, "the very same words")]
+    rows = [(10_000, None), (10_001, "123 !"), (10_002, f"the one {leak} and more"), (10_003, f"the start é{shared} {tail('ab')}"),
+            (10_004, f"other {tail('cd')} \u0669{shared}"), (10_005, "the very same words"), (10_006, "the very same words")]
     more = spark.createDataFrame([(i, t, "en", "src0", len(t or "")) for i, t in rows], source.schema)
     source.unionByName(more).write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
@@ -31,6 +31,7 @@ def test_stages_take_effect(spark, tmp_path):
     assert kept[1] == {min(g) for g in groups.values()} and 10_006 not in kept[1]
     texts = frames["repeated_strings"]
     assert kept[2] == kept[1] and "part60" not in texts[10_003]["text"] + texts[10_004]["text"] and "ab5 " in texts[10_003]["text"]
+    assert texts[10_003]["text"].startswith("the start  ab0") and texts[10_004]["text"].endswith("cd89 ")
     assert all(r["n_chars"] == len(r["text"]) for r in texts.values())
     assert 10_002 in kept[2] - kept[3] and 10_003 in kept[3]
     assert kept[4] == kept[3]
