@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import StructureError
 from ..functions.ids import clean_id, namespace, namespace_prefixes
 from ..sources.registry import Registry
 from ..store import Store
@@ -26,9 +27,13 @@ Patterns = list[tuple[str, str]]
 
 def _regex(pattern: str) -> str:
     """A delimited expression in Java's notation."""
-    body, _, flags = pattern[1:].rpartition("/")
-    known = "".join(flag for flag in flags if flag in "imsx")
-    return f"(?{known}){body}" if known else body
+    body, closing, flags = pattern[1:].rpartition("/")
+    if not closing:
+        raise StructureError(f"an expression has to end with a slash: {pattern}")
+    unknown = [flag for flag in flags if flag not in "imsx"]
+    if unknown:
+        raise StructureError(f"unknown flags {''.join(unknown)} in {pattern}")
+    return f"(?{flags}){body}" if flags else body
 
 
 def _rule_kind(pattern: str) -> str:

@@ -84,11 +84,12 @@ def records(
     ts: int | None = None,
     pages: DataFrame | None = None,
     form: str = "raw",
+    fill: bool = True,
 ) -> DataFrame:
     """The record of each page at a time (default: now), all columns, lists folded.
 
     With ``pages`` (a DataFrame with ``pid``) exactly these pages are returned; those without data get
-    empty cells.
+    empty cells, or are left out without ``fill``.
     """
     schema = store.schema(schema_name)
     data = store.data(schema_name)
@@ -101,7 +102,7 @@ def records(
     else:
         rows = as_of(data, ts)
     found = labelled(schema, record_cells(store, schema, rows), form)
-    if pages is None:
+    if pages is None or not fill:
         return found
     none = F.array().cast("array<string>")
     filled = {

@@ -91,8 +91,39 @@ def renamed_values(
     return data, multi
 
 
+def _checked(store: Store, renames: DataFrame) -> DataFrame:
+    """Renames with one new id for each old one, none of them taken."""
+
+    def unless(wrong: Column, what: str) -> Column:
+        failure = F.raise_error(F.concat(F.lit(what), F.col("old"))).cast("string")
+        return F.when(wrong, failure).otherwise(F.col("new"))
+
+    once = renames.groupBy("old").agg(F.min("new").alias("new"), F.count(F.lit(1)).alias("_times"))
+    once = once.select("old", unless(F.col("_times") > 1, "renamed twice: ").alias("new"))
+    targets = once.groupBy("new").agg(F.min("old").alias("old"), F.count(F.lit(1)).alias("_times"))
+    taken = None
+    for table in (store.titles, store.pages, store.assignments, *[store.data(n) for n in store.schemas]):
+        if table is not None:
+            part = table.select(F.col("pid").alias("_pid"))
+            taken = part if taken is None else taken.unionByName(part)
+    left = taken.join(renames, F.col("_pid") == F.col("old"), "left_anti").join(
+        targets, F.col("_pid") == F.col("new"), "left_semi"
+    )
+    known = left.distinct()
+    out = once.join(known, F.col("new") == F.col("_pid"), "left")
+    out = out.select("old", unless(F.col("_pid").isNotNull(), "the new id is taken: ").alias("new"))
+    twice = targets.filter("_times > 1").select(F.col("new").alias("_pid"))
+    out = out.join(twice, F.col("new") == F.col("_pid"), "left")
+    return out.select("old", unless(F.col("_pid").isNotNull(), "the new id is given twice: ").alias("new"))
+
+
 def rename_pages(store: Store, renames: DataFrame, patterns: Patterns | None = None) -> Store:
-    """A store in which pages are renamed everywhere: keys, values, assignments, metadata."""
+    """A store in which pages are renamed everywhere: keys, values, assignments, metadata.
+
+    An id renamed twice, or onto an id that is known already and not renamed itself, is refused when
+    the result is computed.
+    """
+    renames = _checked(store, renames)
     out = Store(
         store.spark,
         dict(store.schemas),

@@ -107,7 +107,8 @@ def changed_only(store: Store, schema: Schema, incoming: DataFrame) -> DataFrame
     ``incoming`` has ``pid`` and cleaned cells by label.
     """
     columns = given_columns(schema, incoming, ["pid", "rev"])
-    stored = records(store, schema.name)
+    # only what can differ is read: the latest records of the incoming pages
+    stored = records(store, schema.name, pages=incoming, fill=False)
     renamed = stored.select(
         F.col("pid").alias("s_pid"),
         *[F.col(f"`{c.label}`").alias(f"s{i}") for i, c in enumerate(schema.enabled)],

@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..columns import Cell, Lookup, Page, same_forms
+from ..columns import Cell, ColumnType, Lookup, Page, Text, same_forms
 from ..errors import StructureError
 from ..functions.text import all_of, any_of, is_blank, or_empty
 from ..schema import SchemaColumn
@@ -220,7 +220,8 @@ class Search:
         for column, item in self.fixed_filters:
             literal = isinstance(item.value, str) and item.value.strip() != ""
             plain = not (column.type.config.get("prefix") or column.type.config.get("postfix"))
-            stored = type(column.type).__name__ in ("Text", "Dropdown", "Checkbox", "Date")
+            kind = type(column.type)
+            stored = kind.predicate in (ColumnType.predicate, Text.predicate)
             if item.comparator == "=" and literal and plain and stored:
                 if any(c.qualified == column.qualified for c in real):
                     return False

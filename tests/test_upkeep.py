@@ -96,3 +96,14 @@ def test_page_metadata(make):
     assert rows == {
         "a": ("A", "bob", 5, "s"), "b": ("b", "10.0.0.1", 9, "second"), "ns:c": ("c", "", 0, ""),
     }
+
+
+def test_colliding_renames_are_refused(herbarium, make):
+    for pairs in ([("lake", "a"), ("lake", "b")], [("lake", "x"), ("sheet:moss", "x")], [("lake", "sheet:moss")]):
+        moved = upkeep.rename_pages(herbarium, make.frame("old string, new string", *pairs))
+        with pytest.raises(Exception, match="twice|taken"):
+            moved.data("sheets").collect()
+    swapped = upkeep.rename_pages(
+        herbarium, make.frame("old string, new string", ("sheet:fern", "sheet:moss"), ("sheet:moss", "sheet:fern"))
+    )
+    assert cells(swapped)["sheet:moss"]["col1"] == "see hill:top"
