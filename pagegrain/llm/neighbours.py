@@ -144,27 +144,29 @@ def nearest(
 
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     points = rows.select("row", "id", "v", "size", dealt("shard", shards), every(blocks).alias("block"))
-    queries = rows.filter("query").select("row", "id", "v", "size", every(shards).alias("shard"), dealt("block", blocks))
+    asking = rows.filter("query").select(F.col("row").alias("q"), F.col("id").alias("query_id"), F.col("v").alias("w"), "size", "row")
+    queries = asking.select("q", "query_id", "w", F.col("size").alias("q_size"), every(shards).alias("q_shard"), dealt("q_block", blocks))
     kind = rows.schema["id"].dataType.simpleString()
 
     def search(points: pa.Table, queries: pa.Table) -> pa.Table:
         names = ["q", "query_id", "row", "id", "score"]
-        types = [pa.int64(), points.schema.field("id").type, pa.int64(), points.schema.field("id").type, pa.float64()]
         if not points.num_rows or not queries.num_rows:
+            # the side that is missing comes without columns
+            kind = points.schema.field("id").type if points.num_rows else queries.schema.field("query_id").type if queries.num_rows else pa.null()
+            types = [pa.int64(), kind, pa.int64(), kind, pa.float64()]
             return pa.table([pa.array([], t) for t in types], names=names)
         points = points.sort_by([("row", "ascending")])
         ranked = pc.sort_indices(points, sort_keys=[("id", "ascending"), ("row", "ascending")], null_placement="at_start").to_numpy()
         order = np.empty(len(ranked), np.int64)
         order[ranked] = np.arange(len(ranked))
-        own, skip = points["row"].to_numpy(), queries["row"].to_numpy()
-        found = Search(Tree(_matrix(points["v"])), order, own, _matrix(queries["v"]), skip, k, factor)
+        own, skip = points["row"].to_numpy(), queries["q"].to_numpy()
+        found = Search(Tree(_matrix(points["v"])), order, own, _matrix(queries["w"]), skip, k, factor)
         q, at = np.nonzero(found.index >= 0)
         hit = pa.array(found.index[q, at])
         q = pa.array(q)
-        columns = [queries["row"].take(q), queries["id"].take(q), points["row"].take(hit), points["id"].take(hit), pa.array(found.near[q.to_numpy(), at])]
+        columns = [queries["q"].take(q), queries["query_id"].take(q), points["row"].take(hit), points["id"].take(hit), pa.array(found.near[q.to_numpy(), at])]
         return pa.table(columns, names=names)
 
-    keys = ["size", "shard", "block"]
-    found = points.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(search, f"q bigint, query_id {kind}, row bigint, id {kind}, score double")
+    found = points.groupBy("size", "shard", "block").cogroup(queries.groupBy("q_size", "q_shard", "q_block")).applyInArrow(search, f"q bigint, query_id {kind}, row bigint, id {kind}, score double")
     place = F.row_number().over(W.partitionBy("q").orderBy("score", F.asc_nulls_first("id"), "row"))
     return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
