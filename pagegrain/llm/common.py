@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Arrow batches end at this size, so that a run of long texts does not fill a worker.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 BATCH_ROWS = 2000
 
 _own_folders: dict[str, str] = {}
@@ -26,7 +26,8 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     application = spark.sparkContext.applicationId
     if application not in _own_folders:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         _own_folders[application] = tempfile.mkdtemp(prefix="pagegrain-")
     return _own_folders[application]

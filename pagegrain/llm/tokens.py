@@ -1,17 +1,19 @@
 """Token ids of texts, and files of frequency-ranked ids in byte-aligned variable-length coding.
 
-Tokenizing. Texts are split at ASCII white space, which no token crosses, and every different piece is encoded once by
-the tokenizer library; a text's ids are those of its pieces. Pieces that a worker has met stay in a bounded cache.
+Tokenizing. Texts are split at ASCII white space, which no token crosses, and every different word is encoded once by the
+tokenizer library; a text's ids are those of its words. Words that a worker has met stay in a bounded cache.
 
 Files. Ids are replaced by their rank in the corpus (the most frequent is 0) and written as one to four bytes each; the
 lengths, two bits each, stand apart in control bytes. A table row is a block of whole documents: their ids, their
-lengths, control bytes and data bytes. Blocks are numbered within parts, and parts are ranges of document ids. Decoding
+lengths, control bytes and data bytes, a document's starting with a control byte of its own. Blocks are numbered within parts, and parts are ranges of document ids. Decoding
 looks the four lengths of a control byte up in a table and gathers bytes with numpy.
 """
 
 from __future__ import annotations
 
+import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,73 +25,84 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+from tokenizers.models import BPE
 
 from pagegrain.llm.common import python_workers, save
 
 END = 1
 # Ids in a block, beyond which it is closed; a longer document is a block of its own.
 BLOCK = 1 << 18
-_CACHE = 400_000
+# Words that a worker remembers; beyond, those not met again since the last time are forgotten.
+_CACHE = 120_000
 
 # How the tokenizer of word_bpe_49k.json parts a text after lower-casing; fixed values of that file.
-_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # Characters for which case and normal form need no context; others go to the tokenizer as they are.
 _PLAIN = re.compile("[!-;=-~¡-įı-ňŊ-ž]+")
 
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
     return Tokenizer.from_file(path)
 
 
+def _byte_signs() -> str:
+    """The characters that byte-level models use for the 256 bytes: printable ones for themselves, others from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    moved = {byte: 256 + k for k, byte in enumerate(b for b in range(256) if b not in plain)}
+    return "".join(chr(moved.get(byte, byte)) for byte in range(256))
+
+
 class Encoder:
-    """Ids of whole texts, by one call of the tokenizer for each different piece."""
+    """Ids of whole texts, as bytes, by one call of the tokenizer for each different word."""
 
     def __init__(self, path: str):
-        import json
-
-        with open(path, encoding="utf-8") as file:
-            settings = json.load(file)
         self.tokenizer = _tokenizer(path)
-        self.tokenizer.encode_special_tokens = False
-        self.known: dict[str, np.ndarray] = {}
-        # Pieces are shared between words only where the parting is known to be the one above.
-        self.parts = regex.compile(_PARTS) if _PARTS.replace(r"\p{L}+", r"[\p{L}]+").replace(r"\p{N}|", r"[\p{N}]|") in json.dumps(settings).replace("\\\\", "\\") else None
-
-    def _pieces(self, word: str) -> list[str]:
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.signs = _byte_signs()
+        # Parts of words go to the model by themselves only where the parting is known to be the one above.
+        split = [part.get("pattern", {}).get("Regex") for part in json.loads(self.tokenizer.pre_tokenizer.__getstate__()).get("pretokenizers", [])]
+        self.parts = regex.compile(_PARTS) if _PARTS in split and isinstance(self.tokenizer.model, BPE) else None
+        self.model = self.tokenizer.model
+
+    def _part(self, part: str) -> bytes:
+        got = self.pieces.get(part)
+        if got is None:
+            # the table of signs is indexed by byte
+            signs = part.encode().decode("latin-1").translate(self.signs)
+            got = self.pieces[part] = array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
+        return got
+
+    def _word(self, word: str) -> bytes:
         if self.parts is None or not _PLAIN.fullmatch(word):
-            return [word]
-        return self.parts.findall(word.lower())
-
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.known) + len(pieces) > _CACHE:
-            self.known.clear()
-        for piece, got in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            self.known[piece] = np.array(got.ids, np.uint32)
+            return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        if word.isalpha():
+            return self._part(word.lower())
+        return b"".join([self._part(part) for part in self.parts.findall(word.lower())])
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another with the end id after each text, and the number of ids of each text."""
         words = pc.ascii_split_whitespace(texts)
         sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         named = words.flatten().dictionary_encode()
-        parted = [self._pieces(w) if w else [] for w in named.dictionary.to_pylist()]
-        wanted = {p for parts in parted for p in parts}
-        fresh = [p for p in wanted if p not in self.known]
-        if fresh:
-            self._learn(fresh)
-            lost = [p for p in wanted if p not in self.known]
-            if lost:
-                self._learn(lost) if len(self.known) + len(lost) <= _CACHE else self.known.update(
-                    {p: np.array(g.ids, np.uint32) for p, g in zip(lost, self.tokenizer.encode_batch_fast(lost, add_special_tokens=False), strict=True)}
-                )
-        coded = [self.known[parts[0]] if len(parts) == 1 else np.concatenate([self.known[p] for p in parts]) if parts else np.empty(0, np.uint32) for parts in parted]
-        coded.append(np.array([END], np.uint32))
-        lengths = np.fromiter(map(len, coded), np.int64, len(coded))
-        flat, firsts = np.concatenate(coded), np.cumsum(lengths) - lengths
+        if len(self.known) > _CACHE:
+            self.older, self.known = self.known, {}
+        if len(self.pieces) > _CACHE:
+            self.pieces.clear()
+        known, older, coded = self.known, self.older, []
+        for word in named.dictionary.to_numpy(zero_copy_only=False).tolist():
+            got = known.get(word)
+            if got is None:
+                got = known[word] = older.get(word) or self._word(word)
+            coded.append(got)
+        coded.append(array("I", [END]).tobytes())
+        lengths = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        flat, firsts = np.frombuffer(b"".join(coded), np.uint32), np.cumsum(lengths) - lengths
         # the words of each text, then its end
-        order = np.full(int(sizes.sum()) + len(sizes), len(coded) - 1, np.int64)
+        order = np.full(int(sizes.sum()) + len(sizes), len(coded) - 1, np.int32)
         ends = np.cumsum(sizes + 1) - 1
         inner = np.ones(len(order), bool)
         inner[ends] = False
@@ -140,10 +153,12 @@ def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     return control.astype(np.uint8).tobytes(), data.tobytes()
 
 
-def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
-    """The values again: lengths by table lookup, bytes by one masked assignment."""
-    lengths = _LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:count]
-    found = np.zeros((count, 4), np.uint8)
+def unpack(control: bytes, data: bytes, sizes: np.ndarray) -> np.ndarray:
+    """The values of some packed arrays again, one after another: lengths by table lookup, bytes by one masked assignment."""
+    slots = -(-sizes // 4) * 4
+    places = np.arange(int(slots.sum())) - np.repeat(np.cumsum(slots) - slots, slots)
+    lengths = _LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[places < np.repeat(sizes, slots)]
+    found = np.zeros((len(lengths), 4), np.uint8)
     found[np.arange(4) < lengths[:, None]] = np.frombuffer(data, np.uint8)
     return found.reshape(-1).view("<u4")
 
@@ -184,35 +199,38 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, text: str = "text",
     rank_of = np.zeros(int(order.max()) + 1 if len(order) else 1, np.uint32)
     rank_of[order] = np.arange(len(order), dtype=np.uint32)
     kind = tokens.schema["id"].dataType.simpleString()
-    ddl = f"part int, block int, before bigint, ids array<{kind}>, sizes array<bigint>, control binary, data binary"
+
+    @F.arrow_udf("control binary, data binary")
+    def packed(blobs: pa.Array) -> pa.Array:
+        pairs = [pack(rank_of[np.frombuffer(blob.as_buffer(), "<u4")]) for blob in blobs]
+        return pa.StructArray.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in range(2)], names=["control", "data"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, before, ids, sizes, blobs, held = TaskContext.get().partitionId(), 0, 0, [], [], [], 0
+        part, number, before, held, rows = TaskContext.get().partitionId(), 0, 0, 0, []
 
         def closed() -> pa.RecordBatch:
-            control, data = pack(rank_of[np.frombuffer(b"".join(blobs), "<u4")])
-            return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([before], pa.int64()), pa.array([ids], pa.list_(id_type)),
-                 pa.array([sizes], pa.list_(pa.int64())), pa.array([control], pa.binary()), pa.array([data], pa.binary())],
-                names=["part", "block", "before", "ids", "sizes", "control", "data"],
-            )
+            ids, sizes, control, data = zip(*rows, strict=True)
+            values = [part, number, before, list(ids), list(sizes), b"".join(control), b"".join(data)]
+            types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(id_type), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+            names = ["part", "block", "before", "ids", "sizes", "control", "data"]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=names)
 
         for batch in batches:
             id_type = batch.column("id").type
-            for name, n, blob in zip(batch.column("id").to_pylist(), batch.column("n").to_pylist(), batch.column("ids"), strict=True):
-                if held and held + n > BLOCK:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("id", "n", "control", "data")), strict=True):
+                if held and held + row[1] > BLOCK:
                     yield closed()
-                    number, before, ids, sizes, blobs, held = number + 1, before + held, [], [], [], 0
-                ids.append(name)
-                sizes.append(n)
-                blobs.append(blob.as_py())
-                held += n
-        if ids:
+                    number, before, held, rows = number + 1, before + held, 0, []
+                rows.append(row)
+                held += row[1]
+        if rows:
             yield closed()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = tokens.repartitionByRange(parts, "id", "row").sortWithinPartitions("id", "row")
-    save_to(ordered.select("id", "n", "ids").mapInArrow(blocks, ddl), f"{path}/blocks")
+    coded = tokens.select("row", "id", "n", packed("ids").alias("p")).select("row", "id", "n", "p.control", "p.data")
+    ordered = coded.repartitionByRange(parts, "id", "row").sortWithinPartitions("id", "row").drop("row")
+    ddl = f"part int, block int, before bigint, ids array<{kind}>, sizes array<bigint>, control binary, data binary"
+    save_to(ordered.mapInArrow(blocks, ddl), f"{path}/blocks")
 
 
 def save_to(df: DataFrame, path: str) -> None:
@@ -232,7 +250,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 ids = batch.column("ids")[k].values
                 sizes = np.array(batch.column("sizes")[k].as_py(), np.int64)
                 stops = np.cumsum(sizes)
-                blob = order[unpack(control, data, int(stops[-1]))].astype("<u4").tobytes()
+                blob = order[unpack(control, data, sizes)].astype("<u4").tobytes()
                 starts = stops - sizes
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part] * len(sizes), pa.int32()), ids, pa.array(before + starts), pa.array(sizes),

@@ -41,7 +41,10 @@ def test_variable_length_coding_round_trip():
     for size in (0, 1, 3, 4, 5, 1000):
         values = (draw.integers(0, 1 << 32, size) >> draw.integers(0, 32, size)).astype(np.uint32)
         control, data = T.pack(values)
-        assert len(control) == -(-size // 4) and np.array_equal(T.unpack(control, data, size), values)
+        assert len(control) == -(-size // 4) and np.array_equal(T.unpack(control, data, np.array([size])), values)
+    parts = [T.pack(np.arange(k, dtype=np.uint32) * 99) for k in (3, 0, 9)]
+    joined = T.unpack(*(b"".join(p[k] for p in parts) for k in range(2)), np.array([3, 0, 9]))
+    assert joined.tolist() == [k * 99 for k in (*range(3), *range(9))]
     edges = np.array([0, 255, 256, 65535, 65536, (1 << 24) - 1, 1 << 24, (1 << 32) - 1], np.uint32)
     assert len(T.pack(edges)[1]) == 1 + 1 + 2 + 2 + 3 + 3 + 4 + 4
 
