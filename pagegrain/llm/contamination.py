@@ -4,8 +4,8 @@ A-Z become a-z and every other ASCII byte that is no digit or letter separates w
 ten words of an item, or the whole item if it is shorter. Each text is scanned once; found windows are mapped back to
 word numbers and to byte offsets of the original text, as normalisation keeps the length of every word.
 
-Items are collected in blocks of bounded size, each with an automaton of its own, so that what an executor holds does not
-grow with the benchmark.
+Items are collected in blocks of bounded size, each with an automaton of its own; a block is scanned for and released before the
+next is collected, so that what the driver and an executor hold does not grow with the benchmark.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagegrain.llm.common import keyed, python_workers, save, utf8
@@ -95,14 +96,17 @@ def scan(text: Column, items, words: int) -> Column:
     return of(utf8(text))
 
 
-def _blocks(spark: SparkSession, items: DataFrame, size: int):
-    """Broadcasts of the items with at most about ``size`` bytes each; a longer item is a block of its own."""
+def _placed(items: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """The items with a block number, in so many blocks of at most about ``size`` bytes each."""
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = 1 if total <= size else -(-2 * total // size)
-    placed = items.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(count)))
-    for block in range(count):
-        rows = placed.filter(F.col("block") == block).select("id", "text").distinct().orderBy("id", "text").collect()
-        yield spark.sparkContext.broadcast(tuple((r[0], bytes(r[1])) for r in rows))
+    return items.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(count))), count
+
+
+def _block(placed: DataFrame, block: int) -> Broadcast:
+    """A broadcast of the items of one block."""
+    rows = placed.filter(F.col("block") == block).select("id", "text").distinct().orderBy("id", "text")
+    return placed.sparkSession.sparkContext.broadcast(tuple((r[0], bytes(r[1])) for r in rows.collect()))
 
 
 def contamination(
@@ -118,14 +122,16 @@ def contamination(
     spark = docs.sparkSession
     python_workers(spark)
     items = benchmark.select(F.col(item_id).cast("string").alias("id"), utf8(F.col(item_text)).alias("text"))
-    blocks = list(_blocks(spark, items, block_bytes))
-    if len(blocks) == 1:
+    placed, count = _placed(items, block_bytes)
+    if count == 1:
         found = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-        found = found.withColumn("found", scan(F.col(f"doc.`{text}`"), blocks[0], words))
+        found = found.withColumn("found", scan(F.col(f"doc.`{text}`"), _block(placed, 0), words))
         return found.select("doc", "found.n_words", "found.spans", "found.items")
     rows, parts = keyed(docs, "texts"), None
-    for block in blocks:
+    for number in range(count):
+        block = _block(placed, number)
         part = save(rows.select("row", scan(F.col(f"doc.`{text}`"), block, words).alias("found")), "found")
+        block.destroy()
         parts = part if parts is None else parts.union(part)
     merged = parts.groupBy("row").agg(
         F.max("found.n_words").alias("n_words"),
