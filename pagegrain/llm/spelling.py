@@ -8,7 +8,7 @@ One edit changes only the grams that cover its place (and, at a word's end, thos
 number of them over all places is the word's *bound*: two words one edit apart share all their other grams. Taking the
 grams from rare to frequent, the first shared gram is among the first ``bound + 1`` of both words, so only the lists of
 these grams are merged. A shared gram stands before the edit, at the same distance from the left end, or after it, at the same
-distance from the right end; lists are kept by gram, side and distance. Candidates are verified by the edit distance itself.
+distance from the right end; lists are kept by gram, side and distance. Candidates are verified character by character.
 """
 
 from __future__ import annotations
@@ -17,9 +17,10 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from os.path import commonprefix
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagegrain.llm.common import python_workers, save
@@ -142,6 +143,24 @@ def list_keys(word: str, known: dict[str, int], shortest: int = SHORTEST, longes
     return [key for at in chosen for key in (f"{grams[at]}<{at}", f"{grams[at]}>{len(word) - at - len(grams[at])}")]
 
 
+def one_edit(a: str, b: str) -> bool:
+    """Whether two different words become equal by one inserted, deleted or replaced code point."""
+    a, b = sorted((a, b), key=len)
+    if len(b) - len(a) > 1:
+        return False
+    at = len(commonprefix((a, b)))
+    return a[at + (len(a) == len(b)) :] == b[at + 1 :]
+
+
+def _is_near(a: Column, b: Column) -> Column:
+    # linear in the words' length, which Spark's levenshtein is not
+    @F.arrow_udf("boolean")
+    def of(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([one_edit(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.bool_())
+
+    return of(a, b)
+
+
 def near_words(words: DataFrame, shortest: int = SHORTEST, longest: int = LONGEST, limit: int = LIMIT, least_length: int = LEAST_LENGTH) -> DataFrame:
     """(a, an, b, bn): all pairs of words one edit apart with their counts, a before b."""
     if shortest + longest > least_length:
@@ -162,7 +181,7 @@ def near_words(words: DataFrame, shortest: int = SHORTEST, longest: int = LONGES
     lists = save(words.mapInArrow(of, "word string, n bigint, key string"), "gram-lists")
     other = lists.select(F.col("word").alias("b"), F.col("n").alias("bn"), F.col("key").alias("b_key"))
     both = (F.col("key") == F.col("b_key")) & (F.col("word") < F.col("b")) & (F.abs(F.length("word") - F.length("b")) <= 1)
-    pairs = lists.join(other, both).filter(F.levenshtein("word", "b", 1) == 1)
+    pairs = lists.join(other, both).filter(_is_near(F.col("word"), F.col("b")))
     return save(pairs.select(F.col("word").alias("a"), F.col("n").alias("an"), "b", "bn").distinct(), "near-words")
 
 
