@@ -15,7 +15,7 @@ from ..plans.relation import Relation
 from ..plans.search import ROW_KEYS, Search
 from ..plans.spec import SearchSpec
 from ..store import DATA_KEYS, Store
-from .numbering import numbered
+from .numbering import numbered, sorts
 
 
 def sums(store: Store, spec: SearchSpec) -> DataFrame:
@@ -140,7 +140,7 @@ def with_row_numbers(store: Store, spec: SearchSpec, *forms: str) -> DataFrame:
     rows, order = found.ordered_cells()
     if spec.limit:
         # a page holds at most ``limit`` rows
-        number = F.row_number().over(Window.orderBy(*order)) + F.lit(spec.offset)
+        number = F.row_number().over(Window.orderBy(*sorts(order))) + F.lit(spec.offset)
         rows = rows.withColumn("row_number", number.cast("bigint"))
     else:
         rows = numbered(rows, order, "row_number", start=spec.offset + 1)
@@ -161,4 +161,4 @@ def text_rows(store: Store, spec: SearchSpec) -> DataFrame:
         else:
             text = F.when(cell == "", F.lit("")).otherwise(kind.shown(cell))
         out.append(text.alias(name))
-    return (rows.orderBy(*order) if found.sorted else rows).select(*out)
+    return (rows.orderBy(*sorts(order)) if found.sorted else rows).select(*out)

@@ -13,7 +13,7 @@ from ..functions.names import quoted
 from ..plans.search import Search
 from ..plans.spec import SearchSpec
 from ..store import Store
-from .numbering import numbered
+from .numbering import Key, numbered, sorts
 
 
 def _first(cell: Column, multi: bool) -> Column:
@@ -27,7 +27,12 @@ def _level(depth: int) -> list[Column]:
 
 
 def nested(
-    store: Store, spec: SearchSpec, levels: int, index: int = 0, keep_order: bool = False
+    store: Store,
+    spec: SearchSpec,
+    levels: int,
+    index: int = 0,
+    keep_order: bool = False,
+    position: str | None = None,
 ) -> DataFrame:
     """Leaf rows of the tree over the first ``levels`` columns.
 
@@ -36,7 +41,8 @@ def nested(
     once. ``index`` adds a top level with the first letters of the first column.
 
     Siblings are sorted by compare value with blanks last (the collation is the cluster's); with ``keep_order`` they come in the order in which the
-    search first meets them, which costs a numbering of the whole result.
+    search first meets them, which costs a numbering of the whole result. With ``position`` the place of each row in this
+    order is a column of that name, and the rows come in no particular order.
     """
     found = Search(store, spec)
     levels = min(levels, len(found.columns))
@@ -54,7 +60,7 @@ def nested(
     # values that look alike but differ when raw (pages of one title) stay apart
     raw = [F.col(f"c{i}_raw") for i, c in enumerate(found.columns) if not c.type.plain]
     if keep_order:
-        rows = numbered(rows, [*order, *[F.col(f"c{i}_row") for i in split]], "_at")
+        rows = numbered(rows, [*order, *[Key(f"c{i}_row") for i in split]], "_at")
     else:
         rows = rows.withColumn("_at", F.lit(None).cast("bigint"))
     leaves = rows.select(
@@ -65,23 +71,27 @@ def nested(
         F.struct(F.lit(0).alias("none"), *raw).alias("_raw"),
         "_at",
     )
-    names = quoted(names)
-    shown = ["path", "depth", *names]
+    shown = ["path", "depth", *quoted(names)]
     unique = leaves.groupBy(*shown, "_raw", "_compare").agg(F.min("_at").alias("_at"))
     if keep_order:
-        return _first_seen(unique, len(path)).select(*shown)
-    siblings = [key for depth in range(len(path)) for key in _level(depth)]
-    return unique.orderBy(*siblings, *names).select(*shown)
+        unique, order = _first_seen(unique, len(path))
+    else:
+        siblings = [key for depth in range(len(path)) for key in _level(depth)]
+        unique = unique.withColumns({f"_key{n}": key for n, key in enumerate(siblings)})
+        order = [Key(f"_key{n}") for n in range(len(siblings))] + [Key(name) for name in names]
+    if position is None:
+        return unique.orderBy(*sorts(order)).select(*shown)
+    return numbered(unique, order, position).select(*shown, F.col(f"`{position}`"))
 
 
-def _first_seen(leaves: DataFrame, depth: int) -> DataFrame:
+def _first_seen(leaves: DataFrame, depth: int) -> tuple[DataFrame, list[Key]]:
     order = []
     for level in range(1, depth + 1):
         prefix = F.slice("path", 1, level)
         seen = leaves.groupBy(prefix.alias("_prefix")).agg(F.min("_at").alias(f"_seen{level}"))
         leaves = leaves.join(seen, prefix == F.col("_prefix")).drop("_prefix")
-        order.append(F.col(f"_seen{level}"))
-    return leaves.orderBy(*order, "_at")
+        order.append(Key(f"_seen{level}"))
+    return leaves, [*order, Key("_at")]
 
 
 def nodes(leaves: DataFrame) -> DataFrame:

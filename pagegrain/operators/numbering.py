@@ -1,57 +1,144 @@
-"""Row numbers and previous rows over a whole table without gathering a group in one task."""
+"""Positions, pages and previous rows over a whole table without gathering a group in one task.
+
+A global order is cut into *buckets* at split points, taken from a bounded sample of the keys. The bucket of a row
+is a column, computed from the row and the split points alone, so it comes out the same whenever a task is repeated and
+nothing has to be written. Split points only decide how even the buckets are, never what the result is.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import quoted
-from ..session import ensure_checkpoint_dir
+
+# Sampled keys for each bucket, and the most buckets (the bucket expression grows with them).
+SAMPLE = 64
+MOST = 512
+
+
+@dataclass(frozen=True)
+class Key:
+    """A column of a sort order; NULL comes first in ascending order and last in descending."""
+
+    name: str
+    ascending: bool = True
+
+    def sort(self) -> Column:
+        column = F.col(f"`{self.name}`")
+        return column.asc() if self.ascending else column.desc()
+
+    def after(self, value) -> Column:
+        """True where the row comes strictly after a value in this column."""
+        column = F.col(f"`{self.name}`")
+        if value is None:
+            return column.isNotNull() if self.ascending else F.lit(False)
+        if self.ascending:
+            return F.coalesce(column > F.lit(value), F.lit(False))
+        return column.isNull() | F.coalesce(column < F.lit(value), F.lit(False))
+
+    def equal(self, value) -> Column:
+        return F.col(f"`{self.name}`").eqNullSafe(F.lit(value))
+
+
+def sorts(order: list[Key]) -> list[Column]:
+    return [key.sort() for key in order]
 
 
-def numbered(df: DataFrame, order: list[Column], name: str = "position", start: int = 1) -> DataFrame:
+def split_points(df: DataFrame, order: list[Key]) -> list[tuple]:
+    """Keys at which the order is cut, distinct and ascending in it: at most one less than there are buckets."""
+    parts = min(MOST, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keys = df.select(*[F.col(f"`{key.name}`") for key in order])
+    # a task keeps no more than the sample
+    sample = keys.orderBy(F.rand(len(order))).limit(SAMPLE * parts)
+    rows = [tuple(row) for row in sample.orderBy(*sorts(order)).collect()]
+    return list(dict.fromkeys(rows[len(rows) * n // parts] for n in range(1, parts) if rows))
+
+
+def bucket_column(order: list[Key], splits: list[tuple]) -> Column:
+    """How many split points a row reaches, found by halving."""
+
+    def reaches(split: tuple) -> Column:
+        out = F.lit(True)
+        for key, value in reversed(list(zip(order, split, strict=True))):
+            out = key.after(value) | (key.equal(value) & out)
+        return out
+
+    def between(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high + 1) // 2
+        return F.when(reaches(splits[middle - 1]), between(middle, high)).otherwise(between(low, middle - 1))
+
+    return between(0, len(splits))
+
+
+def numbered(df: DataFrame, order: list[Key], name: str = "position", start: int = 1) -> DataFrame:
     """Add the exact position of every row in a global order.
 
-    The rows are range-partitioned and sorted, and checkpointed so that a lost executor cannot change
-    which rows a partition holds. Only one count per partition is then summed up in order. ``order``
-    has to be total (end it with a key), which also lets a hot sort value spread over partitions.
+    A row's position is the number of rows in earlier buckets and its place within its own. ``order`` has to be total (end it
+    with a key), which also lets a hot sort value spread over buckets.
+    """
+    bucketed = df.withColumn("_bucket", bucket_column(order, split_points(df, order)))
+    counts = bucketed.groupBy(F.col("_bucket").alias("_of")).agg(F.count(F.lit(1)).alias("_rows"))
+    # one row for each bucket
+    before = Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_of", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(*sorts(order)))
+    placed = bucketed.withColumn("_inside", inside).join(offsets, F.col("_bucket") == F.col("_of"))
+    position = (F.col("_before") + F.col("_inside") + (start - 1)).cast("bigint")
+    return placed.withColumn(name, position).select(*quoted(df.columns), name)
+
+
+def positions_between(df: DataFrame, order: list[Key], offset: int, limit: int = 0) -> DataFrame:
+    """The rows at positions ``offset`` (from 0) to ``offset + limit``, or to the end without a limit, in no particular order.
+
+    The rows of each bucket are counted (one number for each bucket reaches the driver). Buckets outside are filtered
+    away, buckets wholly inside are kept as they are; only the one or two at the ends are sorted.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    stored = ranged.select(
-        "*",
-        F.spark_partition_id().alias("_part"),
-        F.monotonically_increasing_id().alias("_in_part"),
-    ).checkpoint()
-    counts = stored.groupBy("_part").agg(
-        F.count(F.lit(1)).alias("_rows"), F.min("_in_part").alias("_first")
-    )
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        "_part", "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before")
-    )
-    position = F.col("_before") + F.col("_in_part") - F.col("_first") + start
-    placed = stored.join(offsets, "_part").withColumn(name, position.cast("bigint"))
-    return placed.select(*quoted(df.columns), name)
+    bucketed = df.withColumn("_bucket", bucket_column(order, split_points(df, order)))
+    counts = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")).collect()
+    end = offset + limit if limit else None
+    whole, cut, before = [], {}, 0
+    for row in sorted(counts, key=lambda row: row["_bucket"]):
+        low, high = offset - before, (row["n"] if end is None else end - before)
+        before += row["n"]
+        if low >= row["n"] or high <= 0:
+            continue
+        if low <= 0 and high >= row["n"]:
+            whole.append(row["_bucket"])
+        else:
+            cut[row["_bucket"]] = (max(low, 0), min(high, row["n"]))
+    out = bucketed.filter(F.col("_bucket").between(min(whole), max(whole)) if whole else F.lit(False))
+    if cut:
+        inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(*sorts(order)))
+        edges = bucketed.filter(F.col("_bucket").isin(list(cut))).withColumn("_inside", inside)
+        wanted = F.lit(False)
+        for number, (low, high) in cut.items():
+            wanted = wanted | ((F.col("_bucket") == number) & (F.col("_inside") > low) & (F.col("_inside") <= high))
+        out = out.unionByName(edges.filter(wanted).drop("_inside"))
+    return out.select(*quoted(df.columns))
 
 
 def with_previous(df: DataFrame, keys: list[str], by: str, name: str) -> DataFrame:
     """Add the row before in the order of ``by`` within ``keys``, as a struct; NULL for a first row.
 
-    Rows are range-partitioned by key and order, which together have to be unique, so a key with very
-    many rows spreads over many partitions. Only the last row of each partition is handed on to the
-    next one.
+    Keys and order together have to be unique, so a key with very many rows spreads over many buckets. Only the last
+    row of each bucket is carried on to the next one that has rows.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    order, row = [*keys, by], F.struct(*quoted(df.columns))
-    ranged = df.repartitionByRange(*order)
-    stored = ranged.select("*", F.spark_partition_id().alias("_part")).checkpoint()
-    tails = stored.groupBy("_part").agg(F.max_by(row, F.struct(*order)).alias("_tail"))
-    carried = tails.select("_part", F.lag("_tail").over(Window.orderBy("_part")).alias("_carried"))
-    inside = Window.partitionBy("_part").orderBy(*order)
-    pairs = stored.withColumn("_inside", F.lag(row).over(inside)).join(carried, "_part", "left")
+    names, row = [*keys, by], F.struct(*quoted(df.columns))
+    order = [Key(n) for n in names]
+    bucketed = df.withColumn("_bucket", bucket_column(order, split_points(df, order)))
+    tails = bucketed.groupBy(F.col("_bucket").alias("_of")).agg(F.max_by(row, F.struct(*names)).alias("_tail"))
+    # one row for each bucket
+    carried = tails.select("_of", F.lag("_tail").over(Window.orderBy("_of")).alias("_carried"))
+    inside = Window.partitionBy("_bucket").orderBy(*names)
+    pairs = bucketed.withColumn("_inside", F.lag(row).over(inside))
+    pairs = pairs.join(carried, F.col("_bucket") == F.col("_of"))
     before = pairs.withColumn(name, F.coalesce("_inside", "_carried"))
     same = F.lit(True)
     for key in keys:
-        same = same & (F.col(f"{name}.{key}") == F.col(key))
+        same = same & F.col(f"{name}.{key}").eqNullSafe(F.col(key))
     return before.withColumn(name, F.when(same, F.col(name))).select(*quoted(df.columns), name)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.names import quoted
 from ..functions.text import all_of
 from ..store import MULTI_COLUMNS, Store
-from .numbering import numbered
+from .numbering import Key, numbered
 from .revisions import given_columns, newest, stored_rows, stored_values, value_list
 
 ROW = ["pid", "rid"]
@@ -27,7 +27,7 @@ def with_row_ids(data: DataFrame, incoming: DataFrame) -> DataFrame:
     """Give rows with ``rid`` 0 the next free ids of the table, in ``line`` order."""
     known = incoming.filter(F.col("rid") != 0).withColumn("rid", F.col("rid").cast("bigint"))
     fresh = incoming.filter(F.col("rid") == 0)
-    numbers = numbered(fresh, [F.col("line").asc()], "_number")
+    numbers = numbered(fresh, [Key("line")], "_number")
     highest = data.agg(F.coalesce(F.max("rid"), F.lit(0)).alias("rid")).scalar()
     fresh = numbers.withColumn("rid", (F.col("_number") + highest).cast("bigint")).drop("_number")
     return known.unionByName(fresh.select(*quoted(known.columns)))

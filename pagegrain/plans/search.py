@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..columns import Cell, ColumnType, Lookup, Page, Text, same_forms
 from ..errors import StructureError
 from ..functions.text import all_of, any_of, is_blank, or_empty
+from ..operators.numbering import Key, positions_between, sorts
 from ..schema import SchemaColumn
 from ..store import DATA_KEYS, DATA_META, Store
 from .folding import (
@@ -32,6 +33,8 @@ from .relation import Relation, prefixed
 from .spec import Filter, PageValue, SearchSpec
 
 ROW_KEYS = ["pid", "rid", "rev"]
+# Pages that end within so many rows are cut off sorted tasks; deeper ones are located by counting.
+SHALLOW = 100_000
 
 
 def page_values(store: Store, wanted: PageValue) -> Column:
@@ -61,7 +64,8 @@ def page_values(store: Store, wanted: PageValue) -> Column:
 
 
 class Search:
-    """A search bound to a store. Everything is lazy; no method runs a job."""
+    """A search bound to a store. No method runs a job, except that an offset beyond :data:`SHALLOW` rows, or one without a
+    limit, is located when the cells are built."""
 
     def __init__(self, store: Store, spec: SearchSpec):
         self.store = store
@@ -359,17 +363,18 @@ class Search:
                 _, added[f"c{i}_display"], added[f"c{i}_compare"] = single_forms(forms)
         return relation.df.select(*rows.columns, *[c.alias(name) for name, c in added.items()])
 
-    def _sort_names(self, df: DataFrame) -> list[Column]:
+    def _sort_names(self, df: DataFrame) -> list[Key]:
         order = []
         for n, (_, ascending) in enumerate(self.sort_columns):
-            for name in [c for c in df.columns if c.startswith(f"s{n}_")]:
-                order.append(F.col(name).asc() if ascending else F.col(name).desc())
+            order += [Key(name, ascending) for name in df.columns if name.startswith(f"s{n}_")]
         return order
 
-    def _order(self, df: DataFrame) -> list[Column]:
-        ties = [F.col("pid"), F.col("rid")]
+    def _order(self, df: DataFrame) -> list[Key]:
+        ties = [Key("pid"), Key("rid")]
         if self.grouped:
-            ties += [F.col(f"c{i}_raw") for i, _ in self.single_columns]
+            ties += [Key(f"c{i}_raw") for i, _ in self.single_columns]
+        else:
+            ties.append(Key("rev"))
         return self._sort_names(df) + ties
 
     def _group_keys(self) -> list[str]:
@@ -393,10 +398,13 @@ class Search:
     def _paged(self, rows: DataFrame) -> DataFrame:
         if not self._folds_late:
             return rows
-        rows = rows.orderBy(*self._order(rows))
-        if self.spec.offset:
-            rows = rows.offset(self.spec.offset)
-        return rows.limit(self.spec.limit) if self.spec.limit else rows
+        order, offset, limit = self._order(rows), self.spec.offset, self.spec.limit
+        if offset and (not limit or offset + limit > SHALLOW):
+            return positions_between(rows, order, offset, limit)
+        rows = rows.orderBy(*sorts(order))
+        if offset:
+            rows = rows.offset(offset)
+        return rows.limit(limit) if limit else rows
 
     def _values(self, table: str, columns, shown: DataFrame | None, records: DataFrame):
         """Values of some multi-valued columns of one schema and the key that ties them to the rows."""
@@ -512,8 +520,8 @@ class Search:
     def sort_expressions(self, rows: DataFrame) -> list[Column]:
         return [F.col(c) for c in rows.columns if c.startswith("s") and c[1:2].isdigit()]
 
-    def ordered_cells(self, *exploded: int) -> tuple[DataFrame, list[Column]]:
-        """Cells and the expressions that order them."""
+    def ordered_cells(self, *exploded: int) -> tuple[DataFrame, list[Key]]:
+        """Cells and the columns that order them."""
         rows = self.exploded(*exploded) if exploded else self.cells
         return rows, self._order(rows)
 
@@ -549,7 +557,7 @@ class Search:
         ``<label>__<form>``.
         """
         rows, order = self.ordered_cells()
-        return self.shown(rows.orderBy(*order) if self.sorted else rows, forms or ("display",))
+        return self.shown(rows.orderBy(*sorts(order)) if self.sorted else rows, forms or ("display",))
 
     def count(self) -> DataFrame:
         """Number of rows regardless of paging, as a one-row DataFrame."""

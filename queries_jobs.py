@@ -11,7 +11,6 @@ from oracle_views import num, sql
 from pagegrain import Schema, SearchSpec, Store, column, search
 from pagegrain.functions import display, ids, refs, text
 from pagegrain.operators import aggregate, assignment, nested, revisions, rows, suggest, upkeep, validation
-from pagegrain.operators.numbering import numbered
 from pagegrain.sources import csv_files
 from queries_search import listed
 
@@ -205,9 +204,7 @@ def index_flat(spark, sf_dir):
 )
 def nested_first_seen(spark, sf_dir):
     spec = SearchSpec(("part",), ("type", "name"), sorts=("^name",))
-    found = nested.nested(catalog.open_store(spark, sf_dir), spec, levels=1, keep_order=True)
-    placed = found.withColumn("place", F.monotonically_increasing_id())
-    return _path(numbered(placed, [F.col("place").asc()], "n").drop("place").withColumnRenamed("n", "place"))
+    return _path(nested.nested(catalog.open_store(spark, sf_dir), spec, levels=1, keep_order=True, position="place"))
 
 
 @register(

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pagegrain import SearchSpec
 from pagegrain.operators import aggregate, nested, suggest
-from pagegrain.operators.numbering import numbered
+from pagegrain.operators.numbering import Key, numbered
 
 # kind, family, plant and its flower colours
 PLANTS = [
@@ -123,7 +123,7 @@ def test_numbering_is_exact_under_ties_and_skew(spark):
     df = spark.range(0, 10_000, numPartitions=7).select(
         "id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k")
     )
-    out = numbered(df, [F.col("k").desc(), F.col("id").asc()], "n").collect()
+    out = numbered(df, [Key("k", False), Key("id")], "n").collect()
     ranked = sorted(out, key=lambda r: (-r["k"], r["id"]))
     assert [r["n"] for r in ranked] == list(range(1, 10_001))
 
