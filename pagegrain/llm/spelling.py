@@ -7,8 +7,9 @@ decomposed into one gram for each place: the longest of the dictionary that star
 One edit changes only the grams that cover its place (and, at a word's end, those that would have grown further). The largest
 number of them over all places is the word's *bound*: two words one edit apart share all their other grams. Taking the
 grams from rare to frequent, the first shared gram is among the first ``bound + 1`` of both words, so only the lists of
-these grams are merged. A shared gram stands before the edit, at the same distance from the left end, or after it, at the same
-distance from the right end; lists are kept by gram, side and distance. Candidates are verified character by character.
+these grams are merged. A shared gram stands before the edit, and then all of the word up to it is the same, or after it, and
+then all of the word from it on; lists are kept by gram, side and that text. Of the words in a list only those with nearly the same
+letters and pairs of letters are candidates, which are verified character by character.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 from os.path import commonprefix
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +31,8 @@ LEAST_LENGTH = 7
 LEAST_COUNT = 2
 RATIO = 10
 NOISE = 31
-SHORTEST = 2
-LONGEST = 5
+SHORTEST = 3
+LONGEST = 4
 # A gram that occurs more often is made longer; grows with the vocabulary so that the frequent grams of one length are at most FREQUENT.
 LIMIT = 32
 FREQUENT = 200_000
@@ -135,12 +137,36 @@ def edit_bound(word: str, grams: list[str], known: dict[str, int], longest: int)
     return max(most, growing)
 
 
-def list_keys(word: str, known: dict[str, int], shortest: int = SHORTEST, longest: int = LONGEST) -> list[str]:
-    """The lists a word stands in: its ``bound + 1`` rarest grams, each by its distance from either end."""
-    grams = decomposed(word, known, shortest, longest)
+def list_keys(word: str, known: dict[str, int], shortest: int = SHORTEST, longest: int = LONGEST) -> set[int]:
+    """The lists a word stands in, as hashes of the gram and the text between it and one end.
+
+    If the rarest gram is shared, the edit can be on either side of it. A later gram is the first shared one only if the edit
+    is in all grams before, which leaves few places for it, and none from some gram on.
+    """
+    grams, size, keys = decomposed(word, known, shortest, longest), len(word), set()
+    low, high = -1, size
     order = sorted(range(len(grams)), key=lambda at: (known.get(grams[at], 0), grams[at], at))
-    chosen = order[: edit_bound(word, grams, known, longest) + 1]
-    return [key for at in chosen for key in (f"{grams[at]}<{at}", f"{grams[at]}>{len(word) - at - len(grams[at])}")]
+    for at in order[: edit_bound(word, grams, known, longest) + 1]:
+        end = at + len(grams[at])
+        last = end if end == size and len(grams[at]) < longest and grams[at] in known else end - 1
+        if high > last:
+            keys.add(xxhash.xxh64_intdigest(f"{at}<{word[:end]}") - (1 << 63))
+        if low < at:
+            keys.add(xxhash.xxh64_intdigest(f"{end - at}>{word[at:]}") - (1 << 63))
+        low, high = max(low, at), min(high, last)
+        if low > high:
+            break
+    return keys
+
+
+def signatures(word: str) -> tuple[int, int]:
+    """Parities of the letters and of the pairs of neighbours, 64 classes each: one edit changes at most two and four."""
+    letters = pairs = 0
+    for code in map(ord, word):
+        letters ^= 1 << (code & 63)
+    for one, two in zip(word, word[1:], strict=False):
+        pairs ^= 1 << ((ord(one) * 37 + ord(two)) & 63)
+    return letters - (1 << 63), pairs - (1 << 63)
 
 
 def one_edit(a: str, b: str) -> bool:
@@ -170,19 +196,24 @@ def near_words(words: DataFrame, shortest: int = SHORTEST, longest: int = LONGES
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owners, keys = [], []
+            owners, keys, signs = [], [], []
             for k, word in enumerate(batch.column("word").to_pylist()):
                 own = list_keys(word, shared.value, shortest, longest)
                 owners += [k] * len(own)
                 keys += own
+                signs += [signatures(word)] * len(own)
             who = pa.array(owners, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("word").take(who), batch.column("n").take(who), pa.array(keys, pa.string())], names=["word", "n", "key"])
-
-    lists = save(words.mapInArrow(of, "word string, n bigint, key string"), "gram-lists")
-    other = lists.select(F.col("word").alias("b"), F.col("n").alias("bn"), F.col("key").alias("b_key"))
-    both = (F.col("key") == F.col("b_key")) & (F.col("word") < F.col("b")) & (F.abs(F.length("word") - F.length("b")) <= 1)
-    pairs = lists.join(other, both).filter(_is_near(F.col("word"), F.col("b")))
-    return save(pairs.select(F.col("word").alias("a"), F.col("n").alias("an"), "b", "bn").distinct(), "near-words")
+            columns = [batch.column("word").take(who), batch.column("n").take(who), pa.array(keys, pa.int64())]
+            columns += [pa.array([sign[k] for sign in signs], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays(columns, names=["word", "n", "key", "letters", "pairs"])
+
+    lists = words.mapInArrow(of, "word string, n bigint, key bigint, letters bigint, pairs bigint")
+    lists = save(lists.withColumn("size", F.length("word")), "gram-lists")
+    other = lists.select(*[F.col(c).alias(f"b_{c}") for c in lists.columns])
+    alike = (F.abs(F.col("size") - F.col("b_size")) <= 1) & (F.bit_count(F.col("letters").bitwiseXOR(F.col("b_letters"))) <= 2)
+    alike = alike & (F.bit_count(F.col("pairs").bitwiseXOR(F.col("b_pairs"))) <= 4) & (F.col("word") < F.col("b_word"))
+    pairs = lists.join(other, (F.col("key") == F.col("b_key")) & alike).filter(_is_near(F.col("word"), F.col("b_word")))
+    return save(pairs.select(F.col("word").alias("a"), F.col("n").alias("an"), F.col("b_word").alias("b"), F.col("b_n").alias("bn")).distinct(), "near-words")
 
 
 def _roots(forms: DataFrame) -> DataFrame:

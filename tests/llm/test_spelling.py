@@ -6,10 +6,13 @@ import numpy as np
 import pytest
 
 from pagegrain.llm import spelling
-from pagegrain.llm.spelling import decomposed, edit_bound, gram_dictionary, list_keys, near_words, spelling_variants, variants
+from pagegrain.llm.spelling import decomposed, edit_bound, gram_dictionary, list_keys, near_words, signatures, spelling_variants, variants
 from tests.llm.brute import ascii_lower
 
 
+GRAMS = (spelling.SHORTEST, spelling.LONGEST)
+
+
 def one_edit(a, b):
     if a == b or abs(len(a) - len(b)) > 1:
         return False
@@ -109,16 +112,18 @@ def test_empty_table_clashing_columns_and_very_long_words(spark):
 def test_bound_holds_for_every_edit(spark):
     words = list(misspelt(9, 60))
     known = gram_dictionary(spark.createDataFrame([(w, 2) for w in words], "word string, n bigint"), limit=3)
-    assert {len(g) for g in known} >= {2, 3}
+    assert {len(g) for g in known} == set(GRAMS)
     for a in words[:40]:
-        grams = decomposed(a, known, 2, 5)
-        bound = edit_bound(a, grams, known, 5)
+        grams = decomposed(a, known, *GRAMS)
+        bound = edit_bound(a, grams, known, GRAMS[1])
         assert bound < len(grams)
         edits = {a[:k] + x + a[k + cut :] for k in range(len(a) + 1) for x in ("", "a", "b", "é") for cut in (0, 1)} - {a}
         for b in (e for e in edits if one_edit(a, e) and len(e) >= 7):
-            shared = Counter(grams) & Counter(decomposed(b, known, 2, 5))
+            shared = Counter(grams) & Counter(decomposed(b, known, *GRAMS))
             assert shared.total() >= len(grams) - bound
-            assert set(list_keys(a, known)) & set(list_keys(b, known))
+            assert list_keys(a, known) & list_keys(b, known)
+            changed = [(x ^ y).bit_count() for x, y in zip(signatures(a), signatures(b), strict=True)]
+            assert changed[0] <= 2 and changed[1] <= 4
 
 
 def test_grams_must_leave_room(spark):
