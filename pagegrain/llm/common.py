@@ -16,6 +16,8 @@ BATCH_BYTES = 2 << 20
 BATCH_ROWS = 2000
 
 _own_folders: dict[str, str] = {}
+_stage_tables: dict[tuple[str, str], list[str]] = {}
+_recording: list[list[str]] = []
 _shipped: set[str] = set()
 
 
@@ -80,9 +82,25 @@ def save(df: DataFrame, label: str) -> DataFrame:
         spark__sql__parquet__compression__codec="zstd",
     ):
         df.write.parquet(path)
+    if _recording:
+        _recording[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def stage_tables(spark: SparkSession, stage: str, before: str | None):
+    """Notes the tables that a stage saves, and deletes those of the stage before, whose result is a table of its own by now."""
+    application = spark.sparkContext.applicationId
+    for path in _stage_tables.pop((application, before), []):
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    _recording.append([])
+    try:
+        yield
+    finally:
+        _stage_tables.setdefault((application, stage), []).extend(_recording.pop())
+
+
 def whole(docs: DataFrame) -> DataFrame:
     """Every input row as one struct ``doc``, so that no name of ours can clash with its columns."""
     return docs.select(F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("doc"))

@@ -1,15 +1,46 @@
+import random
+
 import corpus_pipeline
-from pagegrain.llm.simhash import fingerprint
-from tests.llm import brute
+from pagegrain.llm.common import shared_folder
+from tests.llm.brute import ascii_lower, spaced_words
+
+
+def shingles(text, size=5):
+    words = spaced_words(ascii_lower(text or ""))
+    return {tuple(words[k : k + size]) for k in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def first_of_groups(texts, least=0.8):
+    """Smallest ids of the groups of texts with similar shingles; texts that share no shingle are not compared."""
+    sets = {i: shingles(text) for i, text in texts.items()}
+    holders, root = {}, {i: i for i in texts}
+    for i, own in sets.items():
+        for s in own or {()}:
+            holders.setdefault(s, []).append(i)
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for some in holders.values():
+        for a in some:
+            for b in some:
+                if a < b and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])):
+                    x, y = sorted((find(a), find(b)))
+                    root[y] = x
+    return {find(i) for i in texts}
 
 
 def test_stages_take_effect(spark, tmp_path):
     source = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     leak = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").first().text
-    shared = " ".join(f"part{k}" for k in range(120))
-    tail = lambda s: " ".join(f"{s}{k}" for k in range(90))
-    rows = [(10_000, None), (10_001, "123 !"), (10_002, f"the one {leak} and more"), (10_003, f"the start é{shared} {tail('ab')}"),
-            (10_004, f"other {tail('cd')} \u0669{shared}"), (10_005, "the very same words"), (10_006, "the very same words")]
+    known = sorted({w for r in source.filter("lang = 'en'").limit(60).collect() for w in (r.text or "").split() if w.isascii() and w.isalpha() and w.islower() and len(w) > 3})
+    dice = random.Random(5)
+    passage = lambda n: [dice.choice(known) for _ in range(n)]
+    shared, one, other = " ".join(passage(120)), passage(90), passage(90)
+    rows = [(10_000, None), (10_001, "123 !"), (10_002, f"the one {leak} and more"), (10_003, f"the start é{shared} {' '.join(one)}"),
+            (10_004, f"other {' '.join(other)} \u0669{shared}"), (10_005, "the very same words"), (10_006, "the very same words")]
     more = spark.createDataFrame([(i, t, "en", "src0", len(t or "")) for i, t in rows], source.schema)
     source.unionByName(more).write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
@@ -24,16 +55,28 @@ def test_stages_take_effect(spark, tmp_path):
             assert docs.columns == source.columns
     every = {r.doc_id for r in source.collect()} | {i for i, _ in rows}
     assert every - kept[0] >= {10_000, 10_001} and len(every - kept[0]) < 5
-    prints = [(r["doc_id"], fingerprint(r["text"].encode(), 5)) for r in frames["language"].values()]
-    groups = {}
-    for (i, _), group in zip(prints, brute.groups([p for _, p in prints]), strict=True):
-        groups.setdefault(group, []).append(i)
-    assert kept[1] == {min(g) for g in groups.values()} and 10_006 not in kept[1]
+    firsts = first_of_groups({i: r["text"] for i, r in frames["language"].items()})
+    assert kept[1] == firsts and 10_005 in firsts and 10_006 not in kept[1] and len(firsts) < len(kept[0]) - 1
     texts = frames["repeated_strings"]
-    assert kept[2] == kept[1] and "part60" not in texts[10_003]["text"] + texts[10_004]["text"] and "ab5 " in texts[10_003]["text"]
-    assert texts[10_003]["text"].startswith("the start  ab0") and texts[10_004]["text"].endswith("cd89 ")
+    assert kept[2] == kept[1] and shared[200:300] not in texts[10_003]["text"] + texts[10_004]["text"]
+    assert texts[10_003]["text"] == f"the start  {' '.join(one)}" and texts[10_004]["text"] == f"other {' '.join(other)} "
     assert all(r["n_chars"] == len(r["text"]) for r in texts.values())
     assert 10_002 in kept[2] - kept[3] and 10_003 in kept[3]
     assert kept[4] == kept[3]
     assert corpus_pipeline.ORACLE_SQL is None
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == kept[4]
+
+
+def test_empty_table_and_clashing_columns(spark, tmp_path):
+    spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    source = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(30)
+    clashing = source.selectExpr("*", "'a' AS __text", "'b' AS doc", "'c' AS new", "'d' AS cut", "1L AS row", "'e' AS spans", "'f' AS n")
+    for frame in (source.limit(0), clashing):
+        docs = frame
+        for name, stage in corpus_pipeline.STAGES:
+            path = f"{shared_folder(spark)}/{name}-{frame is clashing}-{tmp_path.name}"
+            stage(spark, docs, str(tmp_path)).write.parquet(path)
+            docs = spark.read.parquet(path)
+            if name != "packing":
+                assert docs.columns == frame.columns
+        assert bool(docs.count()) == (frame is clashing)
