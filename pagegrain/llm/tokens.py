@@ -143,11 +143,13 @@ def tokenized(docs: DataFrame, tokenizer: str, text: str = "text", id: str = "do
 _LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
 
-def pack(values: np.ndarray) -> tuple[bytes, bytes]:
-    """Control and data bytes of unsigned 32-bit values."""
+def pack(values: np.ndarray, sizes: np.ndarray) -> tuple[bytes, bytes]:
+    """Control and data bytes of some arrays of unsigned 32-bit values that stand one after another."""
     lengths = 1 + (values > 0xFF) + (values > 0xFFFF) + (values > 0xFFFFFF)
-    codes = np.zeros(-(-len(values) // 4) * 4, np.uint8)
-    codes[: len(values)] = lengths - 1
+    slots = -(-sizes // 4) * 4
+    places = np.arange(int(slots.sum())) - np.repeat(np.cumsum(slots) - slots, slots)
+    codes = np.zeros(len(places), np.uint8)
+    codes[places < np.repeat(sizes, slots)] = lengths - 1
     control = codes.reshape(-1, 4) @ np.array([1, 4, 16, 64], np.uint8)
     data = values.astype("<u4").view(np.uint8).reshape(-1, 4)[np.arange(4) < lengths[:, None]]
     return control.astype(np.uint8).tobytes(), data.tobytes()
@@ -200,24 +202,20 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, text: str = "text",
     rank_of[order] = np.arange(len(order), dtype=np.uint32)
     kind = tokens.schema["id"].dataType.simpleString()
 
-    @F.arrow_udf("control binary, data binary")
-    def packed(blobs: pa.Array) -> pa.Array:
-        pairs = [pack(rank_of[np.frombuffer(blob.as_buffer(), "<u4")]) for blob in blobs]
-        return pa.StructArray.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in range(2)], names=["control", "data"])
-
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, before, held, rows = TaskContext.get().partitionId(), 0, 0, 0, []
 
         def closed() -> pa.RecordBatch:
-            ids, sizes, control, data = zip(*rows, strict=True)
-            values = [part, number, before, list(ids), list(sizes), b"".join(control), b"".join(data)]
+            ids, sizes, blobs = zip(*rows, strict=True)
+            control, data = pack(rank_of[np.frombuffer(b"".join(blobs), "<u4")], np.array(sizes, np.int64))
+            values = [part, number, before, list(ids), list(sizes), control, data]
             types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(id_type), pa.list_(pa.int64()), pa.binary(), pa.binary()]
             names = ["part", "block", "before", "ids", "sizes", "control", "data"]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=names)
 
         for batch in batches:
             id_type = batch.column("id").type
-            for row in zip(*(batch.column(c).to_pylist() for c in ("id", "n", "control", "data")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("id", "n", "ids")), strict=True):
                 if held and held + row[1] > BLOCK:
                     yield closed()
                     number, before, held, rows = number + 1, before + held, 0, []
@@ -227,8 +225,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, text: str = "text",
             yield closed()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    coded = tokens.select("row", "id", "n", packed("ids").alias("p")).select("row", "id", "n", "p.control", "p.data")
-    ordered = coded.repartitionByRange(parts, "id", "row").sortWithinPartitions("id", "row").drop("row")
+    ordered = tokens.repartitionByRange(parts, "id", "row").sortWithinPartitions("id", "row").drop("row")
     ddl = f"part int, block int, before bigint, ids array<{kind}>, sizes array<bigint>, control binary, data binary"
     save_to(ordered.mapInArrow(blocks, ddl), f"{path}/blocks")
 
