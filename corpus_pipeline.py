@@ -22,14 +22,13 @@ from pagegrain.llm.packing import pack
 from pagegrain.llm.passages import remove_repeated_passages
 from pagegrain.llm.queries import op8_pieces, tokenizer_path
 from pagegrain.llm.repeats import readable
-from pagegrain.llm.similar import near_texts
+from pagegrain.llm.simhash import near_duplicates
 
 # The cosine from which on a text counts as one of the learned languages. Unrelated texts stay near 0 with a deviation of 1/32 (1,024
 # dimensions); the lowest short text in a learned language seen had 0.092.
 LEAST_SCORE = 0.09
-# Words of a shingle, and the similarity from which on texts are near-duplicates.
-SHINGLE = 5
-SIMILARITY = 0.8
+# Words of a shingle of the fingerprints, which link at four or fewer differing bits.
+SHINGLE = 4
 
 
 def _with_text(docs: DataFrame, text) -> DataFrame:
@@ -62,9 +61,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @after("language")
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: one with the smallest id (null first), of rows with one id any one. Null texts and
-    those without words are alike."""
-    return near_texts(docs, words=SHINGLE, similarity=SIMILARITY).filter("is_first").select("doc.*")
+    """One document of each component of linked fingerprints: one with the smallest id (null first), of rows with one id any one. Null
+    texts and those without words have fingerprint zero and are linked like any other."""
+    return near_duplicates(docs, words=SHINGLE).filter("is_first").select("doc.*")
 
 
 @after("near_dedup")
