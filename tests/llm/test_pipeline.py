@@ -2,34 +2,14 @@ import random
 
 import corpus_pipeline
 from pagegrain.llm.common import shared_folder
-from tests.llm.brute import ascii_lower, spaced_words
+from tests.llm import brute
 
 
-def shingles(text, size=5):
-    words = spaced_words(ascii_lower(text or ""))
-    return {tuple(words[k : k + size]) for k in range(max(1, len(words) - size + 1))} if words else set()
-
-
-def first_of_groups(texts, least=0.8):
-    """Smallest ids of the groups of texts with similar shingles; texts that share no shingle are not compared."""
-    sets = {i: shingles(text) for i, text in texts.items()}
-    holders, root = {}, {i: i for i in texts}
-    for i, own in sets.items():
-        for s in own or {()}:
-            holders.setdefault(s, []).append(i)
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for some in holders.values():
-        for a in some:
-            for b in some:
-                if a < b and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])):
-                    x, y = sorted((find(a), find(b)))
-                    root[y] = x
-    return {find(i) for i in texts}
+def first_of_groups(texts, words=4):
+    """Smallest ids of the groups that SimHash fingerprints make, every pair compared."""
+    ids = sorted(texts)
+    groups = brute.groups([brute.fingerprint(texts[i], words) for i in ids])
+    return {min(i for i, g in zip(ids, groups, strict=True) if g == group) for group in set(groups)}
 
 
 def test_stages_take_effect(spark, tmp_path):
