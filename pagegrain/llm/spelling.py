@@ -36,6 +36,8 @@ LONGEST = 4
 # A gram that occurs more often is made longer; grows with the vocabulary so that the frequent grams of one length are at most FREQUENT.
 LIMIT = 32
 FREQUENT = 200_000
+# Up to this length Spark's own edit distance verifies a pair; its time grows with the square of the length.
+_SHORT = 40
 _HELD = 1 << 17  # different words a task counts before it hands them on
 
 
@@ -179,7 +181,7 @@ def one_edit(a: str, b: str) -> bool:
 
 
 def _is_near(a: Column, b: Column) -> Column:
-    # linear in the words' length, which Spark's levenshtein is not
+    # linear in the words' length
     @F.arrow_udf("boolean")
     def of(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array([one_edit(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.bool_())
@@ -212,7 +214,10 @@ def near_words(words: DataFrame, shortest: int = SHORTEST, longest: int = LONGES
     other = lists.select(*[F.col(c).alias(f"b_{c}") for c in lists.columns])
     alike = (F.abs(F.col("size") - F.col("b_size")) <= 1) & (F.bit_count(F.col("letters").bitwiseXOR(F.col("b_letters"))) <= 2)
     alike = alike & (F.bit_count(F.col("pairs").bitwiseXOR(F.col("b_pairs"))) <= 4) & (F.col("word") < F.col("b_word"))
-    pairs = lists.join(other, (F.col("key") == F.col("b_key")) & alike).filter(_is_near(F.col("word"), F.col("b_word")))
+    a, b, longer = F.col("word"), F.col("b_word"), F.greatest("size", "b_size")
+    short = lists.filter(F.col("size") <= _SHORT).join(other.filter(F.col("b_size") <= _SHORT), (F.col("key") == F.col("b_key")) & alike)
+    long = lists.filter(F.col("size") >= _SHORT).join(other.filter(F.col("b_size") >= _SHORT), (F.col("key") == F.col("b_key")) & alike & (longer > _SHORT))
+    pairs = short.filter(F.levenshtein(a, b, 1) == 1).unionByName(long.filter(_is_near(a, b)))
     return save(pairs.select(F.col("word").alias("a"), F.col("n").alias("an"), F.col("b_word").alias("b"), F.col("b_n").alias("bn")).distinct(), "near-words")
 
 

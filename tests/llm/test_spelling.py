@@ -130,3 +130,14 @@ def test_grams_must_leave_room(spark):
     with pytest.raises(ValueError, match="as long as"):
         near_words(spark.createDataFrame([("abcdefg", 2)], "word string, n bigint"), least_length=6)
     assert spelling.SHORTEST + spelling.LONGEST <= spelling.LEAST_LENGTH
+
+
+def test_pairs_on_both_sides_of_the_length_of_the_short_way(spark):
+    random = np.random.default_rng(3)
+    words = {}
+    for size in range(spelling._SHORT - 2, spelling._SHORT + 3):
+        word = "".join(random.choice(list("abcé"), size))
+        for at in (0, size // 2, size - 1):
+            words |= {word: 500, word[:at] + word[at + 1 :]: 20, word[:at] + "z" + word[at + 1 :]: 30, word[:at] + "y" + word[at:]: 40}
+    found = variants(spark.createDataFrame(list(words.items()), "word string, n bigint"))
+    assert rows(found) == plain(words) and any(form for _, _, _, form, _, _ in rows(found))
