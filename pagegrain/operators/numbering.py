@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import quoted
 
-# Sampled keys for each bucket, and the most buckets (the bucket expression grows with them).
+# Sampled keys for each bucket, and the most buckets.
 SAMPLE = 64
 MOST = 512
 
@@ -30,17 +30,15 @@ class Key:
         column = F.col(f"`{self.name}`")
         return column.asc() if self.ascending else column.desc()
 
-    def after(self, value) -> Column:
+    def after(self, value: Column) -> Column:
         """True where the row comes strictly after a value in this column."""
         column = F.col(f"`{self.name}`")
-        if value is None:
-            return column.isNotNull() if self.ascending else F.lit(False)
         if self.ascending:
-            return F.coalesce(column > F.lit(value), F.lit(False))
-        return column.isNull() | F.coalesce(column < F.lit(value), F.lit(False))
+            return (value.isNull() & column.isNotNull()) | F.coalesce(column > value, F.lit(False))
+        return value.isNotNull() & (column.isNull() | F.coalesce(column < value, F.lit(False)))
 
-    def equal(self, value) -> Column:
-        return F.col(f"`{self.name}`").eqNullSafe(F.lit(value))
+    def equal(self, value: Column) -> Column:
+        return F.col(f"`{self.name}`").eqNullSafe(value)
 
 
 def sorts(order: list[Key]) -> list[Column]:
@@ -57,22 +55,27 @@ def split_points(df: DataFrame, order: list[Key]) -> list[tuple]:
     return list(dict.fromkeys(rows[len(rows) * n // parts] for n in range(1, parts) if rows))
 
 
-def bucket_column(order: list[Key], splits: list[tuple]) -> Column:
-    """How many split points a row reaches, found by halving."""
+def bucket_column(df: DataFrame, order: list[Key], splits: list[tuple]) -> Column:
+    """How many split points a row reaches, found by halving.
 
-    def reaches(split: tuple) -> Column:
-        out = F.lit(True)
-        for key, value in reversed(list(zip(order, split, strict=True))):
+    The split points are one literal array and every step of the search is the same expression, so the plan does not
+    grow with their number.
+    """
+    if not splits:
+        return F.lit(0)
+    types = [df.schema[key.name].dataType for key in order]
+    fields = [[F.lit(v).cast(t).alias(f"k{n}") for n, (v, t) in enumerate(zip(split, types, strict=True))] for split in splits]
+    known = F.array(*[F.struct(*one) for one in fields])
+
+    def reached(low: Column, step: Column) -> Column:
+        split, out = F.get(known, low + step - 1), F.lit(True)
+        for n, key in reversed(list(enumerate(order))):
+            value = split.getField(f"k{n}")
             out = key.after(value) | (key.equal(value) & out)
-        return out
-
-    def between(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high + 1) // 2
-        return F.when(reaches(splits[middle - 1]), between(middle, high)).otherwise(between(low, middle - 1))
+        return F.when((low + step <= len(splits)) & out, low + step).otherwise(low)
 
-    return between(0, len(splits))
+    steps = [1 << n for n in reversed(range(len(splits).bit_length()))]
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), reached)
 
 
 def numbered(df: DataFrame, order: list[Key], name: str = "position", start: int = 1) -> DataFrame:
@@ -81,7 +84,7 @@ def numbered(df: DataFrame, order: list[Key], name: str = "position", start: int
     A row's position is the number of rows in earlier buckets and its place within its own. ``order`` has to be total (end it
     with a key), which also lets a hot sort value spread over buckets.
     """
-    bucketed = df.withColumn("_bucket", bucket_column(order, split_points(df, order)))
+    bucketed = df.withColumn("_bucket", bucket_column(df, order, split_points(df, order)))
     counts = bucketed.groupBy(F.col("_bucket").alias("_of")).agg(F.count(F.lit(1)).alias("_rows"))
     # one row for each bucket
     before = Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
@@ -98,7 +101,7 @@ def positions_between(df: DataFrame, order: list[Key], offset: int, limit: int =
     The rows of each bucket are counted (one number for each bucket reaches the driver). Buckets outside are filtered
     away, buckets wholly inside are kept as they are; only the one or two at the ends are sorted.
     """
-    bucketed = df.withColumn("_bucket", bucket_column(order, split_points(df, order)))
+    bucketed = df.withColumn("_bucket", bucket_column(df, order, split_points(df, order)))
     counts = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")).collect()
     end = offset + limit if limit else None
     whole, cut, before = [], {}, 0
@@ -130,7 +133,7 @@ def with_previous(df: DataFrame, keys: list[str], by: str, name: str) -> DataFra
     """
     names, row = [*keys, by], F.struct(*quoted(df.columns))
     order = [Key(n) for n in names]
-    bucketed = df.withColumn("_bucket", bucket_column(order, split_points(df, order)))
+    bucketed = df.withColumn("_bucket", bucket_column(df, order, split_points(df, order)))
     tails = bucketed.groupBy(F.col("_bucket").alias("_of")).agg(F.max_by(row, F.struct(*names)).alias("_tail"))
     # one row for each bucket
     carried = tails.select("_of", F.lag("_tail").over(Window.orderBy("_of")).alias("_carried"))

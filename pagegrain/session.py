@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -45,3 +46,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if not context.master.startswith("local"):
         raise StructureError("set spark.checkpoint.dir to a folder shared by all executors")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="pagegrain-checkpoint-"))
+
+
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """Path of a new folder next to the checkpoints, which every executor can reach."""
+    ensure_checkpoint_dir(spark)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"

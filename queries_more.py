@@ -9,8 +9,9 @@ from oracle_views import num, sql
 from pagegrain import ColumnType, Params, Schema, SearchSpec, bind, column, register_type, search
 from pagegrain.functions.text import compare
 from pagegrain.operators import assignment, nested, revisions
+from pagegrain.session import scratch_folder
 from pagegrain.sources.registry import Registry
-from pagegrain.streaming.ingest import first_arrived
+from pagegrain.streaming.ingest import first_arrived, latest_pages, start_ingest, start_latest
 from queries_jobs import FEB_01, JAN_10, JAN_20
 
 QUERIES, ORACLE = {}, {}
@@ -230,3 +231,37 @@ def versions_at(spark, sf_dir):
     )
     empty = Registry.empty(spark)
     return Registry(schemas, empty.types, empty.schema_cols).versions_at(120).select("tbl", "id", "ts")
+
+
+# Runs of the streams, one after another.
+ARRIVALS = 3
+
+
+@register(
+    "q99_stream_latest",
+    f"""WITH came AS (SELECT 'user:'||user_id AS pid, event_id % 1000 AS rev, event_id % {ARRIVALS} AS run, event_type AS action,
+            CASE WHEN event_id % 50 = 7 THEN 'none' ELSE printf('%.2f', value) END AS amount FROM events),
+        kept AS (SELECT pid, rev, min((run, action, amount)) AS first FROM came WHERE rev > 0 AND amount <> 'none' GROUP BY pid, rev)
+        SELECT pid, max(rev) AS rev, max_by(struct_extract(first, 2), rev) AS action, max_by(struct_extract(first, 3), rev) AS amount FROM kept GROUP BY pid""",
+)
+def stream_latest(spark, sf_dir):
+    """Events arrive in three runs of the streams: revisions come late, come again, and every fiftieth event is faulty."""
+    folder = scratch_folder(spark, "stream")
+    events = catalog.table(spark, sf_dir, "events")
+    fields = "pid string, rev bigint, action string, amount string"
+    amount = F.when(F.col("event_id") % 50 == 7, F.lit("none")).otherwise(F.expr(catalog.money("value")))
+    for run in range(ARRIVALS):
+        events.filter(F.col("event_id") % ARRIVALS == run).select(
+            F.concat(F.lit("user:"), "user_id").alias("pid"), (F.col("event_id") % 1000).alias("rev"), F.col("event_type").alias("action"), amount.alias("amount")
+        ).write.mode("append").parquet(f"{folder}/inbox")
+        stream = spark.readStream.schema(fields).parquet(f"{folder}/inbox")
+        start_ingest(stream, catalog.USER, f"{folder}/log", f"{folder}/progress").awaitTermination()
+        start_latest(spark, catalog.USER, f"{folder}/log", f"{folder}/latest", f"{folder}/latest-progress").awaitTermination()
+    return latest_pages(spark, f"{folder}/latest")
+
+
+@register("q96_deep_page", sql("d_order", f"SELECT pid, status, total FROM d_order ORDER BY {num('total')} DESC, pid OFFSET 777"))
+def deep_page(spark, sf_dir):
+    """All orders from a place on, without a limit."""
+    spec = SearchSpec(("order",), ("status", "total"), sorts=("^total",), offset=777)
+    return search(catalog.open_store(spark, sf_dir), spec).drop("rid", "rev")

@@ -1,7 +1,7 @@
 import json
 
 from pagegrain.operators import revisions
-from pagegrain.streaming.ingest import compact, read_log, start_ingest
+from pagegrain.streaming.ingest import compact, last_batch, latest_pages, read_log, start_ingest, start_latest
 
 FIELDS = "pid string, rev bigint, a string, n string, l array<string>"
 
@@ -46,3 +46,31 @@ def test_ingest(make, spark, tmp_path):
     again, _ = compact(store, "s", log)
     assert again.count() == data.count()
     assert {r["pid"]: r["a"] for r in revisions.records(store, "s").collect()} == {"p": "new", "q": "q3"}
+
+
+def test_latest_state_over_restarts(make, spark, tmp_path):
+    schema = make.schema("s", "a", ("n", "Decimal"), "l[]")
+    inbox, log, state = tmp_path / "inbox", str(tmp_path / "log"), str(tmp_path / "state")
+    inbox.mkdir()
+
+    def run():
+        stream = spark.readStream.schema(FIELDS).json(str(inbox))
+        start_ingest(stream, schema, log, str(tmp_path / "progress")).awaitTermination()
+        start_latest(spark, schema, log, state, str(tmp_path / "state-progress")).awaitTermination()
+        return {r["pid"]: (r["rev"], r["a"], r["n"], r["l"]) for r in latest_pages(spark, state).collect()}
+
+    feed(inbox, "1.json", ("p", 9, "nine", "2", ["y", "z"]), ("q", 3, "b", "1", []), ("q", 3, "a", "1", []))
+    first = {"p": (9, "nine", "2", ["y", "z"]), "q": (3, "a", "1", [""])}
+    assert run() == first
+    feed(inbox, "2.json", ("p", 7, "late", "1", ["z"]), ("p", 9, "repeated", "9", []), ("q", 8, "faulty", "x", []))
+    assert run() == first
+    feed(inbox, "3.json", *[("q", n, f"q{n}", "1", []) for n in range(4, 90)], ("r", 1, "", "", []))
+    second = {"p": first["p"], "q": (89, "q89", "1", [""]), "r": (1, "", "", [""])}
+    assert run() == second
+    # nothing new
+    assert run() == second
+    changed = spark.read.parquet(state).groupBy("batch").count().collect()
+    assert sorted(r["count"] for r in changed)[-1] <= 2
+    base, newest = latest_pages(spark, state).filter("pid <> 'q'"), last_batch(spark, state)
+    assert {r["pid"] for r in latest_pages(spark, state, base, newest).collect()} == {"p", "r"}
+    assert {r["pid"] for r in latest_pages(spark, state, base, newest - 1).collect()} == {"p", "q", "r"}
