@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,28 +27,87 @@ from ..plans.spec import SearchSpec
 from ..store import Store
 
 KINDS = ("page", "global", "serial")
-
-
-def read_rows(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """Raw rows of CSV files, all text, with ``line``: a unique number in reading order.
-
-    Empty cells are empty texts; a cell is NULL only where a row is too short to have it.
-    ``multiline`` allows line breaks inside quotes; without them switch it off, and large files are
-    read in splits.
+LINE = "line"
+# Headers read at a time.
+READERS = 16
+
+
+def _header(spark: SparkSession, conf, file: str, multiline: bool) -> tuple[str, ...]:
+    """The cells of a file's first line; none in an empty file."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+    stream = path.getFileSystem(conf).open(path)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+        reader = jvm.org.apache.hadoop.util.LineReader(codec.createInputStream(stream) if codec else stream)
+        line, text = jvm.org.apache.hadoop.io.Text(), ""
+        while reader.readLine(line):
+            text += line.toString() + "\n"
+            if not multiline or text.count('"') % 2 == 0:
+                break
+    finally:
+        stream.close()
+    return tuple(next(csv.reader(io.StringIO(text.removeprefix("\ufeff"), newline="")), ()))
+
+
+def files_by_header(spark: SparkSession, path: str, multiline: bool = False) -> dict[tuple[str, ...], list[str]]:
+    """The CSV files of a path by the cells of their first lines. Only those lines are read, one for each file."""
+    files = sorted(spark.read.text(path).inputFiles())
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    with ThreadPoolExecutor(READERS) as pool:
+        headers = list(pool.map(lambda file: _header(spark, conf, file, multiline), files))
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file, header in zip(files, headers, strict=True):
+        if header:
+            groups.setdefault(header, []).append(unquote(file))
+    return groups
+
+
+def _labels(header: tuple[str, ...]) -> dict[str, int]:
+    """Names with their places. Of equal ones, whatever their case, the first counts; blank names and ``line`` are left out."""
+    seen = {"", LINE}
+    return {name: n for n, name in enumerate(header) if not (name.lower() in seen or seen.add(name.lower()))}
+
+
+def read_rows(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """Raw rows of CSV files, all text, with ``line``: a unique text for each row that sorts in reading order, by file, then by place in it.
+
+    Every file has a header of its own; the cells go to the names there, and files with one header are one scan. A
+    column that a file does not have is empty in its rows. Empty cells are empty texts; a cell is NULL only where
+    a row is too short to have it. Large files are read in splits. ``multiline`` allows line breaks inside quotes; then
+    a file is read as a whole.
     """
-    read = spark.read.option("header", True).option("quote", '"').option("escape", '"')
-    read = read.option("multiLine", multiline)
-    names = read.csv(path).columns
+    groups = files_by_header(spark, path, multiline)
+    if not groups:
+        raise StructureError("the CSV has no header")
+    # names that differ in case are one column, spelt as in the first file
+    names = {}
+    for header in groups:
+        names |= {name.lower(): names.get(name.lower(), name) for name in _labels(header)}
+    frames = [_scan(spark, header, files, names, multiline) for header, files in groups.items()]
+    return reduce(DataFrame.unionByName, frames)
+
+
+def _scan(spark: SparkSession, header: tuple[str, ...], files: list[str], names: dict[str, str], multiline: bool) -> DataFrame:
     # a row with another number of cells than the header is handed over as it stands as well
     whole = "_whole_row"
-    schema = StructType([StructField(name, StringType()) for name in (*names, whole)])
-    rows = read.schema(schema).option("columnNameOfCorruptRecord", whole).csv(path)
-    short = F.col(whole).isNotNull() & F.col(f"`{names[-1]}`").isNull()
-    cells = []
-    for name in names:
-        cell = F.col(f"`{name}`")
-        cells.append(F.when(short | cell.isNotNull(), cell).otherwise(F.lit("")).alias(name))
-    return rows.select(*cells, F.monotonically_increasing_id().alias("line"))
+    fields = [StructField(f"_{n}", StringType()) for n in range(len(header))]
+    read = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", multiline)
+    # with columns left out Spark does not see that a row is short
+    read = read.option("columnPruning", False).schema(StructType([*fields, StructField(whole, StringType())]))
+    rows = read.option("columnNameOfCorruptRecord", whole).csv(files)
+    short = F.col(whole).isNotNull() & F.col(fields[-1].name).isNull()
+    places, cells = {name.lower(): n for name, n in _labels(header).items()}, []
+    for name, spelt in names.items():
+        if name not in places:
+            cells.append(F.lit("").alias(spelt))
+            continue
+        cell = F.col(f"_{places[name]}")
+        cells.append(F.when(short | cell.isNotNull(), cell).otherwise(F.lit("")).alias(spelt))
+    # a split is read by one task from its first row to its last; the id's lower 33 bits count the task's rows
+    offset = F.lpad(F.col("_metadata.file_block_start").cast("string"), 15, "0")
+    place = F.lpad(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).cast("string"), 10, "0")
+    return rows.select(*cells, F.concat_ws(":", "_metadata.file_path", offset, place).alias(LINE))
 
 
 def multi_cell(cell: Column) -> Column:

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 import catalog
 from oracle_views import num, sql
-from pagegrain import ColumnType, Params, Schema, SearchSpec, bind, column, register_type, search
+from pagegrain import ColumnType, Params, Schema, SearchSpec, Store, bind, column, register_type, search
 from pagegrain.functions.text import compare
 from pagegrain.operators import assignment, nested, revisions
 from pagegrain.session import scratch_folder
+from pagegrain.sources import csv_files
 from pagegrain.sources.registry import Registry
 from pagegrain.streaming.ingest import first_arrived, latest_pages, start_ingest, start_latest
 from queries_jobs import FEB_01, JAN_10, JAN_20
@@ -265,3 +266,43 @@ def deep_page(spark, sf_dir):
     """All orders from a place on, without a limit."""
     spec = SearchSpec(("order",), ("status", "total"), sorts=("^total",), offset=777)
     return search(catalog.open_store(spark, sf_dir), spec).drop("rid", "rev")
+
+
+INBOUND = Schema(
+    "inbound",
+    (column(1, "status", "Text"), column(2, "total", "Decimal"), column(3, "placed", "Date"), column(4, "flags", "Text", multi=True)),
+)
+
+
+@register(
+    "q93_csv_files",
+    sql(
+        "d_order",
+        """SELECT pid, CASE WHEN k % 3 = 0 AND NOT again THEN status ELSE '' END AS status, CASE WHEN k % 3 = 2 THEN '' ELSE total END AS total,
+               CASE WHEN k % 3 = 0 AND NOT again THEN '' ELSE placed END AS placed, CASE WHEN k % 3 = 2 THEN status||','||priority ELSE '' END AS flags
+           FROM k WHERE k % 10 <> 0
+           UNION ALL SELECT 'Page "'||pid||'" already imported', NULL, NULL, NULL, NULL FROM k WHERE k % 33 = 0 AND k % 17 <> 0""",
+        k="SELECT *, rev - 1 AS k, (rev - 1) % 33 = 0 AND (rev - 1) % 17 = 0 AS again FROM d_order",
+    ),
+)
+def several_csv_files(spark, sf_dir):
+    """Three folders of CSV files with headers of their own. Every 33rd order is in two of them: the first row counts for a page that exists,
+    the last for one that the import creates. The readers' view of what was loaded, and the refused rows."""
+    folder, orders = scratch_folder(spark, "csv"), catalog.orders(spark, sf_dir)
+    key, status, priority, total, placed = F.col("rev") - 1, F.col("col1"), F.col("col2"), F.col("col3"), F.col("col4")
+    parts = [
+        orders.filter(key % 3 == 0).select("pid", status.alias("status"), total.alias("total")),
+        orders.filter((key % 3 == 1) | (key % 33 == 0)).select(total.alias("Total"), "pid", F.lit("x").alias("remark"), placed.alias("placed")),
+        orders.filter(key % 3 == 2).select(placed.alias("PLACED"), F.concat_ws(",", status, priority).alias("flags"), "pid"),
+    ]
+    for number, part in enumerate(parts):
+        csv_files.write_rows(part, f"{folder}/{number}")
+    store = Store(spark, pages=catalog.order_pages(spark, sf_dir))
+    meta = "pid string, rid bigint, rev bigint, latest int, published int"
+    data = spark.createDataFrame([], f"{meta}, col1 string, col2 string, col3 string, col4 string")
+    store.add(INBOUND, data, spark.createDataFrame([], f"colref int, {meta}, row bigint, value string"))
+    rows = csv_files.read_rows(spark, f"{folder}/*")
+    grown, bad = csv_files.import_csv(store, "inbound", rows, "page", ts=JAN_10, create_pages=True)
+    found = search(grown, SearchSpec(("inbound",), ("status", "total", "placed", "flags"))).withColumn("flags", F.array_join("flags", ","))
+    none = [F.lit(None).cast("string").alias(c) for c in ("status", "total", "placed", "flags")]
+    return found.drop("rid", "rev").unionByName(bad.select(F.col("errors")[0].alias("pid"), *none))

@@ -13,8 +13,8 @@ from pagegrain.sources.registry import Registry
 
 
 @pytest.fixture
-def schema1(make):
-    return make.schema("schema1", "first", "second[]", "third", "fourth")
+def tools(make):
+    return make.schema("tools", "name", "uses[]", "shelf", "remark")
 
 
 def write(tmp_path, text):
@@ -38,7 +38,7 @@ def test_page_import(make, spark, tmp_path):
         "Kiel,fleet:gull,,9,Gull,Di\n"
         "Emden,fleet:tern\n"
         '"Emden\nharbour",fleet:tern,"",,Tern,\n'
-    )))
+    )), multiline=True)
     grown, bad = csv_files.import_csv(store, "boats", raw, "page", ts=80)
     found = {r["pid"]: tuple(r)[3:] for r in records(grown, "boats").collect()}
     assert found == {
@@ -64,12 +64,46 @@ def test_created_pages_exist_afterwards(make, spark, tmp_path):
     assert levels["fleet:eider"] == 4 and set(levels) == {"fleet:eider", "fleet:gull"}
 
 
-def test_unchanged_rows_make_no_revision(make, spark, schema1, tmp_path):
-    store = make.pages(schema1, p=("a", ["b"], "c", "d"), q=("a", ["b"], "c", "d"))
-    raw = csv_files.read_rows(spark, write(tmp_path, "pid,first,second,third,fourth\np,a,b,c,d\nq,a,b,c,other\n"))
-    grown, bad = csv_files.import_csv(store, "schema1", raw, "page", ts=50)
+def test_files_with_headers_of_their_own(make, spark, tmp_path):
+    folder = tmp_path / "in box"
+    folder.mkdir()
+    (folder / "a.csv").write_text("\ufeffpid,name,name\nfleet:tern,Tern,x\nfleet:gull,Gull,x\nfleet:auk\n")
+    (folder / "b.csv").write_text('port,"PID",Name,line\nKiel,fleet:tern,Tern II,7\nEmden,fleet:skua,Skua,8\n')
+    (folder / "c.csv").write_text("")
+    (folder / "d.csv").write_text("port,pid,name\n" + "".join(f"Husum,fleet:gull,Gull {n}\n" for n in range(300)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    try:
+        rows = csv_files.read_rows(spark, str(folder))
+        assert rows.columns == ["pid", "name", "port", "line"] and rows.rdd.getNumPartitions() > 8
+        ordered = [tuple(r)[:3] for r in sorted(rows.collect(), key=lambda r: r["line"])]
+        assert ordered[:5] == [
+            ("fleet:tern", "Tern", ""), ("fleet:gull", "Gull", ""), ("fleet:auk", None, ""),
+            ("fleet:tern", "Tern II", "Kiel"), ("fleet:skua", "Skua", "Emden"),
+        ]
+        assert ordered[5:] == [("fleet:gull", f"Gull {n}", "Husum") for n in range(300)]
+        boats = make.schema("boats", "name", "port")
+        store = make.pages(boats)
+        store.pages = make.frame("pid string, exists int, access_level int", ("fleet:tern", 1, 1))
+        grown, bad = csv_files.import_csv(store, "boats", rows, "page", ts=80, create_pages=True)
+        found = search(grown, SearchSpec(("boats",), ("name", "port"))).collect()
+        # the first row of a page that exists, the last of one that is made
+        assert {r["pid"]: (r["name"], r["port"]) for r in found} == {
+            "fleet:tern": ("Tern", ""), "fleet:skua": ("Skua", "Emden"), "fleet:gull": ("Gull 299", "Husum"),
+        }
+        assert sorted(r["errors"][0] for r in bad.collect()) == ['Page "fleet:tern" already imported', "missing field name"]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    with pytest.raises(StructureError):
+        csv_files.read_rows(spark, str(folder / "c.csv"))
+
+
+def test_unchanged_rows_make_no_revision(make, spark, tools, tmp_path):
+    store = make.pages(tools, p=("a", ["b"], "c", "d"), q=("a", ["b"], "c", "d"))
+    raw = csv_files.read_rows(spark, write(tmp_path, "pid,name,uses,shelf,remark\np,a,b,c,d\nq,a,b,c,other\n"))
+    grown, bad = csv_files.import_csv(store, "tools", raw, "page", ts=50)
     assert bad.count() == 0
-    assert sorted((r["pid"], r["rev"]) for r in grown.data("schema1").collect()) == [("p", 10), ("q", 10), ("q", 50)]
+    assert sorted((r["pid"], r["rev"]) for r in grown.data("tools").collect()) == [("p", 10), ("q", 10), ("q", 50)]
 
 
 def test_global_and_serial_import(make, spark, tmp_path):
@@ -89,40 +123,40 @@ def test_global_and_serial_import(make, spark, tmp_path):
     assert {r["pid"] for r in serial.data("s").collect() if r["rid"] > 4} == {"page_one"}
 
 
-def test_import_needs_columns(make, spark, schema1, tmp_path):
-    store = make.pages(schema1)
-    raw = csv_files.read_rows(spark, write(tmp_path, "first\nx\n"))
+def test_import_needs_columns(make, spark, tools, tmp_path):
+    store = make.pages(tools)
+    raw = csv_files.read_rows(spark, write(tmp_path, "name\nx\n"))
     with pytest.raises(StructureError):
-        csv_files.import_columns(store, "schema1", raw, "page")
+        csv_files.import_columns(store, "tools", raw, "page")
     raw = csv_files.read_rows(spark, write(tmp_path, "pid,other\nx,y\n"))
     with pytest.raises(StructureError):
-        csv_files.import_columns(store, "schema1", raw, "page")
+        csv_files.import_columns(store, "tools", raw, "page")
 
 
-def test_export_and_import_again(make, spark, schema1, tmp_path):
+def test_export_and_import_again(make, spark, tools, tmp_path):
     cells = {"a": ('quo"te', ["x", "y"], "1,2", "line\nbreak"), "b": ("", [], "z", "")}
-    store = make.pages(schema1, **cells)
-    csv_files.export_schema(store, "schema1", "page", str(tmp_path / "out"))
+    store = make.pages(tools, **cells)
+    csv_files.export_schema(store, "tools", "page", str(tmp_path / "out"))
     files = [p.read_bytes() for p in (tmp_path / "out").glob("part-*")]
     whole = b"".join(files)
-    assert b'"pid","first","second","third","fourth"\r\n' in whole
+    assert b'"pid","name","uses","shelf","remark"\r\n' in whole
     assert b'"a","quo""te","x,y","1,2","line\r\nbreak"\r\n' in whole
     assert b'"b","","","z",""\r\n' in whole
-    empty = make.pages(schema1)
-    raw = csv_files.read_rows(spark, str(tmp_path / "out"))
-    grown, bad = csv_files.import_csv(empty, "schema1", raw, "page", ts=3)
+    empty = make.pages(tools)
+    raw = csv_files.read_rows(spark, str(tmp_path / "out"), multiline=True)
+    grown, bad = csv_files.import_csv(empty, "tools", raw, "page", ts=3)
     assert bad.count() == 0
-    assert {r["pid"]: tuple(r)[3:] for r in records(grown, "schema1").collect()} == {
+    assert {r["pid"]: tuple(r)[3:] for r in records(grown, "tools").collect()} == {
         "a": cells["a"], "b": ("", [], "z", ""),
     }
 
 
-def test_table_export_ignores_paging(make, schema1, spark, tmp_path):
-    store = make.pages(schema1, a=("1", [], "", ""), b=("2", ["x", "y"], "", ""))
-    spec = SearchSpec(("schema1",), ("first", "second"), sorts=("^first",), limit=1, offset=1)
+def test_table_export_ignores_paging(make, tools, spark, tmp_path):
+    store = make.pages(tools, a=("1", [], "", ""), b=("2", ["x", "y"], "", ""))
+    spec = SearchSpec(("tools",), ("name", "uses"), sorts=("^name",), limit=1, offset=1)
     csv_files.export_table(store, spec, str(tmp_path / "out"))
     rows = spark.read.option("header", True).csv(str(tmp_path / "out")).collect()
-    assert sorted((r["first"], r["second"] or "") for r in rows) == [("1", ""), ("2", "x, y")]
+    assert sorted((r["name"], r["uses"] or "") for r in rows) == [("1", ""), ("2", "x, y")]
 
 
 # ---- validation ------------------------------------------------------------------------------------
@@ -161,22 +195,22 @@ def test_an_error_in_one_schema_blocks_the_page(make):
 
 
 def test_evolution():
-    first = evolve(None, "Test Schema-1", {}, [
-        {"label": " testcolumn", "class": "Text", "isenabled": True, "ismulti": False, "sort": 10},
-        {"label": "testcolumn", "class": "Text", "isenabled": True, "sort": 5},
+    first = evolve(None, "Tool List 2", {}, [
+        {"label": " grip", "class": "Text", "isenabled": True, "ismulti": False, "sort": 10},
+        {"label": "grip", "class": "Text", "isenabled": True, "sort": 5},
         {"label": "hidden", "class": "Text", "isenabled": False},
         {"label": " ", "class": "Text", "isenabled": True},
     ], ts=10)
-    assert first.schema.name == "testschema1" and first.added == [1, 2]
-    assert [(c.colref, c.label) for c in first.schema.columns] == [(2, "testcolumn1"), (1, "testcolumn")]
-    second = evolve(first.schema, "testschema1", {
+    assert first.schema.name == "toollist2" and first.added == [1, 2]
+    assert [(c.colref, c.label) for c in first.schema.columns] == [(2, "grip1"), (1, "grip")]
+    second = evolve(first.schema, "toollist2", {
         1: {"label": "renamed", "class": "Decimal", "isenabled": True, "ismulti": True, "sort": 1},
     }, [{"label": "added", "class": "Tag", "isenabled": True, "sort": 9}], ts=20)
     assert second.added == [3] and second.to_lists == [1]
     by_ref = {c.colref: c for c in second.schema.columns}
     assert by_ref[1].type.name == "Decimal" and by_ref[1].multi and by_ref[1].label == "renamed"
     assert not by_ref[2].enabled and by_ref[3].label == "added"
-    assert second.schema.find("RENAMED").colref == 1 and second.schema.find("testcolumn1") is None
+    assert second.schema.find("RENAMED").colref == 1 and second.schema.find("grip1") is None
 
 
 def test_data_follows_evolution(make):
@@ -227,30 +261,30 @@ def test_registry_versions(make, spark, tmp_path):
 # ---- stores on disk --------------------------------------------------------------------------------
 
 
-def test_store_round_trip_reads_only_latest(make, spark, schema1, tmp_path):
-    store = make.add(schema1, [
+def test_store_round_trip_reads_only_latest(make, spark, tools, tmp_path):
+    store = make.add(tools, [
         ("p", 0, 1, 0, None, "old", ["x"], "", ""),
         ("p", 0, 2, 1, None, "new", ["y"], "", ""),
     ])
     make.titles(("p", "P", "", 1, ""))
     tables.write_store(store, str(tmp_path / "store"))
-    again = tables.read_store(spark, str(tmp_path / "store"), [schema1], ("titles",))
-    found = search(again, SearchSpec(("schema1",), ("%title%", "first", "second")))
+    again = tables.read_store(spark, str(tmp_path / "store"), [tools], ("titles",))
+    found = search(again, SearchSpec(("tools",), ("%title%", "name", "uses")))
     assert [tuple(r)[3:] for r in found.collect()] == [("P", "new", ["y"])]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "latest" in plan.split("PartitionFilters")[1]
 
 
-def test_bucketed_tables_join_without_a_shuffle(make, spark, schema1):
-    store = make.pages(schema1, p=("a", ["x"], "", ""), q=("b", [], "", ""))
+def test_bucketed_tables_join_without_a_shuffle(make, spark, tools):
+    store = make.pages(tools, p=("a", ["x"], "", ""), q=("b", [], "", ""))
     make.titles(("p", "P", "bob", 1, ""))
     spark.sql("CREATE DATABASE IF NOT EXISTS bucketed")
     tables.save_bucketed(store, "bucketed", 4)
-    again = tables.open_tables(spark, "bucketed", [schema1], ("titles",))
+    again = tables.open_tables(spark, "bucketed", [tools], ("titles",))
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        found = search(again, SearchSpec(("schema1",), ("%lasteditor%", "first")))
+        found = search(again, SearchSpec(("tools",), ("%lasteditor%", "name")))
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan
         assert sorted(tuple(r)[3:] for r in found.collect()) == [("", "b"), ("bob", "a")]
@@ -264,33 +298,33 @@ def test_labels_with_dots_and_signs(make, spark, tmp_path):
     from pagegrain.operators.revisions import revision_changes, save_revisions
     from pagegrain.operators.rows import save_rows
 
-    schema = make.schema("schema_3", "first_field", "second field[]", "third%field", ("fourth.field?", "User"))
+    schema = make.schema("stock_7", "kind_of", "made by[]", "share%sold", ("last.seen?", "User"))
     store = make.pages(schema, p=("a", ["b", "c"], "d", "e"), q=("a", [], "x", "bob"))
-    everything = SearchSpec(("schema_3",), ("*",), sorts=("schema_3.fourth.field?",))
+    everything = SearchSpec(("stock_7",), ("*",), sorts=("stock_7.last.seen?",))
     assert [tuple(r)[3:] for r in search(store, everything).collect()] == [
         ("a", [], "x", "bob"), ("a", ["b", "c"], "d", "e"),
     ]
     # without its schema such a label reads as a qualified one
-    assert Search(store, SearchSpec(("schema_3",), ("first_field", "fourth.field?"))).output_names == ["first_field"]
-    tree = nested.nested(store, SearchSpec(("schema_3",), ("first_field", "schema_3.fourth.field?")), levels=1)
+    assert Search(store, SearchSpec(("stock_7",), ("kind_of", "last.seen?"))).output_names == ["kind_of"]
+    tree = nested.nested(store, SearchSpec(("stock_7",), ("kind_of", "stock_7.last.seen?")), levels=1)
     assert [tuple(r) for r in tree.collect()] == [(["a"], 1, "bob"), (["a"], 1, "e")]
     numbers = aggregate.with_row_numbers(store, everything).orderBy("row_number").collect()
     assert [tuple(r)[4:] for r in numbers][0] == ("a", [], "x", "bob")
-    assert aggregate.facets(store, everything).filter("`column` = 'fourth.field?'").count() == 2
+    assert aggregate.facets(store, everything).filter("`column` = 'last.seen?'").count() == 2
 
     users = make.frame("login string, name string", ("bob", "Bob"))
-    path = write(tmp_path, "pid,fourth.field?,second field\np,bob,\"k,l\"\nq,eve,m\n")
+    path = write(tmp_path, "pid,last.seen?,made by\np,bob,\"k,l\"\nq,eve,m\n")
     store.users = users
-    grown, bad = csv_files.import_csv(store, "schema_3", csv_files.read_rows(spark, path), "page", ts=20)
-    assert [r["errors"] for r in bad.collect()] == [["fourth.field?: unknown user eve"]]
-    found = records(grown, "schema_3").filter("pid = 'p'").first()
-    assert found["fourth.field?"] == "bob" and found["second field"] == ["k", "l"]
-    assert "fourth.field?" in {r["label"] for r in revision_changes(grown, "schema_3").collect()}
+    grown, bad = csv_files.import_csv(store, "stock_7", csv_files.read_rows(spark, path), "page", ts=20)
+    assert [r["errors"] for r in bad.collect()] == [["last.seen?: unknown user eve"]]
+    found = records(grown, "stock_7").filter("pid = 'p'").first()
+    assert found["last.seen?"] == "bob" and found["made by"] == ["k", "l"]
+    assert "last.seen?" in {r["label"] for r in revision_changes(grown, "stock_7").collect()}
 
     fresh = search(store, everything).drop("rev").withColumn("rid", F.lit(0)).withColumn("line", F.length("pid"))
-    data, _ = save_rows(store, "schema_3", fresh.withColumn("pid", F.lit("")).filter("`fourth.field?` = 'bob'"))
+    data, _ = save_rows(store, "stock_7", fresh.withColumn("pid", F.lit("")).filter("`last.seen?` = 'bob'"))
     assert data.filter("pid = ''").first()["col4"] == "bob"
     again = search(store, everything).drop("rid").withColumn("rev", F.lit(50))
-    data, _ = save_revisions(store, "schema_3", again)
+    data, _ = save_revisions(store, "stock_7", again)
     assert data.filter("latest = 1").count() == 2
     assert Search(store, everything).count().first()[0] == 2
