@@ -75,16 +75,26 @@ def save(df: DataFrame, label: str) -> DataFrame:
     A later step reads the table, so it does not repeat the work and sees the same rows after a loss.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
+    write(df, path)
+    if _recording:
+        _recording[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def write(df: DataFrame, path: str, *by: str) -> None:
+    """Writes a table, in folders by columns if any are given; shuffle files go once it is written."""
     with _settings(
-        spark,
+        df.sparkSession,
         spark__sql__classic__shuffleDependency__fileCleanup__enabled="true",
         spark__sql__parquet__compression__codec="zstd",
     ):
-        df.write.parquet(path)
-    if _recording:
-        _recording[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+        df.write.partitionBy(*by).parquet(path)
 
 
 @contextmanager

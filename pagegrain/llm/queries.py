@@ -8,14 +8,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegrain.llm.common import shared_folder
+from pagegrain.llm.common import new_path, shared_folder
 from pagegrain.llm.contamination import contamination
 from pagegrain.llm.language import identify
 from pagegrain.llm.licenses import scan
 from pagegrain.llm.line_index import remove_repeated_lines
 from pagegrain.llm.neighbours import nearest
 from pagegrain.llm.packing import pack
-from pagegrain.llm.sharding import external_shuffle
+from pagegrain.llm.sharding import write_shards
 from pagegrain.llm.simhash import near_duplicates
 from pagegrain.llm.spelling import spelling_variants
 from pagegrain.llm.substring import remove_repeated_words
@@ -90,10 +90,12 @@ def op8_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = external_shuffle(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = write_shards(_table(spark, sf_dir, "documents").select("doc_id", "text"), new_path(spark, "shards"))
+    data = F.coalesce(F.col("doc.text").cast("binary"), F.lit(b""))
     return found.select(
-        "doc.doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
-    )
+        "doc.doc_id", (F.octet_length(data) + 1).cast("bigint").alias("size"), F.crc32(data).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
