@@ -97,13 +97,18 @@ def write(df: DataFrame, path: str, *by: str) -> None:
         df.write.partitionBy(*by).parquet(path)
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a table that this run has written."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 @contextmanager
 def stage_tables(spark: SparkSession, stage: str, before: str | None):
     """Notes the tables that a stage saves, and deletes those of the stage before, whose result is a table of its own by now."""
     application = spark.sparkContext.applicationId
     for path in _stage_tables.pop((application, before), []):
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        drop(spark, path)
     _recording.append([])
     try:
         yield

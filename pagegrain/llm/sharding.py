@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagegrain.llm.common import save, utf8, whole, write
+from pagegrain.llm.common import drop, new_path, save, utf8, whole, write
 
 SHARDS = 8
 SEED = 42
@@ -25,14 +25,15 @@ BUCKET_ROWS = 1 << 18
 FILE = 256 << 20
 
 
-def _deal(docs: DataFrame, text: str, shards: int, seed: int, bucket: int, bucket_rows: int) -> tuple[DataFrame, DataFrame, int, int]:
-    """The records (row, doc, size, crc), the place of each (of_row, shard, slot), their number and their bytes."""
+def _deal(docs: DataFrame, text: str, shards: int, seed: int, bucket: int, bucket_rows: int, records: str) -> tuple[DataFrame, DataFrame, int, int]:
+    """The records (row, doc, size, crc; written to ``records``), the place of each (of_row, shard, slot), their number and their bytes."""
     spark = docs.sparkSession
     data = utf8(F.col(f"doc.`{text}`"))
     rows = whole(docs).select(
         F.monotonically_increasing_id().alias("row"), "doc", (F.octet_length(data) + 1).cast("bigint").alias("size"), F.crc32(data).alias("crc")
     )
-    rows = save(rows, "records")
+    write(rows, records)
+    rows = spark.read.schema(rows.schema).parquet(records)
     total, size = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     count = max(1, -(-size // bucket), -(-total // bucket_rows))
     scattered = rows.select("row", F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(count)).alias("bucket"))
@@ -61,7 +62,7 @@ def external_shuffle(
     value gathers in a bucket; an empty table gives no rows. The order depends on the seed, the rows' places in
     the input files and the number of shuffle partitions.
     """
-    rows, dealt, _, _ = _deal(docs, text, shards, seed, bucket, bucket_rows)
+    rows, dealt, _, _ = _deal(docs, text, shards, seed, bucket, bucket_rows, new_path(docs.sparkSession, "records"))
     return rows.join(dealt, F.col("row") == F.col("of_row")).select("doc", "size", "crc", "shard", "slot")
 
 
@@ -71,12 +72,19 @@ def write_shards(
 ) -> DataFrame:
     """Writes the shuffled records (``doc``, ``slot``) to ``path/shard=N``: one file for each range of slots, sorted, of about ``file_bytes``
     of text. Returns the table as reread: ``doc``, ``slot``, ``shard``. Cases as in :func:`external_shuffle`; an empty table makes an empty one."""
-    rows, dealt, total, size = _deal(docs, text, shards, seed, bucket, bucket_rows)
+    spark = docs.sparkSession
+    records, scattered = new_path(spark, "records"), new_path(spark, "scattered")
+    rows, dealt, total, size = _deal(docs, text, shards, seed, bucket, bucket_rows, records)
     files, each = max(1, -(-size // (shards * file_bytes))), max(1, -(-total // shards))
     part = F.col("shard") * files + F.floor(F.col("slot") * files / each).cast("int")
     placed = dealt.withColumn("part", part.cast("int"))
     joined = rows.select("row", "doc").join(placed, F.col("row") == F.col("of_row"))
-    ordered = joined.repartitionById(shards * files, F.col("part")).sortWithinPartitions("shard", "slot")
-    ordered = ordered.select("doc", "slot", "shard")
+    # written between the two shuffles of the texts, so that only one of them is on disk at a time
+    joined = joined.select("doc", "slot", "shard", "part")
+    write(joined, scattered)
+    drop(spark, records)
+    ordered = spark.read.schema(joined.schema).parquet(scattered).repartitionById(shards * files, F.col("part"))
+    ordered = ordered.sortWithinPartitions("shard", "slot").select("doc", "slot", "shard")
     write(ordered, path, "shard")
-    return docs.sparkSession.read.schema(ordered.schema).parquet(path)
+    drop(spark, scattered)
+    return spark.read.schema(ordered.schema).parquet(path)

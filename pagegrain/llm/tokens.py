@@ -143,8 +143,9 @@ def tokenized(docs: DataFrame, tokenizer: str, text: str = "text", id: str = "do
 _LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
 
-def pack(values: np.ndarray, sizes: np.ndarray) -> tuple[bytes, bytes]:
-    """Control and data bytes of some arrays of unsigned 32-bit values that stand one after another."""
+def pack(values: np.ndarray, sizes: np.ndarray | None = None) -> tuple[bytes, bytes]:
+    """Control and data bytes of some arrays of unsigned 32-bit values that stand one after another; without sizes of one array."""
+    sizes = np.array([len(values)]) if sizes is None else sizes
     lengths = 1 + (values > 0xFF) + (values > 0xFFFF) + (values > 0xFFFFFF)
     slots = -(-sizes // 4) * 4
     places = np.arange(int(slots.sum())) - np.repeat(np.cumsum(slots) - slots, slots)
