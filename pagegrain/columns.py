@@ -9,6 +9,7 @@ New types derive from :class:`ColumnType` and are made known with :func:`registe
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from typing import TYPE_CHECKING
 
@@ -23,6 +24,7 @@ from .functions.text import (
     beyond_double,
     compare,
     compare_numbers,
+    exact_number,
     is_blank,
     is_number,
     nocase,
@@ -85,6 +87,14 @@ class Forms:
     compare: Column
 
 
+@dataclass(frozen=True)
+class Side:
+    """The compared form of a cell and how an operand gets the same form."""
+
+    value: Column
+    of_operand: Callable[[Column], Column] = operand
+
+
 def same_forms(value: Column) -> Forms:
     return Forms(value, value, value)
 
@@ -118,6 +128,15 @@ class ColumnType:
         """One comparison with one operand (a text or a text column)."""
         return compare(cell.value, comparator, value)
 
+    def sides(self, relation: Relation, cell: Cell) -> list[Side]:
+        """What ``=``, ``!=``, ``<`` … of :meth:`predicate` compare; any of the sides may hold."""
+        return [Side(cell.value)]
+
+    def known_sides(self, relation: Relation, cell: Cell) -> list[Side] | None:
+        """:meth:`sides`, but None for a type that changes its comparisons without saying what they compare."""
+        changed = next(kind for kind in type(self).__mro__ if "predicate" in vars(kind))
+        return self.sides(relation, cell) if "sides" in vars(changed) else None
+
     def matches(self, relation: Relation, cell: Cell, comparator: str, value) -> Column | None:
         """A comparison with one operand or any of several."""
         if not isinstance(value, (list, tuple)):
@@ -163,6 +182,9 @@ class _Affixed(ColumnType):
     def predicate(self, relation, cell, comparator, value):
         return compare(self.affixed(cell.value), comparator, value)
 
+    def sides(self, relation, cell):
+        return [Side(self.affixed(cell.value))]
+
     def shown(self, c):
         return self.affixed(c)
 
@@ -237,6 +259,10 @@ class Decimal(ColumnType):
             return (stored != "") & compare(left, comparator, right)
         return (stored != "") & compare_numbers(stored, comparator, value)
 
+    def sides(self, relation, cell):
+        stored = cell.value.cast("string")
+        return [Side(F.when(stored != "", exact_number(stored)), exact_number)]
+
     def sort_keys(self, relation, cell):
         stored = cell.value.cast("string")
         return [number(stored), beyond_double(stored)]
@@ -349,6 +375,10 @@ class Page(ColumnType):
             return by_id
         return by_id | compare(relation.title(cell, "title"), comparator, value)
 
+    def sides(self, relation, cell):
+        titled = [Side(relation.title(cell, "title"))] if self.config["usetitles"] else []
+        return [Side(cell.value), *titled]
+
     def sort_keys(self, relation, cell):
         if not self.config["usetitles"]:
             return super().sort_keys(relation, cell)
@@ -369,6 +399,9 @@ class Tag(ColumnType):
     def predicate(self, relation, cell, comparator, value):
         return compare(squashed(cell.value), comparator, squashed(operand(value)))
 
+    def sides(self, relation, cell):
+        return [Side(squashed(cell.value), squashed)]
+
 
 class Dropdown(ColumnType):
     pass
@@ -433,6 +466,10 @@ class Lookup(ColumnType):
             return super().predicate(relation, cell, comparator, value)
         return column.type.predicate(relation, target, comparator, value)
 
+    def sides(self, relation, cell):
+        column, target = self._target(relation, cell)
+        return super().sides(relation, cell) if column is None else column.type.known_sides(relation, target)
+
     def sort_keys(self, relation, cell):
         column, target = self._target(relation, cell)
         if column is None:
@@ -456,6 +493,9 @@ class LastUpdate(DateTime):
     def predicate(self, relation, cell, comparator, value):
         return compare(self._text(relation, cell), comparator, value)
 
+    def sides(self, relation, cell):
+        return [Side(self._text(relation, cell))]
+
     def sort_keys(self, relation, cell):
         return [relation.title(cell, "lastrev")]
 
@@ -472,6 +512,9 @@ class _PageMetadata(ColumnType):
     def predicate(self, relation, cell, comparator, value):
         return compare(relation.title(cell, self.field), comparator, value)
 
+    def sides(self, relation, cell):
+        return [Side(relation.title(cell, self.field))]
+
     def sort_keys(self, relation, cell):
         return [relation.title(cell, self.field)]
 

@@ -73,6 +73,11 @@ def beyond_double(c: Column) -> Column:
     return F.when(large, exact).when(value.isNotNull(), F.lit(0).cast("decimal(38,0)"))
 
 
+def exact_number(c: Column) -> Column:
+    """A key by which texts are equal and ordered as numbers, without loss for whole numbers."""
+    return F.struct(number(c).alias("near"), beyond_double(c).alias("rest"))
+
+
 def compare_numbers(left: Column, comparator: str, value) -> Column:
     """One comparison of two texts as numbers, without loss for whole numbers."""
     right = operand(value)
@@ -83,9 +88,8 @@ def compare_numbers(left: Column, comparator: str, value) -> Column:
             small = False
         if small:  # no other number has the same double
             return compare(number(left), comparator, number(right))
-    pairs = [F.struct(number(side).alias("near"), beyond_double(side).alias("rest")) for side in (left, right)]
     known = left.isNotNull() & right.isNotNull()
-    return F.when(known, compare(pairs[0], comparator, pairs[1]))
+    return F.when(known, compare(exact_number(left), comparator, exact_number(right)))
 
 
 def is_number(c: Column) -> Column:

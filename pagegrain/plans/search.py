@@ -13,9 +13,9 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..columns import Cell, ColumnType, Lookup, Page, Text, same_forms
+from ..columns import Cell, ColumnType, Lookup, Page, Side, Text, same_forms
 from ..errors import StructureError
-from ..functions.text import all_of, any_of, is_blank, or_empty
+from ..functions.text import all_of, any_of, compare, is_blank, or_empty
 from ..operators.numbering import Key, positions_between, sorts
 from ..schema import SchemaColumn
 from ..store import DATA_KEYS, DATA_META, Store
@@ -35,10 +35,12 @@ from .spec import Filter, PageValue, SearchSpec
 ROW_KEYS = ["pid", "rid", "rev"]
 # Pages that end within so many rows are cut off sorted tasks; deeper ones are located by counting.
 SHALLOW = 100_000
+# Comparisons that follow from an order of the values.
+ORDERED = ("=", "!=", "<", "<=", ">", ">=")
 
 
-def page_values(store: Store, wanted: PageValue) -> Column:
-    """Array of the values a column has on a page; a lone empty text when there are none."""
+def page_values(store: Store, wanted: PageValue) -> DataFrame:
+    """The values a column has on a page, one ``operand`` each; a lone empty text when there are none."""
     schema = store.schema(wanted.schema)
     column = schema.find(wanted.label)
     if column is None:
@@ -53,14 +55,10 @@ def page_values(store: Store, wanted: PageValue) -> Column:
         relation = Relation(store, rows)
         cell = Cell(F.col(column.physical), column.physical, "")
     value = column.type.forms(relation, cell).compare
-    values = relation.df.select(value.alias("value")).filter(~is_blank(F.col("value")))
-    listed = values.agg(F.collect_set("value").alias("found")).select(
-        F.transform(
-            F.when(F.size("found") > 0, F.col("found")).otherwise(F.array(F.lit(""))),
-            lambda v: F.concat(F.lit(wanted.before), v, F.lit(wanted.after)),
-        )
-    )
-    return listed.scalar()
+    values = relation.df.select(value.alias("value")).filter(~is_blank(F.col("value"))).distinct()
+    none = values.limit(1).agg(F.count("value").alias("n")).filter("n = 0").select(F.lit("").alias("value"))
+    affixed = F.concat(F.lit(wanted.before), F.col("value"), F.lit(wanted.after))
+    return values.unionByName(none).select(affixed.alias("operand"))
 
 
 class Search:
@@ -195,14 +193,33 @@ class Search:
     def _predicate(self, relation: Relation, cell: Cell, column: SchemaColumn, item: Filter):
         if not isinstance(item.value, PageValue):
             return column.type.matches(relation, cell, item.comparator, item.value)
+        operands = page_values(self.store, item.value)
+        sides = column.type.known_sides(relation, cell) if item.comparator in ORDERED else None
+        if sides:
+            return any_of([self._compared(relation, side, item.comparator, operands) for side in sides])
+        # patterns are tried one by one
         name = f"operands{len(relation.df.columns)}"
-        relation.df = relation.df.withColumn(name, page_values(self.store, item.value))
+        relation.df = relation.df.withColumn(name, operands.agg(F.collect_set("operand")).scalar())
         # joins the type needs are made here; inside the lambda they are already known
         column.type.predicate(relation, cell, item.comparator, "")
         return F.exists(
             F.col(name), lambda v: column.type.predicate(relation, cell, item.comparator, v)
         )
 
+    @staticmethod
+    def _compared(relation: Relation, side: Side, comparator: str, operands: DataFrame) -> Column:
+        """Does the comparison hold for any operand? Equality is one join, order needs only the ends."""
+        form = side.of_operand(F.col("operand"))
+        if comparator == "=":
+            name = f"operand{len(relation.df.columns)}"
+            key = operands.select(form.alias(name)).distinct()
+            relation.df = relation.df.join(key, side.value == F.col(name), "left")
+            return F.col(name).isNotNull()
+        ends = operands.agg(F.struct(F.min(form).alias("low"), F.max(form).alias("high")).alias("ends")).scalar()
+        if comparator == "!=":
+            return (side.value != ends["low"]) | (side.value != ends["high"])
+        return compare(side.value, comparator, ends["high" if comparator in ("<", "<=") else "low"])
+
     @staticmethod
     def _chain(predicates: list[tuple[str, Column]]) -> Column:
         """A flat chain: AND binds tighter than OR, the first link is ignored."""

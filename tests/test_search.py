@@ -1,4 +1,5 @@
 from dataclasses import replace
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
@@ -359,6 +360,38 @@ def test_values_of_the_current_page(two_schemas):
         search(two_schemas, bind(spec, Params(page="orchard"), two_schemas))
 
 
+def test_values_of_a_page_are_joined_by_the_rules_of_the_type(make):
+    """Equality, order and inequality against several values give what one comparison after another gives."""
+    cells = {"p": "7", "q": "07.0", "r": "12", "s": "", "t": None, "u": "x", "v": "9007199254740993", "w": "A b"}
+    kinds = ("Text", "Decimal", "Tag", ("Text", {"prefix": "x"}), ("Page", {"usetitles": True}))
+    named = [(f"c{n}", *(k if isinstance(k, tuple) else (k,))) for n, k in enumerate(kinds)]
+    make.pages(make.schema("rows", *named), **{pid: (c,) * len(kinds) for pid, c in cells.items()})
+    make.titles(("7", "12", "", 0, ""), ("x", "7", "", 0, ""))
+    values = {"one": ["7"], "two": ["7", "12", " "], "big": ["9007199254740992"], "tag": ["aB"], "affixed": ["x7"], "none": []}
+    store = make.pages(make.schema("own", "list[]"), **{pid: (v,) for pid, v in values.items()})
+
+    expected = [
+        ("c0", "=", "two", "pr"), ("c0", "!=", "two", "pqrsuvw"), ("c0", "<", "two", "qrs"), ("c0", "=", "none", "s"),
+        ("c1", "=", "two", "pqr"), ("c1", "=", "big", ""), ("c1", ">", "big", "v"), ("c1", "!=", "one", "ruvw"), ("c1", "<=", "two", "pqruw"),
+        ("c2", "=", "tag", "w"), ("c3", "=", "affixed", "p"), ("c4", "=", "two", "pru"),
+    ]
+    parts = []
+    for label, comparator, page, _ in expected:
+        spec = SearchSpec(("rows",), ("%pageid%",), filters=((label, comparator, PageValue("own", "list", page)),))
+        parts.append(search(store, spec).select("pid", F.lit(f"{label}{comparator}{page}").alias("test")))
+    rows = reduce(lambda a, b: a.unionByName(b), parts).collect()
+    for label, comparator, page, pages in expected:
+        test = f"{label}{comparator}{page}"
+        assert "".join(sorted(r["pid"] for r in rows if r["test"] == test)) == pages, test
+
+
+def test_page_values_need_no_array(two_schemas):
+    spec = SearchSpec(("harvest",), ("crop",), filters=(("tools", "=", "$STRUCT.plots.crops$"), ("weight", "<", "$STRUCT.harvest.weight$", "OR")))
+    found = search(two_schemas, bind(spec, Params(page="orchard"), two_schemas))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "exists(" not in plan and "collect_set" not in plan
+
+
 def test_sort_direction_is_replaced_in_place(two_schemas):
     spec = SearchSpec(("harvest",), ("crop",), sorts=("^weight", "weather", "weight", "^weather", "crop"))
     names = Names(two_schemas, spec)
