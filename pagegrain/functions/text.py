@@ -6,6 +6,7 @@ so nothing here casts eagerly, and every conversion of user text is a ``try_`` c
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -145,6 +146,11 @@ def all_of(predicates: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, predicates)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it occurs there."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def split_list(c: Column) -> Column:
     """Comma-separated input to a list of trimmed items."""
     return F.transform(F.split(c, ","), trimmed)

@@ -1,6 +1,6 @@
 """Which schemas belong to which pages.
 
-Patterns are configuration written by hand, a list of ``(pattern, schema)``:
+Patterns are a table ``pattern``, ``tbl`` of any size, or a short list of such pairs:
 
 ``**``        every page
 ``ns:**``     pages in ``ns`` and below
@@ -14,83 +14,128 @@ or the plans of a chain of steps grow with each of them.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import StructureError
 from ..functions.ids import clean_id, namespace, namespace_prefixes
+from ..functions.regexes import READABLE, grams, java_regex, required_texts
 from ..sources.registry import Registry
 from ..store import Store
 
-Patterns = list[tuple[str, str]]
+Patterns = list[tuple[str, str]] | DataFrame
+
+PATTERN_TABLE = "pattern string, tbl string"
+# Patterns that fit every page, and expressions without a required text, are met under one of so many keys.
+SPREAD = 32
+
+
+def pattern_table(spark: SparkSession, patterns: Patterns) -> DataFrame:
+    """Patterns as a table; NULL patterns and schemas are left out."""
+    if not isinstance(patterns, DataFrame):
+        patterns = spark.createDataFrame(sorted(set(patterns)), PATTERN_TABLE)
+    return patterns.select("pattern", "tbl").dropna().distinct()
+
+
+def _without(patterns: Patterns, tbl: str, pattern: str | None = None) -> Patterns:
+    """All but one pattern, or all patterns, of a schema."""
+    if isinstance(patterns, DataFrame):
+        gone = F.col("tbl") == tbl
+        return patterns.filter(~(gone if pattern is None else gone & (F.col("pattern") == pattern)))
+    return [(p, t) for p, t in patterns if t != tbl or pattern not in (None, p)]
+
+
+def _with(spark: SparkSession, patterns: Patterns, more: list[tuple[str, str]]) -> Patterns:
+    if isinstance(patterns, DataFrame):
+        return pattern_table(spark, pattern_table(spark, patterns).unionByName(pattern_table(spark, more)))
+    return sorted({*patterns, *more})
+
+
+def _kind(pattern: Column) -> Column:
+    return (
+        F.when(F.btrim(pattern, F.lit(":")) == "**", "all")
+        .when(F.startswith(pattern, F.lit("/")), "expression")
+        .when(F.endswith(pattern, F.lit("**")), "below")
+        .when(F.endswith(pattern, F.lit("*")), "inside")
+        .otherwise("page")
+    )
+
+
+def _text(pid: Column) -> Column:
+    """What expressions are searched in."""
+    return F.concat(F.lit(":"), clean_id(pid))
+
+
+def _page_grams(pages: DataFrame) -> DataFrame:
+    return pages.select("pid", F.explode(grams(_text(F.col("pid")))).alias("key"))
 
 
-def _regex(pattern: str) -> str:
-    """A delimited expression in Java's notation."""
-    body, closing, flags = pattern[1:].rpartition("/")
-    if not closing:
-        raise StructureError(f"an expression has to end with a slash: {pattern}")
-    unknown = [flag for flag in flags if flag not in "imsx"]
-    if unknown:
-        raise StructureError(f"unknown flags {''.join(unknown)} in {pattern}")
-    return f"(?{flags}){body}" if flags else body
+def _expression_keys(pages: DataFrame, expressions: DataFrame) -> DataFrame:
+    """The gram under which each expression is found: of those in its required texts the one on the fewest pages."""
+    held = expressions.select("regex", F.explode("texts").alias("text")).select("regex", F.explode(grams(F.col("text"))).alias("key"))
+    held = held.distinct()
+    found = _page_grams(pages).join(held.select("key").distinct(), "key", "left_semi")
+    counts = found.groupBy("key").agg(F.count(F.lit(1)).alias("pages"))
+    # a gram no page has is the best one: the expression fits nowhere
+    rarity = F.struct(F.coalesce("pages", F.lit(0)), -F.length("key"), "key")
+    return held.join(counts, "key", "left").groupBy("regex").agg(F.min_by("key", rarity).alias("key"))
 
 
-def _rule_kind(pattern: str) -> str:
-    if pattern.strip(":") == "**":
-        return "rule"
-    if pattern.startswith("/"):
-        return "rule"
-    if pattern.endswith("**"):
-        return "below"
-    if pattern.endswith("*"):
-        return "inside"
-    return "page"
+def _fitting_expressions(pages: DataFrame, expressions: DataFrame) -> DataFrame:
+    """``pid``, ``tbl`` by expressions. An index of grams leads to the pages that can fit; only they are searched."""
+    expressions = expressions.select(java_regex(F.col("pattern")).alias("regex"), "tbl").distinct()
+    expressions = expressions.withColumn("texts", required_texts(F.col("regex")))
+    keyed = expressions.join(_expression_keys(pages, expressions), "regex")
+    by_gram = _page_grams(pages).join(keyed, "key").select("pid", "regex", "tbl")
+    every = _every_page(pages, expressions.filter(F.size("texts") == 0).select("regex", "tbl"))
+    candidates = by_gram.unionByName(every.select("pid", "regex", "tbl"))
+    return candidates.filter(F.regexp_like(_text(F.col("pid")), F.col("regex"))).select("pid", "tbl")
+
+
+def _every_page(pages: DataFrame, few: DataFrame) -> DataFrame:
+    """Rows of ``few`` on every page, as an equi-join whose one key is spread."""
+    spread = few.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    part = F.pmod(F.xxhash64("pid"), F.lit(SPREAD)).cast("int")
+    return pages.select("pid", part.alias("part")).join(spread, "part").drop("part")
 
 
 def matching_schemas(pages: DataFrame, patterns: Patterns) -> DataFrame:
     """Schemas of pages by pattern: distinct ``pid``, ``tbl``.
 
-    Each page lists the keys under which a pattern could know it (its id, its namespace, the
-    namespaces above, the expressions that fit) and one equi-join on that key finds the patterns. No
-    page meets every pattern.
+    Each page lists the keys under which a pattern could know it (its id, its namespace, the namespaces above) and one
+    equi-join on that key finds the patterns. Expressions are found by a gram of at most three signs that every text they
+    fit has to hold, and then tried. Patterns for all pages, and expressions that require no text, meet every page;
+    no other pattern does. No patterns or no pages give no rows; an expression that cannot be read is an error.
     """
-    spark = pages.sparkSession
-    pid = F.col("pid")
-    page = clean_id(pid)
-    if not patterns:
-        return pages.select("pid", F.lit("").alias("tbl")).filter(F.lit(False))
-    rules = [(n, p, _rule_kind(p), tbl) for n, (p, tbl) in enumerate(sorted(set(patterns)))]
-    known = spark.createDataFrame(rules, "n int, pattern string, kind string, tbl string").select(
-        "kind",
-        F.when(F.col("kind") == "rule", F.col("n").cast("string"))
-        .otherwise(clean_id(F.col("pattern")))
-        .alias("key"),
-        "tbl",
-    )
+    if not isinstance(patterns, DataFrame):
+        unreadable = [p for p, _ in patterns if p.startswith("/") and not READABLE.match(p)]
+        if unreadable:
+            raise StructureError(f"not an expression between slashes with flags of imsx: {', '.join(unreadable)}")
+    known = pattern_table(pages.sparkSession, patterns).withColumn("kind", _kind(F.col("pattern")))
+    pages = pages.select("pid").distinct()
 
     def key(kind: str, value: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), value.alias("key"))
 
+    page = clean_id(F.col("pid"))
     ns = namespace(page)
     above = F.when(ns == "", F.array(F.lit(""))).otherwise(namespace_prefixes(ns))
     keys = [
         F.array(key("page", page), key("inside", ns)),
         F.transform(above, lambda prefix: key("below", prefix)),
     ]
-    fitting = []
-    for n, pattern, kind, _ in rules:
-        if kind != "rule":
-            continue
-        this = key("rule", F.lit(str(n)))
-        if pattern.startswith("/"):
-            fits = F.concat(F.lit(":"), page).rlike(_regex(pattern))
-            this = F.when(fits, this)
-        fitting.append(this)
-    if fitting:
-        keys.append(F.array_compact(F.array(*fitting)))
     listed = pages.select("pid", F.inline(F.concat(*keys)))
-    return listed.join(known, ["kind", "key"]).select("pid", "tbl").distinct()
+    named = known.filter(F.col("kind").isin("page", "inside", "below"))
+    named = named.select("kind", clean_id(F.col("pattern")).alias("key"), "tbl").distinct()
+    parts = [
+        listed.join(named, ["kind", "key"]).select("pid", "tbl"),
+        _every_page(pages, known.filter(F.col("kind") == "all").select("tbl").distinct()),
+    ]
+    if isinstance(patterns, DataFrame) or any(p.startswith("/") for p, _ in patterns):
+        parts.append(_fitting_expressions(pages, known.filter(F.col("kind") == "expression")))
+    return reduce(DataFrame.unionByName, parts).distinct()
 
 
 def assigned_schemas(store: Store, pages: DataFrame | None = None) -> DataFrame:
@@ -112,14 +157,14 @@ def with_assignments(assignments: DataFrame, pairs: DataFrame, assigned: int) ->
 def propagate(assignments: DataFrame, patterns: Patterns, tbl: str) -> DataFrame:
     """Assign a schema to all known pages its patterns match."""
     known = assignments.filter((F.col("tbl") != tbl) | (F.col("assigned") != 1))
-    own = [(p, t) for p, t in patterns if t == tbl]
+    own = pattern_table(assignments.sparkSession, patterns).filter(F.col("tbl") == tbl)
     return with_assignments(assignments, matching_schemas(known.select("pid").distinct(), own), 1)
 
 
 def add_pattern(
     assignments: DataFrame, patterns: Patterns, pattern: str, tbl: str
 ) -> tuple[Patterns, DataFrame]:
-    patterns = sorted({*patterns, (pattern, tbl)})
+    patterns = _with(assignments.sparkSession, patterns, [(pattern, tbl)])
     return patterns, propagate(assignments, patterns, tbl)
 
 
@@ -127,8 +172,8 @@ def remove_pattern(
     assignments: DataFrame, patterns: Patterns, pattern: str, tbl: str
 ) -> tuple[Patterns, DataFrame]:
     """Drop a pattern and withdraw the schema from pages no other pattern matches."""
-    patterns = [item for item in patterns if item != (pattern, tbl)]
-    own = [(p, t) for p, t in patterns if t == tbl]
+    patterns = _without(patterns, tbl, pattern)
+    own = pattern_table(assignments.sparkSession, patterns).filter(F.col("tbl") == tbl)
     known = assignments.filter(F.col("tbl") == tbl).select("pid", "tbl")
     lost = known.join(matching_schemas(known.select("pid"), own), ["pid", "tbl"], "left_anti")
     return patterns, with_assignments(assignments, lost, 0)
@@ -193,8 +238,7 @@ def replace_patterns(
 ) -> tuple[Patterns, DataFrame]:
     """Exchange all patterns of a schema. Its assignments start anew: pages known through other
     schemas are assigned where a new pattern matches."""
-    rest = [(p, t) for p, t in patterns if t != tbl]
-    patterns = sorted({*rest, *((p, tbl) for p in wanted)})
+    patterns = _with(assignments.sparkSession, _without(patterns, tbl), [(p, tbl) for p in wanted])
     return patterns, propagate(assignments.filter(F.col("tbl") != tbl), patterns, tbl)
 
 
@@ -205,7 +249,6 @@ def clear(assignments: DataFrame, full: bool = False) -> tuple[Patterns, DataFra
     return [], assignments.withColumn("assigned", F.lit(0))
 
 
-def load_patterns(spark: SparkSession, path: str) -> Patterns:
-    """Pattern configuration from a JSON-lines file of ``pattern`` and ``tbl``."""
-    rows = spark.read.schema("pattern string, tbl string").json(path)
-    return sorted((row["pattern"], row["tbl"]) for row in rows.collect())
+def load_patterns(spark: SparkSession, path: str) -> DataFrame:
+    """Pattern table from JSON lines of ``pattern`` and ``tbl``."""
+    return pattern_table(spark, spark.read.schema(PATTERN_TABLE).json(path))

@@ -234,6 +234,30 @@ def versions_at(spark, sf_dir):
     return Registry(schemas, empty.types, empty.schema_cols).versions_at(120).select("tbl", "id", "ts")
 
 
+PATTERN_ROWS = """SELECT p_brand AS tbl, CASE p_partkey % 6
+    WHEN 0 THEN concat('en:src', p_size % 20, ':doc', p_partkey)
+    WHEN 1 THEN concat('de:src', p_partkey % 23, ':*')
+    WHEN 2 THEN concat('/doc', p_partkey, '$/')
+    WHEN 3 THEN concat('/:SRC', p_partkey % 10, ':doc[0-9]*', p_size, '$/i')
+    WHEN 4 THEN concat('/^:(de|fr):.*[', p_partkey % 9, '-9]', p_size, '$/')
+    ELSE concat('/(en|es):src(', p_partkey % 20, '|1):doc.?', p_size, '/') END AS pattern FROM part"""
+
+
+@register(
+    "q105_pattern_table",
+    sql(
+        "d_doc",
+        """SELECT DISTINCT pid, tbl FROM d_doc JOIN p ON pattern = pid OR pattern = ns||':*' OR (starts_with(pattern, '/') AND
+             regexp_matches(':'||pid, CASE WHEN ends_with(pattern, '/i') THEN '(?i)'||pattern[2:-3] ELSE pattern[2:-2] END))""",
+        p=PATTERN_ROWS,
+    ),
+)
+def pattern_table(spark, sf_dir):
+    """Patterns of all kinds, as many as there are parts."""
+    catalog.table(spark, sf_dir, "part").createOrReplaceTempView("part")
+    return assignment.matching_schemas(catalog.docs(spark, sf_dir).select("pid"), spark.sql(PATTERN_ROWS))
+
+
 # Runs of the streams, one after another.
 ARRIVALS = 3
 
