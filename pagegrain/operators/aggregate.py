@@ -94,32 +94,11 @@ def cloud(store: Store, spec: SearchSpec, minimum: int = 0, limit: int = 0) -> D
 def facets(store: Store, spec: SearchSpec) -> DataFrame:
     """Distinct values per column of a result: ``column``, ``value``, ``display``; blanks left out."""
     found = Search(store, spec)
-    names = found.output_names
-    parts = []
-    singles = [i for i, _ in found.single_columns]
-    if singles:
-        cells = [
-            F.struct(
-                F.lit(names[i]).alias("column"),
-                F.col(f"c{i}_raw").alias("value"),
-                F.col(f"c{i}_display").alias("display"),
-            )
-            for i in singles
-        ]
-        parts.append(found.without_lists().select(F.inline(F.array(*cells))))
-    for i, _ in found.multi_columns:
-        values = found.exploded(i)
-        parts.append(
-            values.select(
-                F.lit(names[i]).alias("column"),
-                F.col(f"c{i}_raw").alias("value"),
-                F.col(f"c{i}_display").alias("display"),
-            )
-        )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.filter(F.col("display") != "").distinct()
+    names = F.array(*[F.lit(name) for name in found.output_names])
+    values = found.values().filter(F.col("display") != "")
+    # the position of a column is shorter than its name
+    distinct = values.distinct()
+    return distinct.select(names[F.col("slot")].alias("column"), F.col("raw").alias("value"), "display").distinct()
 
 
 def single_value(store: Store, spec: SearchSpec) -> DataFrame:

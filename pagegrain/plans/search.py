@@ -8,7 +8,7 @@ once, after paging if there is any.
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -469,6 +469,48 @@ class Search:
         """Like :attr:`cells`, with the single-valued columns only."""
         return self._cells(lists=False)
 
+    def values(self) -> DataFrame:
+        """Every value of the result: ``slot`` (position of its column), ``raw``, ``display``; repeated and blank ones too.
+
+        The rows are found once: each of them asks for its values in all multi-valued columns by one join.
+        """
+        tables = list(dict.fromkeys(c.table for _, c in self.multi_columns))
+        records = self._records(self._folds_late and self._drop_empty_needed())
+        rows, owners = records, {table: [self._prefix[table] + key for key in DATA_KEYS] for table in tables}
+        if self._folds_late:
+            rows = self._paged(self._merged(records))
+            if self.grouped and tables:
+                # merged rows have lost the identity of the rows they come from
+                keys = self._group_keys()
+                identity = records.select(*keys, *[name for names in owners.values() for name in names])
+                rows = self._attach(rows, keys, identity)
+        rows = self._with_display(rows)
+
+        def item(slot: Column, raw: str, display: str) -> Column:
+            return F.struct(slot.alias("slot"), F.col(raw).alias("raw"), F.col(display).alias("display"))
+
+        items = [item(F.lit(i), f"c{i}_raw", f"c{i}_display") for i, _ in self.single_columns]
+        if tables:
+            asked = [
+                F.struct(F.lit(n).alias("t"), *[F.col(name).alias(f"k_{key}") for name, key in zip(owners[table], DATA_KEYS)])
+                for n, table in enumerate(tables)
+            ]
+            cells = [f"c{i}_{form}" for i, _ in self.single_columns for form in ("raw", "display")]
+            rows = rows.select(*cells, F.inline(F.array(*asked)))
+            stored = []
+            for n, table in enumerate(tables):
+                columns = [(i, c) for i, c in self.multi_columns if c.table == table]
+                found = value_rows(self.store, table, sorted({c.colref for _, c in columns}), self._current_only)
+                listed, forms = value_forms(self.store, found, columns)
+                shown = F.col("display" if "display" in forms else "raw").alias("v_display")
+                listed = listed.select(F.lit(n).alias("v_t"), *[F.col(k).alias(f"v_{k}") for k in DATA_KEYS], "slot", F.col("raw").alias("v_raw"), shown)
+                # equal values of a long record are merged before they travel to the join
+                stored.append(listed.distinct())
+            same = all_of([F.col("t") == F.col("v_t"), *[F.col(f"k_{k}") == F.col(f"v_{k}") for k in DATA_KEYS]])
+            rows = rows.join(reduce(DataFrame.unionByName, stored), same, "left")
+            items.append(item(F.col("slot"), "v_raw", "v_display"))
+        return rows.select(F.inline(F.array(*items)))
+
     def _cells(
         self, exploded: tuple[int, ...] = (), lists: bool = True, display: bool = True
     ) -> DataFrame:

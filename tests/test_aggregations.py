@@ -3,7 +3,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from pagegrain import SearchSpec
+from pagegrain import SearchSpec, search
 from pagegrain.operators import aggregate, nested, suggest
 from pagegrain.operators.numbering import Key, numbered
 
@@ -86,6 +86,24 @@ def test_facets(things):
     }
 
 
+def test_facets_are_the_values_of_the_result(make):
+    """Joined schemas, blank cells, equal values and pages of the result: nothing more, nothing less than the rows show."""
+    make.pages(make.schema("a", "one", "many[]"), p=("x", ["1", "2", "1"]), q=("", ["3", " "]), r=("y", []), s=("", []))
+    store = make.pages(make.schema("b", "two", "more[]"), p=("u", ["1", "4"]), q=("v", []), r=(None, ["5"]), s=("w", ["6"]))
+    for schemas, columns in ((("a",), ("one", "many")), (("a", "b"), ("one", "many", "two", "more")), (("a", "b"), ("more",))):
+        for paging in ({}, {"limit": 2, "sorts": ("%pageid%",)}, {"offset": 1, "sorts": ("^%pageid%",)}):
+            spec = SearchSpec(schemas, columns, **paging)
+            rows = search(store, spec).collect()
+            cells = [(c, v) for row in rows for c in columns for v in (row[c] if isinstance(row[c], list) else [row[c]])]
+            found = sorted((r["column"], r["value"]) for r in aggregate.facets(store, spec).collect())
+            assert found == sorted({(c, v) for c, v in cells if v}), (schemas, paging)
+
+
+def test_facets_find_the_rows_once(things):
+    plan = aggregate.facets(things, SearchSpec(("things",), ("colors", "type", "family")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 2, "one for the rows, one for all their values"
+
+
 def test_cloud(things):
     spec = SearchSpec(("things",), ("colors",), filters=(("type", "=", "tree"),))
     counts = {r["tag"]: r["count"] for r in aggregate.cloud(things, spec).collect()}
