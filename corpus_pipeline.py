@@ -21,7 +21,6 @@ from pagegrain.llm.language import identify
 from pagegrain.llm.packing import pack
 from pagegrain.llm.passages import remove_repeated_passages
 from pagegrain.llm.queries import op8_pieces, tokenizer_path
-from pagegrain.llm.repeats import readable
 from pagegrain.llm.simhash import near_duplicates
 
 # The cosine from which on a text counts as one of the learned languages. Unrelated texts stay near 0 with a deviation of 1/32 (1,024
@@ -69,8 +68,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @after("near_dedup")
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the strings of 400 bytes and the passages of 51 words that it shares; cut characters at the edges go with them."""
-    found = remove_repeated_passages(docs)
-    return _with_text(found, F.when(F.col("cut.n_removed") == 0, F.col("doc.text")).otherwise(readable(F.col("cut.kept"))))
+    found = remove_repeated_passages(docs, readable=True)
+    return _with_text(found, F.when(F.col("cut.n_removed") == 0, F.col("doc.text")).otherwise(F.col("cut.kept")))
 
 
 @after("repeated_strings")

@@ -37,8 +37,9 @@ def _in_bytes(text: Column, spans: Column) -> Column:
     return of(utf8(text), spans)
 
 
-def remove_repeated_passages(docs: DataFrame, text: str = "text", threshold: int = THRESHOLD, words: int = WORDS) -> DataFrame:
-    """``doc`` (the input row) and ``cut``: ``n`` bytes, ``n_removed``, ``n_spans``, the ``kept`` bytes.
+def remove_repeated_passages(docs: DataFrame, text: str = "text", threshold: int = THRESHOLD, words: int = WORDS, readable: bool = False) -> DataFrame:
+    """``doc`` (the input row) and ``cut``: ``n`` bytes, ``n_removed``, ``n_spans``, the ``kept`` bytes, or, if ``readable``, the
+    text they make without the rests of cut characters.
 
     A byte is removed if a string of ``threshold`` bytes over it, or a window of ``words`` words between ASCII white space over it,
     also starts elsewhere, in any row, itself included. White space between windows' words goes with them and may differ
@@ -51,4 +52,4 @@ def remove_repeated_passages(docs: DataFrame, text: str = "text", threshold: int
     windows = covered(rows, column, F.col("row"), Words, words, levels(words), earliest=False)
     lists = windows.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     placed = rows.join(lists, "row").select("row", F.inline(_in_bytes(column, F.col("spans"))))
-    return without(rows, strings.union(save(placed.select("row", "a", "b"), "passages")), text, Bytes)
+    return without(rows, strings.union(save(placed.select("row", "a", "b"), "passages")), text, Bytes, readable)

@@ -257,10 +257,13 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return whole
 
 
-def cut(text: Column, spans: Column, unit: type) -> Column:
-    """Struct of ``n`` units, ``n_removed``, ``n_spans`` (maximal removed ranges) and the ``kept`` bytes."""
+def cut(text: Column, spans: Column, unit: type, readable: bool = False) -> Column:
+    """Struct of ``n`` units, ``n_removed``, ``n_spans`` (maximal removed ranges) and the ``kept`` bytes; if ``readable``, kept
+    as text without the rests of characters that a cut went through."""
+    # decoded here, as a function of its own would be a second Python worker beside each task's first
+    kind = "string" if readable else "binary"
 
-    @F.arrow_udf("n bigint, n_removed bigint, n_spans bigint, kept binary")
+    @F.arrow_udf(f"n bigint, n_removed bigint, n_spans bigint, kept {kind}")
     def of(texts: pa.Array, ranges: pa.Array) -> pa.Array:
         out = []
         for value, a, b in zip(texts, *_lists(ranges, "a", "b"), strict=True):
@@ -273,27 +276,19 @@ def cut(text: Column, spans: Column, unit: type) -> Column:
             removed = np.cumsum(steps)[:size] > 0
             begins = int(removed[:1].sum() + (removed[1:] & ~removed[:-1]).sum())
             out.append((size, int(removed.sum()), begins, units.kept(removed)))
+        if readable:
+            out = [(*counts, bytes(kept).decode("utf-8", "ignore")) for *counts, kept in out]
         names = ("n", "n_removed", "n_spans", "kept")
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string() if readable else pa.binary())
         arrays = [pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)]
         return pa.StructArray.from_arrays(arrays, names=list(names))
 
     return of(utf8(text), spans)
 
 
-def readable(kept: Column) -> Column:
-    """Kept bytes as text, without the rests of characters that a cut went through."""
-
-    @F.arrow_udf("string")
-    def of(blobs: pa.Array) -> pa.Array:
-        return pa.array([blob.as_py().decode("utf-8", "ignore") if blob.is_valid else None for blob in blobs], pa.string())
-
-    return of(kept)
-
-
-def without(docs: DataFrame, spans: DataFrame, text: str, unit: type) -> DataFrame:
+def without(docs: DataFrame, spans: DataFrame, text: str, unit: type, readable: bool = False) -> DataFrame:
     """``doc`` and the struct ``cut`` for every row of ``docs``."""
     lists = spans.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     none = F.array().cast("array<struct<a:int,b:int>>")
     joined = docs.join(lists, "row", "left").select("row", "doc", F.coalesce("spans", none).alias("spans"))
-    return joined.select("doc", cut(F.col(f"doc.`{text}`"), F.col("spans"), unit).alias("cut"))
+    return joined.select("doc", cut(F.col(f"doc.`{text}`"), F.col("spans"), unit, readable).alias("cut"))

@@ -41,3 +41,12 @@ def test_stage_cuts_51_short_words_and_leaves_50(spark, documents):
 
 def test_empty_table(documents):
     assert remove_repeated_passages(documents([])).count() == 0
+
+
+def test_the_stage_needs_one_python_worker_a_task(documents, spark):
+    """A second function over the first one's result would double the workers that an executor holds from then on."""
+    shared = " ".join(f"w{k}" for k in range(60))
+    docs = documents([(1, f"one é{shared}"), (2, f"two {shared} é"), (3, None), (4, "")], clash=False).withColumn("n_chars", F.lit(0).cast("bigint"))
+    out = corpus_pipeline.repeated_strings(spark, docs, "")
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert {r.doc_id: (r.text, r.n_chars) for r in out.collect()} == {1: ("one éw0 ", 8), 2: ("two w0  é", 9), 3: (None, None), 4: ("", 0)}
