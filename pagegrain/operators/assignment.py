@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..errors import StructureError
 from ..functions.ids import clean_id, namespace, namespace_prefixes
-from ..functions.regexes import READABLE, grams, java_regex, required_texts
+from ..functions.regexes import READABLE, grams, java_regex, required_texts, widest_grams
 from ..sources.registry import Registry
 from ..store import Store
 
@@ -30,6 +30,8 @@ Patterns = list[tuple[str, str]] | DataFrame
 PATTERN_TABLE = "pattern string, tbl string"
 # Patterns that fit every page, and expressions without a required text, are met under one of so many keys.
 SPREAD = 32
+# Pages of one gram that are searched together.
+PART_PAGES = 1000
 
 
 def pattern_table(spark: SparkSession, patterns: Patterns) -> DataFrame:
@@ -73,25 +75,34 @@ def _page_grams(pages: DataFrame) -> DataFrame:
 
 
 def _expression_keys(pages: DataFrame, expressions: DataFrame) -> DataFrame:
-    """The gram under which each expression is found: of those in its required texts the one on the fewest pages."""
-    held = expressions.select("regex", F.explode("texts").alias("text")).select("regex", F.explode(grams(F.col("text"))).alias("key"))
-    held = held.distinct()
-    found = _page_grams(pages).join(held.select("key").distinct(), "key", "left_semi")
-    counts = found.groupBy("key").agg(F.count(F.lit(1)).alias("pages"))
+    """The gram under which each expression is found: of the widest in its required texts the one on the fewest pages. The pages of
+    a gram on many of them are dealt over ``spread`` parts."""
+    held = expressions.select("regex", F.explode("texts").alias("text"))
+    held = held.select("regex", F.explode(widest_grams(F.col("text"))).alias("key")).distinct()
+    counts = _page_grams(pages).groupBy("key").agg(F.count(F.lit(1)).alias("pages"))
     # a gram no page has is the best one: the expression fits nowhere
-    rarity = F.struct(F.coalesce("pages", F.lit(0)), -F.length("key"), "key")
-    return held.join(counts, "key", "left").groupBy("regex").agg(F.min_by("key", rarity).alias("key"))
+    known = held.join(counts, "key", "left").withColumn("pages", F.coalesce("pages", F.lit(0)))
+    rarity = F.struct("pages", -F.length("key"), "key")
+    best = known.groupBy("regex").agg(F.min_by(F.struct("key", "pages"), rarity).alias("best")).select("regex", "best.*")
+    spread = F.least(F.lit(SPREAD), F.floor(F.col("pages") / PART_PAGES) + 1).cast("int")
+    return best.filter("pages > 0").select("regex", "key", spread.alias("spread"))
 
 
 def _fitting_expressions(pages: DataFrame, expressions: DataFrame) -> DataFrame:
-    """``pid``, ``tbl`` by expressions. An index of grams leads to the pages that can fit; only they are searched."""
+    """``pid``, ``tbl`` by expressions. An index of grams leads to the pages that can fit; only they are searched, once for each
+    different expression."""
     expressions = expressions.select(java_regex(F.col("pattern")).alias("regex"), "tbl").distinct()
-    expressions = expressions.withColumn("texts", required_texts(F.col("regex")))
-    keyed = expressions.join(_expression_keys(pages, expressions), "regex")
-    by_gram = _page_grams(pages).join(keyed, "key").select("pid", "regex", "tbl")
-    every = _every_page(pages, expressions.filter(F.size("texts") == 0).select("regex", "tbl"))
-    candidates = by_gram.unionByName(every.select("pid", "regex", "tbl"))
-    return candidates.filter(F.regexp_like(_text(F.col("pid")), F.col("regex"))).select("pid", "tbl")
+    different = expressions.select("regex").distinct().withColumn("texts", required_texts(F.col("regex")))
+    keyed = _expression_keys(pages, different)
+    part = F.pmod(F.xxhash64("pid"), F.col("spread")).cast("int")
+    found = _page_grams(pages).join(keyed.select("key", "spread").distinct(), "key")
+    found = found.select("pid", _text(F.col("pid")).alias("text"), "key", part.alias("part"))
+    dealt = keyed.select("regex", "key", F.explode(F.sequence(F.lit(0), F.col("spread") - 1)).alias("part"))
+    by_gram = found.join(dealt, ["key", "part"]).select("pid", "text", "regex")
+    every = _every_page(pages, different.filter(F.size("texts") == 0).select("regex"))
+    every = every.select("pid", _text(F.col("pid")).alias("text"), "regex")
+    fitting = by_gram.unionByName(every).filter(F.regexp_like("text", F.col("regex"))).select("pid", "regex")
+    return fitting.join(expressions, "regex").select("pid", "tbl")
 
 
 def _every_page(pages: DataFrame, few: DataFrame) -> DataFrame:
@@ -105,8 +116,8 @@ def matching_schemas(pages: DataFrame, patterns: Patterns) -> DataFrame:
     """Schemas of pages by pattern: distinct ``pid``, ``tbl``.
 
     Each page lists the keys under which a pattern could know it (its id, its namespace, the namespaces above) and one
-    equi-join on that key finds the patterns. Expressions are found by a gram of at most three signs that every text they
-    fit has to hold, and then tried. Patterns for all pages, and expressions that require no text, meet every page;
+    equi-join on that key finds the patterns. Expressions are found by a gram that every text they fit has to hold, as wide
+    as the index has them, and then tried. Patterns for all pages, and expressions that require no text, meet every page;
     no other pattern does. No patterns or no pages give no rows; an expression that cannot be read is an error.
     """
     if not isinstance(patterns, DataFrame):

@@ -138,3 +138,23 @@ def test_historic(make):
         registry, _ = registry.with_version(version)
     assert found(50, registry) == [("coot", "rails"), ("owl", "birds")]
     assert found(39, registry) == [("owl", "birds")]
+
+
+def test_expressions_with_numbers_meet_few_pages(spark):
+    """Grams of three signs would lead each of these expressions to some tens of pages, the more the more pages there are."""
+    pages = spark.range(2000).selectExpr("concat('en:src:doc', id) AS pid")
+    regexes = spark.range(100).selectExpr("concat('doc', 1000 + 7 * id, '$') AS regex")
+    keyed = a._expression_keys(pages, regexes.withColumn("texts", required_texts(F.col("regex"))))
+    found = a._page_grams(pages).join(keyed, "key")
+    assert found.count() == keyed.count() == 100
+    table = spark.range(100).selectExpr("concat('/doc', 1000 + 7 * id, '$/') AS pattern", "concat('t', id % 3) AS tbl")
+    pairs = a.matching_schemas(pages, table.unionByName(table.withColumn("tbl", F.lit("u")))).collect()
+    assert {(r.pid, r.tbl) for r in pairs} == {(f"en:src:doc{1000 + 7 * n}", t) for n in range(100) for t in (f"t{n % 3}", "u")}
+
+
+def test_a_gram_on_many_pages_is_dealt(spark, monkeypatch):
+    monkeypatch.setattr(a, "PART_PAGES", 10)
+    pages = spark.range(500).selectExpr("concat('n', id % 3, ':p', id) AS pid")
+    pairs = a.matching_schemas(pages, spark.createDataFrame([("/n1:p.*[05]$/", "five"), ("/^:n2/", "two"), ("/zebra/", "none")], "pattern string, tbl string")).collect()
+    wanted = {(f"n1:p{n}", "five") for n in range(500) if n % 3 == 1 and n % 5 == 0} | {(f"n2:p{n}", "two") for n in range(500) if n % 3 == 2}
+    assert len(pairs) == len(wanted) and {(r.pid, r.tbl) for r in pairs} == wanted
