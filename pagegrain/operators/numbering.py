@@ -7,12 +7,15 @@ nothing has to be written. Split points only decide how even the buckets are, ne
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import quoted
+from ..functions.text import bound
 
 # Sampled keys for each bucket, and the most buckets.
 SAMPLE = 64
@@ -30,16 +33,6 @@ class Key:
         column = F.col(f"`{self.name}`")
         return column.asc() if self.ascending else column.desc()
 
-    def after(self, value: Column) -> Column:
-        """True where the row comes strictly after a value in this column."""
-        column = F.col(f"`{self.name}`")
-        if self.ascending:
-            return (value.isNull() & column.isNotNull()) | F.coalesce(column > value, F.lit(False))
-        return value.isNotNull() & (column.isNull() | F.coalesce(column < value, F.lit(False)))
-
-    def equal(self, value: Column) -> Column:
-        return F.col(f"`{self.name}`").eqNullSafe(value)
-
 
 def sorts(order: list[Key]) -> list[Column]:
     return [key.sort() for key in order]
@@ -55,27 +48,49 @@ def split_points(df: DataFrame, order: list[Key]) -> list[tuple]:
     return list(dict.fromkeys(rows[len(rows) * n // parts] for n in range(1, parts) if rows))
 
 
+def _by_direction(order: list[Key]) -> list[list[Key]]:
+    """Neighbouring keys of one direction together."""
+    return [list(same) for _, same in groupby(order, lambda key: key.ascending)]
+
+
+def _lexical(order: list[Key], values: Callable[[Key], Column]) -> Column:
+    """A row's values as one struct for each direction. Structs compare as sorting does: one value after another, NULL first."""
+    return F.struct(*[F.struct(*[values(key).alias(f"k{n}") for n, key in enumerate(same)]) for same in _by_direction(order)])
+
+
+def _reaches(order: list[Key], row: Column, split: Column) -> Column:
+    """True where a row is not before a split point."""
+    out = None
+    for n, same in reversed(list(enumerate(_by_direction(order), 1))):
+        mine, other = row.getField(f"col{n}"), split.getField(f"col{n}")
+        if out is None:
+            out = mine >= other if same[0].ascending else mine <= other
+        else:
+            out = (mine > other if same[0].ascending else mine < other) | ((mine == other) & out)
+    return out
+
+
 def bucket_column(df: DataFrame, order: list[Key], splits: list[tuple]) -> Column:
     """How many split points a row reaches, found by halving.
 
     The split points are one literal array and every step of the search is the same expression, so the plan does not
-    grow with their number.
+    grow with their number. The row's keys are put together once; a step is one comparison of them with one split point.
     """
     if not splits:
         return F.lit(0)
     types = [df.schema[key.name].dataType for key in order]
-    fields = [[F.lit(v).cast(t).alias(f"k{n}") for n, (v, t) in enumerate(zip(split, types, strict=True))] for split in splits]
-    known = F.array(*[F.struct(*one) for one in fields])
-
-    def reached(low: Column, step: Column) -> Column:
-        split, out = F.get(known, low + step - 1), F.lit(True)
-        for n, key in reversed(list(enumerate(order))):
-            value = split.getField(f"k{n}")
-            out = key.after(value) | (key.equal(value) & out)
-        return F.when((low + step <= len(splits)) & out, low + step).otherwise(low)
-
-    steps = [1 << n for n in reversed(range(len(splits).bit_length()))]
-    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), reached)
+    literals = [{key: F.lit(v).cast(t) for key, v, t in zip(order, split, types, strict=True)} for split in splits]
+    known = F.array(*[_lexical(order, one.__getitem__) for one in literals])
+    steps = F.array(*[F.lit(1 << n) for n in reversed(range(len(splits).bit_length()))])
+
+    def search(row: Column) -> Column:
+        def reached(low: Column, step: Column) -> Column:
+            split = F.get(known, low + step - 1)
+            return F.when((low + step <= len(splits)) & _reaches(order, row, split), low + step).otherwise(low)
+
+        return F.aggregate(steps, F.lit(0), reached)
+
+    return bound(_lexical(order, lambda key: F.col(f"`{key.name}`")), search)
 
 
 def numbered(df: DataFrame, order: list[Key], name: str = "position", start: int = 1) -> DataFrame:

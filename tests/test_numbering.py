@@ -63,3 +63,15 @@ def test_previous_row_of_a_very_long_page(spark, rows):
         last[r[0]] = r[1]
     found = {r["rev"]: r["before"] and r["before"]["rev"] for r in with_previous(df, ["pid"], "rev", "before").collect()}
     assert found == wanted
+
+
+@pytest.mark.parametrize("up", [(True, True, True), (False, False, False), (True, False, True), (False, True, True)])
+def test_a_step_of_the_search_is_one_comparison_for_each_direction(spark, rows, up):
+    df = spark.createDataFrame(rows, FIELDS)
+    order = [Key(name, one) for name, one in zip(("total", "word", "rev"), up, strict=True)]
+    ranked = [tuple(r) for r in df.orderBy(*[k.sort() for k in order]).select("total", "word", "rev").collect()]
+    column = bucket_column(df, order, ranked[40::40])
+    changes = sum(x != y for x, y in zip(up[1:], up[:-1], strict=True))
+    assert df.select(column.alias("b"))._jdf.queryExecution().analyzed().toString().count("get(array(") <= 2 * changes + 1
+    found = {r.rev: r.b for r in df.select("rev", column.alias("b")).collect()}
+    assert found == {r[2]: n // 40 for n, r in enumerate(ranked)}
