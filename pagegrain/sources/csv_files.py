@@ -24,6 +24,7 @@ from ..operators.rows import save_rows
 from ..operators.validation import changed_only, split_valid, validated
 from ..plans.search import Search
 from ..plans.spec import SearchSpec
+from ..session import scratch_folder
 from ..store import Store
 
 KINDS = ("page", "global", "serial")
@@ -174,6 +175,13 @@ def with_pages(pages: DataFrame, made: DataFrame) -> DataFrame:
     return joined.select(*[given.get(c, F.col(f"`{c}`")).alias(c) for c in pages.columns])
 
 
+def _written(rows: DataFrame, label: str) -> DataFrame:
+    """The rows as a table of their own, so that nothing built on them repeats the work before."""
+    folder = scratch_folder(rows.sparkSession, label)
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
 def import_csv(
     store: Store,
     schema_name: str,
@@ -186,10 +194,11 @@ def import_csv(
     """Load raw rows (from :func:`read_rows`); returns the grown store and the rejected rows.
 
     Page rows become revisions at ``ts``, where they differ from what is stored, and the schema is
-    assigned to their pages. Rejected rows are ``line`` and ``errors``.
+    assigned to their pages. Rejected rows are ``line`` and ``errors``. The files are parsed once: the cells, and then the
+    accepted rows, are written next to the checkpoints, and all later steps read them there.
     """
     schema = store.schema(schema_name)
-    cells = import_columns(store, schema_name, rows, kind)
+    cells = _written(import_columns(store, schema_name, rows, kind), "csv-cells")
     lacking = F.concat(F.lit("missing field "), F.array_join("missing", ", "))
     bad = cells.filter(F.size("missing") > 0).select(key, F.array(lacking).alias("errors"))
     good = cells.filter(F.size("missing") == 0).drop("missing")
@@ -207,7 +216,7 @@ def import_csv(
     if kind == "page":
         # of the rows of a created page the last one stays
         last = accepted.groupBy("pid").agg(F.max(key).alias(key))
-        accepted = accepted.join(last, ["pid", key], "left_semi").drop(key)
+        accepted = _written(accepted.join(last, ["pid", key], "left_semi").drop(key), "csv-accepted")
         if store.assignments is not None:
             pairs = accepted.select("pid", F.lit(schema.name).alias("tbl"))
             grown.assignments = with_assignments(store.assignments, pairs, 1)
