@@ -64,6 +64,45 @@ def test_files_round_trip(spark, documents, tmp_path, monkeypatch):
     assert ranks.n >= 3000
 
 
+def test_ids_for_files_take_two_bytes_and_are_counted_as_they_are_made(documents):
+    tokens, counts = T.counted(documents(ROWS).repartition(3), tokenizer_path())
+    found = tokens.collect()
+    assert all(len(r.ids) == 2 * r.n for r in found)
+    got = sorted((r.id or 0, np.frombuffer(r.ids, "<u2").tolist()) for r in found)
+    assert got == sorted((r[0] or 0, whole(r[1])) for r in ROWS)
+    flat = [k for _, ids in got for k in ids]
+    assert {r.token: r.n for r in counts.collect()} == {k: flat.count(k) for k in set(flat)}
+
+
+def test_batches_are_tokenized_in_groups(monkeypatch):
+    batches = [pa.RecordBatch.from_pydict({"text": [f"text {k}", None]}) for k in range(5)]
+    assert [b.num_rows for b in T._groups(iter(batches))] == [10]
+    monkeypatch.setattr(T, "_GROUP", 2 * batches[0].nbytes)
+    assert [b.column("text").to_pylist()[0] for b in T._groups(iter(batches))] == ["text 0", "text 2", "text 4"]
+    assert list(T._groups(iter([]))) == []
+
+
+def test_ids_of_any_width_are_read_back_from_slices():
+    for kind in ("<u2", "<u4"):
+        ids = pa.array([np.arange(k, k + n, dtype=kind).tobytes() for k, n in ((5, 2), (9, 1), (70, 3))], pa.binary())
+        assert T._values(ids[1:], pa.array([1, 3])).tolist() == [9, 70, 71, 72]
+        assert T._values(ids[1:].cast(pa.large_binary()), pa.array([1, 3])).tolist() == [9, 70, 71, 72]
+
+
+def test_blocks_close_within_and_across_batches(spark, documents, tmp_path, monkeypatch):
+    monkeypatch.setattr(T, "BLOCK", 700)
+    draw = random.Random(8)
+    rows = [(draw.randrange(4000), draw.choice([None, "", "some words", "more " * draw.randrange(300), "x9 'tis Größe 日本"])) for _ in range(2500)]
+    T.write_tokens(documents(rows).coalesce(1), str(tmp_path / "t"), tokenizer_path())
+    files = spark.read.parquet(str(tmp_path / "t/blocks")).selectExpr("size(ids) AS n", "aggregate(sizes, 0L, (a, b) -> a + b) AS held").collect()
+    assert all(f.held <= 700 or f.n == 1 for f in files) and sum(f.n for f in files) == 2500
+    found = T.read_tokens(spark, str(tmp_path / "t")).orderBy("start").collect()
+    assert [r.id for r in found] == sorted(r[0] for r in rows)
+    assert [r.start for r in found] == [0, *np.cumsum([r.n for r in found])[:-1].tolist()]
+    known = {text: whole(text) for text in {r[1] for r in rows}}
+    assert sorted((r.id, np.frombuffer(r.ids, "<u4").tolist()) for r in found) == sorted((k, known[text]) for k, text in rows)
+
+
 def test_empty_files(spark, documents, tmp_path):
     T.write_tokens(documents([]), str(tmp_path / "t"), tokenizer_path())
     assert T.read_tokens(spark, str(tmp_path / "t")).count() == 0
