@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
@@ -197,9 +198,11 @@ def _tokenize(tokenizer: str, narrow: bool):
 def _encoded(docs: DataFrame, tokenizer: str, text: str, id: str, narrow: bool) -> DataFrame:
     python_workers(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id).alias("id"), F.col(text).alias("text"))
-    ddl = f"row bigint, id {rows.schema['id'].dataType.simpleString()}, n bigint, ids binary"
-    counts = ", counts array<struct<token:bigint,n:bigint>>" if narrow else ""
-    return save(rows.mapInArrow(_tokenize(tokenizer, narrow), ddl + counts), "tokens")
+    types = {"row": LongType(), "id": rows.schema["id"].dataType, "n": LongType(), "ids": BinaryType()}
+    if narrow:
+        types["counts"] = ArrayType(StructType([StructField("token", LongType()), StructField("n", LongType())]))
+    schema = StructType([StructField(name, kind) for name, kind in types.items()])
+    return save(rows.mapInArrow(_tokenize(tokenizer, narrow), schema), "tokens")
 
 
 def tokenized(docs: DataFrame, tokenizer: str, text: str = "text", id: str = "doc_id") -> DataFrame:
