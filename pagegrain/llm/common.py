@@ -116,6 +116,20 @@ def stage_tables(spark: SparkSession, stage: str, before: str | None):
         _stage_tables.setdefault((application, stage), []).extend(_recording.pop())
 
 
+@contextmanager
+def step_tables(spark: SparkSession):
+    """Deletes the tables that are saved inside, except the last, which is the result."""
+    _recording.append([])
+    try:
+        yield
+    finally:
+        *steps, result = _recording.pop() or [None]
+        for path in steps:
+            drop(spark, path)
+        if result and _recording:
+            _recording[-1].append(result)
+
+
 def whole(docs: DataFrame) -> DataFrame:
     """Every input row as one struct ``doc``, so that no name of ours can clash with its columns."""
     return docs.select(F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("doc"))

@@ -15,6 +15,7 @@ from pagegrain.llm.licenses import scan
 from pagegrain.llm.line_index import remove_repeated_lines
 from pagegrain.llm.neighbours import nearest
 from pagegrain.llm.packing import pack
+from pagegrain.llm.passages import WORDS
 from pagegrain.llm.sharding import write_shards
 from pagegrain.llm.simhash import near_duplicates
 from pagegrain.llm.spelling import spelling_variants
@@ -46,10 +47,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = remove_repeated_strings(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = remove_repeated_strings(_table(spark, sf_dir, "documents").select("doc_id", "text"), words=WORDS)
     return found.select(
-        "doc.doc_id", F.col("cut.n").alias("n_bytes"), "cut.n_removed", "cut.n_spans", F.sha2("cut.kept", 256).alias("kept_sha256")
-    )
+        "doc.doc_id", F.col("cut.n").alias("n_bytes"), "cut.n_removed", "cut.n_spans", F.sha2("cut.kept", 256).alias("kept_sha256"),
+        "n_passage_words",
+    )
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

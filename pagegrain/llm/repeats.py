@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagegrain.llm.common import BATCH_BYTES, save, utf8
@@ -286,9 +286,17 @@ def cut(text: Column, spans: Column, unit: type, readable: bool = False) -> Colu
     return of(utf8(text), spans)
 
 
+def lengths(spans: DataFrame) -> DataFrame:
+    """(row, n): the units in any of a row's ranges, each counted once."""
+    before = Window.partitionBy("row").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = F.col("b") - F.greatest("a", F.coalesce(F.max("b").over(before), F.lit(0)))
+    return spans.select("row", F.greatest(fresh, F.lit(0)).alias("n")).groupBy("row").agg(F.sum("n").alias("n"))
+
+
 def without(docs: DataFrame, spans: DataFrame, text: str, unit: type, readable: bool = False) -> DataFrame:
-    """``doc`` and the struct ``cut`` for every row of ``docs``."""
+    """``doc``, any other columns and the struct ``cut`` for every row of ``docs``."""
     lists = spans.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     none = F.array().cast("array<struct<a:int,b:int>>")
-    joined = docs.join(lists, "row", "left").select("row", "doc", F.coalesce("spans", none).alias("spans"))
-    return joined.select("doc", cut(F.col(f"doc.`{text}`"), F.col("spans"), unit, readable).alias("cut"))
+    others = [name for name in docs.columns if name not in ("row", "doc")]
+    joined = docs.join(lists, "row", "left").select("row", "doc", *others, F.coalesce("spans", none).alias("spans"))
+    return joined.select("doc", cut(F.col(f"doc.`{text}`"), F.col("spans"), unit, readable).alias("cut"), *others)

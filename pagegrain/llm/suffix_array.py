@@ -13,8 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagegrain.llm.common import keyed, python_workers
-from pagegrain.llm.repeats import Bytes, covered, without
+from pagegrain.llm.common import keyed, python_workers, step_tables
+from pagegrain.llm.repeats import Bytes, Words, covered, lengths, without
+from pagegrain.llm.substring import levels
 
 THRESHOLD = 400
 
@@ -24,14 +25,24 @@ def depths(threshold: int) -> tuple[int, ...]:
     return tuple(sorted({max(1, threshold // 2), max(1, threshold * 9 // 10), threshold}))
 
 
-def remove_repeated_strings(docs: DataFrame, text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+def remove_repeated_strings(docs: DataFrame, text: str = "text", threshold: int = THRESHOLD, words: int | None = None) -> DataFrame:
     """``doc`` (the input row) and ``cut``: ``n`` bytes, ``n_removed``, ``n_spans``, the ``kept`` bytes.
 
     A byte is removed if a string of ``threshold`` bytes over it also starts elsewhere, in any row, itself included.
     Null texts are empty; shorter texts stay whole; repeated rows repeat each other; an empty table gives no rows. Cuts
     can fall inside a character; ``kept`` holds bytes, not text.
+
+    With ``words``, also ``n_passage_words``: how many words between ASCII white space lie in windows of so many that also start
+    elsewhere. Such passages can have fewer bytes than the threshold; they are counted, and not removed for it.
     """
-    python_workers(docs.sparkSession)
-    rows = keyed(docs, "texts")
-    spans = covered(rows, F.col(f"doc.`{text}`"), F.col("row"), Bytes, threshold, depths(threshold), earliest=False)
+    spark = docs.sparkSession
+    python_workers(spark)
+    rows, column = keyed(docs, "texts"), F.col(f"doc.`{text}`")
+    with step_tables(spark):
+        spans = covered(rows, column, F.col("row"), Bytes, threshold, depths(threshold), earliest=False)
+    if words:
+        with step_tables(spark):
+            windows = covered(rows, column, F.col("row"), Words, words, levels(words), earliest=False)
+        counts = lengths(windows).withColumnRenamed("n", "n_passage_words")
+        rows = rows.join(counts, "row", "left").fillna(0, "n_passage_words")
     return without(rows, spans, text, Bytes)
