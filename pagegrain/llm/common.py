@@ -48,6 +48,15 @@ def _settings(spark: SparkSession, **values: str):
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
+@contextmanager
+def measured_joins(spark: SparkSession):
+    """Joins that run inside are broadcast only by sizes that AQE has measured, never by those of files: a packed table can be
+    many times as large in the driver's memory. The limit stays the session's."""
+    limit = spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) or spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    with _settings(spark, spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__autoBroadcastJoinThreshold=limit):
+        yield
+
+
 def _ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers, once for each application."""
     application = spark.sparkContext.applicationId

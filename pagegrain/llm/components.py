@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagegrain.llm.common import save
+from pagegrain.llm.common import measured_joins, save
 
 
 def _both(pairs: DataFrame) -> DataFrame:
@@ -39,7 +39,8 @@ def components(pairs: DataFrame) -> DataFrame:
     current = save(pairs.filter("a <> b").distinct(), "links")
     state = _state(current)
     while state[0]:
-        current = save(_small_star(_large_star(current)), "stars")
+        with measured_joins(pairs.sparkSession):  # nodes of many links take few bytes in a file
+            current = save(_small_star(_large_star(current)), "stars")
         if (after := _state(current)) == state:
             break
         state = after

@@ -117,7 +117,8 @@ def _midpoint_links(prints: DataFrame) -> DataFrame:
     points = prints.select("fp", F.explode(F.array(*[F.lit(_signed(f)).cast("bigint") for f in flips])).alias("flip"))
     points = points.select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
     least = points.groupBy("point").agg(F.min("fp").alias("least"), F.count("*").alias("n")).filter("n > 1")
-    return points.join(least, "point").filter("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct()
+    # sizes are guessed from below the explode, so a broadcast side could hold thousands of times what Spark takes it for
+    return points.join(least.hint("merge"), "point").filter("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct()
 
 
 def links(prints: DataFrame, crowded: int = CROWDED) -> DataFrame:
@@ -128,7 +129,8 @@ def links(prints: DataFrame, crowded: int = CROWDED) -> DataFrame:
     kept = exact.join(hot, ["at", "key"], "left_anti") if crowds else exact
     near = near.select("other", F.col("at").alias("near_at"), F.col("key").alias("near_key"))
     same = (F.col("at") == F.col("near_at")) & (F.col("key") == F.col("near_key"))
-    pairs = kept.join(near, same & (F.col("fp") < F.col("other")) & _prefixes_hold())
+    # both sides are many rows for each fingerprint, which Spark's sizes leave out; see ``_midpoint_links``
+    pairs = kept.join(near.hint("merge"), same & (F.col("fp") < F.col("other")) & _prefixes_hold())
     pairs = pairs.select(F.col("other").alias("a"), F.col("fp").alias("b"))
     if crowds:
         meets = (F.col("near_at") == F.col("at")) & (F.col("near_key") == F.col("key"))
@@ -153,7 +155,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", wor
     linked = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = linked.groupBy("root").agg(F.min("least").alias("first"))
     labels = linked.join(least, "root").select("fp", "first")
-    return printed.join(labels, "fp").select(
+    # every fingerprint has a label; as a left join it never broadcasts the texts, however small their files are
+    return printed.join(labels, "fp", "left").select(
         "doc",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.col("first.id").alias("component_id"),

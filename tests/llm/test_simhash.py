@@ -1,7 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from pagegrain.llm.common import measured_joins, save
 from pagegrain.llm.components import components
 from pagegrain.llm.simhash import fingerprint, links, near_duplicates
 from tests.llm import brute
@@ -66,3 +68,45 @@ def test_documents_with_nulls_copies_and_clashing_columns(spark, documents):
 
 def test_empty_table(documents):
     assert near_duplicates(documents([])).count() == 0
+
+
+def broadcast_sides(df):
+    """What the plan has below each broadcast."""
+    lines, found = df._jdf.queryExecution().executedPlan().toString().split("\n"), []
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    for k, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = next((n for n, x in enumerate(lines[k + 1 :], k + 1) if depth(x) <= depth(line)), len(lines))
+            found.append("\n".join(lines[k:below]))
+    return found
+
+
+@pytest.mark.parametrize("crowded", [1000, 3])
+def test_exploded_sides_are_never_broadcast(spark, crowded):
+    """Spark sizes an explode by the rows it gets, so 0.6 GB of documents sent 17 million rows through the driver."""
+    signed = [p - (1 << 64) if p >> 63 else p for p in variants(1, 60, 6)]
+    prints = save(spark.createDataFrame([(p,) for p in signed], "fp bigint"), "prints")
+    pairs = links(prints, crowded)
+    assert "Generate" in pairs._jdf.queryExecution().executedPlan().toString()
+    assert not any("Generate" in side for side in broadcast_sides(pairs))
+
+
+def test_texts_are_never_broadcast(documents):
+    """Texts that pack well have small files."""
+    found = near_duplicates(save(documents([(k, "the same text " * 50) for k in range(40)]), "packed"))
+    assert not any("fingerprints-" in side for side in broadcast_sides(found))
+    assert {r.component_id for r in found.collect()} == {0} and found.filter("is_first").count() == 1
+
+
+def test_measured_joins_do_not_trust_the_size_of_files(spark):
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(name, None) for name in names]
+    packed = save(spark.range(2000).select(F.lit(1).alias("k")), "packed")
+    plan = lambda: packed.join(packed.withColumnRenamed("k", "other"), F.col("k") == F.col("other"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan()
+    with measured_joins(spark):
+        assert [spark.conf.get(name) for name in names] == ["-1", before[0] or "10485760b"]
+        assert "SortMergeJoin" in plan() and "Broadcast" not in plan()
+    with pytest.raises(ZeroDivisionError), measured_joins(spark):
+        raise ZeroDivisionError
+    assert [spark.conf.get(name, None) for name in names] == before
