@@ -2,6 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from pagegrain.llm import repeats
 from pagegrain.llm.passages import _WORD, remove_repeated_passages
 from tests.llm import brute
 
@@ -50,3 +51,17 @@ def test_the_stage_needs_one_python_worker_a_task(documents, spark):
     out = corpus_pipeline.repeated_strings(spark, docs, "")
     assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
     assert {r.doc_id: (r.text, r.n_chars) for r in out.collect()} == {1: ("one éw0 ", 8), 2: ("two w0  é", 9), 3: (None, None), 4: ("", 0)}
+
+
+def test_runs_are_not_broadcast_by_the_size_of_their_files(documents, monkeypatch):
+    plans, save = [], repeats.save
+
+    def noted(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return save(df, label)
+
+    monkeypatch.setattr(repeats, "save", noted)
+    shared = " ".join(f"w{k}" for k in range(60))
+    found = remove_repeated_passages(documents([(1, f"one {shared}"), (2, f"two {shared}")]), readable=True)
+    assert sum("SortMergeJoin" in plan for plan in plans) >= 10 and not any("Broadcast" in plan for plan in plans)
+    assert {r.doc_id: r.kept for r in found.select("doc.doc_id", "cut.kept").collect()} == {1: "one ", 2: "two "}
